@@ -74,11 +74,26 @@ def run_times(runs: DataFrame, iterations: DataFrame) -> DataFrame:
     )
 
 
-def _lengths() -> dict[str, Column]:
-    measured = _sum_of(STAGES)
+def _plain_sum(names: Sequence[str]) -> Column:
+    total = F.col(names[0])
+    for name in names[1:]:
+        total = total + F.col(name)
+    return total
+
+
+def _with_lengths(iterations: DataFrame) -> DataFrame:
+    """Stage timings cleaned once, their sum, the iteration's total and the span its segments cover."""
+    clean = iterations.withColumns({name: _num(name) for name in (*STAGES, "total_ms")})
+    clean = clean.withColumn("_measured", _plain_sum(STAGES))
     elapsed = F.col("completed_ms") - F.col("started_ms")
-    total = F.when(_num("total_ms") > 0, _num("total_ms")).when(elapsed >= 0, elapsed.cast("double")).otherwise(measured)
-    return {"_measured": measured, "_total": total}
+    total = (
+        F.when(F.col("total_ms") > 0, F.col("total_ms"))
+        .when(elapsed >= 0, elapsed.cast("double"))
+        .otherwise(F.col("_measured"))
+    )
+    clean = clean.withColumn("_total", total)
+    spare = F.col("_total") - F.col("_measured") > UNACCOUNTED_MIN_MS
+    return clean.withColumn("_span", F.when(spare, F.col("_total")).otherwise(F.col("_measured")))
 
 
 def on_time_axis(iterations: DataFrame, times: DataFrame) -> DataFrame:
@@ -87,10 +102,7 @@ def on_time_axis(iterations: DataFrame, times: DataFrame) -> DataFrame:
     Iterations without a readable start come first and follow one another;
     only these need a pass over the run.
     """
-    sized = iterations.withColumns(_lengths())
-    spare = F.col("_total") - F.col("_measured") > UNACCOUNTED_MIN_MS
-    sized = sized.withColumn("_span", F.when(spare, F.col("_total")).otherwise(F.col("_measured")))
-    sized = sized.join(times, "run_id")
+    sized = _with_lengths(iterations).join(times, "run_id")
     placed = sized.filter(F.col("started_ms").isNotNull()).withColumn(
         "_start", F.greatest(F.lit(0.0), (F.col("started_ms") - F.col("run_started_ms")).cast("double"))
     )
@@ -102,7 +114,8 @@ def on_time_axis(iterations: DataFrame, times: DataFrame) -> DataFrame:
         placed = placed.unionByName(chained)
     origin = F.col("run_started_ms").cast("double")
     start_at = F.coalesce(F.col("started_ms").cast("double"), origin + F.col("_start"))
-    relative = F.coalesce(F.greatest(F.lit(0.0), F.col("completed_ms") - origin), F.col("_start") + F.col("_total"))
+    since = F.col("completed_ms") - origin
+    relative = F.when(since.isNotNull(), F.greatest(F.lit(0.0), since)).otherwise(F.col("_start") + F.col("_total"))
     completed_at = F.coalesce(F.col("completed_ms").cast("double"), origin + relative)
     return (
         placed.withColumns({"_start_at": start_at, "_completed_rel": relative, "_completed_at": completed_at})
@@ -111,10 +124,12 @@ def on_time_axis(iterations: DataFrame, times: DataFrame) -> DataFrame:
     )
 
 
-def stage_timeline(iterations: DataFrame, times: DataFrame) -> DataFrame:
-    """Stage segments laid end to end from each iteration's start, and a ninth for unaccounted time."""
-    placed = on_time_axis(iterations, times)
-    segments, offset = [], F.lit(0.0)
+def stage_timeline(axis: DataFrame) -> DataFrame:
+    """Stage segments laid end to end from each iteration's start, and a ninth for unaccounted time.
+
+    ``axis`` here and below is the result of on_time_axis.
+    """
+    segments: list[Column] = []
 
     def segment(stage: str, begin: Column, length: Column) -> Column:
         return F.struct(
@@ -126,14 +141,13 @@ def stage_timeline(iterations: DataFrame, times: DataFrame) -> DataFrame:
             length.alias("duration_ms"),
         )
 
-    for stage in STAGES:
-        segments.append(segment(stage, offset, _num(stage)))
-        offset = offset + _num(stage)
+    for i, stage in enumerate(STAGES):
+        segments.append(segment(stage, _plain_sum(STAGES[:i]) if i else F.lit(0.0), F.col(stage)))
     spare = F.greatest(F.lit(0.0), F.col("_total") - F.col("_measured"))
     rest = segment(UNACCOUNTED, F.col("_measured"), spare)
     every = F.array(*segments)
     shown = F.when(spare > UNACCOUNTED_MIN_MS, F.concat(every, F.array(rest))).otherwise(every)
-    return placed.select("run_id", "iteration_id", "client_id", "shard_id", F.inline(shown)).withColumn(
+    return axis.select("run_id", "iteration_id", "client_id", "shard_id", F.inline(shown)).withColumn(
         "original_duration_ms", F.col("duration_ms")
     )
 
@@ -141,10 +155,10 @@ def stage_timeline(iterations: DataFrame, times: DataFrame) -> DataFrame:
 # --- series ---------------------------------------------------------------------------------
 
 
-def iteration_points(iterations: DataFrame, times: DataFrame) -> DataFrame:
+def iteration_points(axis: DataFrame) -> DataFrame:
     """One row per iteration with the values of every point series at the iteration's anchor time."""
     seconds = F.greatest(F.col("_total") / 1000, F.lit(0.001))
-    return on_time_axis(iterations, times).select(
+    return axis.select(
         "run_id",
         "iteration_id",
         "shard_id",
@@ -162,7 +176,7 @@ def iteration_points(iterations: DataFrame, times: DataFrame) -> DataFrame:
     )
 
 
-def memory_points(iterations: DataFrame, memory: DataFrame, times: DataFrame) -> DataFrame:
+def memory_points(axis: DataFrame, memory: DataFrame, times: DataFrame) -> DataFrame:
     """Memory in MiB over time: the run's samples, or its iterations where it has none."""
 
     def row(x: Column, at: Column) -> list[Column]:
@@ -177,16 +191,15 @@ def memory_points(iterations: DataFrame, memory: DataFrame, times: DataFrame) ->
     sampled = memory.join(times, "run_id").select(
         *row(F.coalesce(F.greatest(F.lit(0), F.col("at_ms") - origin), F.lit(0)), F.coalesce("at_ms", origin))
     )
-    without = iterations.join(memory.select("run_id").distinct(), "run_id", "left_anti")
-    fallback = on_time_axis(without, times).select(
+    fallback = axis.join(memory.select("run_id").distinct(), "run_id", "left_anti").select(
         *row(F.col("_completed_rel"), F.coalesce(F.col("completed_ms").cast("double"), F.col("_completed_rel")))
     )
     return sampled.unionByName(fallback)
 
 
-def iteration_series(iterations: DataFrame, memory: DataFrame, times: DataFrame) -> DataFrame:
+def iteration_series(axis: DataFrame, memory: DataFrame, times: DataFrame) -> DataFrame:
     """All point series in long form: (run, series, iteration, x, value), NULL values left out."""
-    points = iteration_points(iterations, times)
+    points = iteration_points(axis)
     names = (
         "events_per_sec", "backlog", "blocked_ms", "advanced_to", "upper",
         "full_flushes", "partial_flushes", "flush_documents",
@@ -197,7 +210,7 @@ def iteration_series(iterations: DataFrame, memory: DataFrame, times: DataFrame)
         pairs = F.array(*[F.struct(F.lit(n).alias("series"), F.col(n).cast("double").alias("value")) for n in columns])
         return df.select("run_id", "iteration_id", "x_ms", "x_at_ms", F.inline(pairs))
 
-    both = long(points, names).unionByName(long(memory_points(iterations, memory, times), mem))
+    both = long(points, names).unionByName(long(memory_points(axis, memory, times), mem))
     return both.filter(F.col("value").isNotNull())
 
 
@@ -512,10 +525,11 @@ def queue_view(snapshots: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def run_bounds(runs: DataFrame, iterations: DataFrame, memory: DataFrame) -> DataFrame:
+def run_bounds(
+    runs: DataFrame, times: DataFrame, axis: DataFrame, memory: DataFrame, snapshots: DataFrame
+) -> DataFrame:
     """Observed extent of every run, and the time domain of its charts."""
-    times = run_times(runs, iterations)
-    parts = on_time_axis(iterations, times).groupBy("run_id").agg(
+    parts = axis.groupBy("run_id").agg(
         F.max(F.col("_start") + F.col("_span")).alias("_seg_end"),
         F.min("_start_at").alias("_seg_start_at"),
         F.max(F.col("_start_at") + F.col("_span")).alias("_seg_end_at"),
@@ -523,10 +537,10 @@ def run_bounds(runs: DataFrame, iterations: DataFrame, memory: DataFrame) -> Dat
         F.min("x_at_ms").alias("_x_at_min"),
         F.max("x_at_ms").alias("_x_at_max"),
     )
-    mem = memory_points(iterations, memory, times).groupBy("run_id").agg(
+    mem = memory_points(axis, memory, times).groupBy("run_id").agg(
         F.min("x_at_ms").alias("_mem_min"), F.max("x_at_ms").alias("_mem_max")
     )
-    shots = pipeline_snapshots(iterations).groupBy("run_id").agg(
+    shots = snapshots.groupBy("run_id").agg(
         F.min(F.coalesce("window_start_ms", "observed_ms")).alias("_shot_start"),
         F.max("observed_ms").alias("_shot_max"),
         F.min("window_start_ms").alias("_domain_start"),

@@ -116,7 +116,7 @@ VIEWS: dict[str, str] = {
         FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""",
     "times": """SELECT r.run_id, coalesce(r.started_ms, i.s, 0) AS t0,
         coalesce(r.completed_ms, i.c, coalesce(r.started_ms, i.s, 0)) AS t1 FROM run r LEFT JOIN (
-        SELECT run_id, min(started_ms) AS s, arg_min(completed_ms, coalesce(started_ms, 0) * 10000000 + arrival)
+        SELECT run_id, min(started_ms) AS s, arg_min(completed_ms, {'a': coalesce(started_ms, 0), 'b': arrival})
         FILTER (completed_ms IS NOT NULL) AS c FROM iter GROUP BY run_id) i ON r.run_id = i.run_id""",
     "sized": """SELECT i.*, t.t0, t.t1,
         lease_acquire + poll_source + store_setup + rehydrate_state + duplicate_rows + process_events + flush
@@ -129,7 +129,7 @@ VIEWS: dict[str, str] = {
         coalesce(sum(CASE WHEN started_ms IS NULL THEN span END) OVER (PARTITION BY run_id, started_ms IS NULL
           ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS st FROM spanned""",
     "axis": """SELECT *, coalesce(CAST(started_ms AS DOUBLE), t0 + st) AS st_at,
-        coalesce(greatest(0, CAST(completed_ms - t0 AS DOUBLE)), st + total) AS done_rel,
+        CASE WHEN completed_ms IS NOT NULL THEN greatest(0, CAST(completed_ms - t0 AS DOUBLE)) ELSE st + total END AS done_rel,
         coalesce(CAST(window_end_ms AS DOUBLE), CAST(completed_ms AS DOUBLE), t0 + st + total) AS x_at FROM placed""",
     "points": """SELECT *, greatest(0, x_at - t0) AS x, events_finalized / greatest(total / 1000, 0.001) AS eps FROM axis""",
     "mem_points": """SELECT m.run_id, iteration_id, CAST(coalesce(greatest(0, at_ms - t0), 0) AS DOUBLE) AS x_ms,

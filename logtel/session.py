@@ -17,6 +17,7 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,

@@ -63,3 +63,40 @@ def each(items: Column, check, where: Column) -> Column:
     """First complaint over the items of an array, with the item's index in its place."""
     found = F.transform(items, lambda x, i: check(x, F.concat(where, F.lit("["), i.cast("string"), F.lit("]"))))
     return F.get(F.filter(found, lambda e: e.isNotNull()), 0)
+
+
+def _first_bad(root: Column, keys: Sequence[str], where: Column, good, complaint: str) -> Column:
+    """Complaint about the first of ``keys`` that fails ``good(value, kind)``; one compact expression for all."""
+    names = F.array(*[F.lit(k) for k in keys])
+
+    def fails(key: Column) -> Column:
+        value = F.try_variant_get(root, F.concat(F.lit("$."), key), "variant")
+        return ~F.coalesce(good(value, F.schema_of_variant(value)), F.lit(False))
+
+    bad = F.get(F.filter(names, fails), 0)
+    return F.concat(where, F.lit("."), bad, F.lit(f" {complaint}"))
+
+
+def _allowing(good: Column, kind: Column, nullable: bool, optional: bool) -> Column:
+    if nullable:
+        good = good | F.coalesce(kind == "VOID", F.lit(False))
+    if optional:
+        good = good | kind.isNull()
+    return good
+
+
+def numbers(root: Column, keys: Sequence[str], where: Column, nullable: bool = False, optional: bool = False) -> Column:
+    def good(value: Column, kind: Column) -> Column:
+        numeric = F.coalesce(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+        magnitude = F.abs(F.try_variant_get(value, "$", "double"))
+        return _allowing(numeric & F.coalesce(magnitude < float("inf"), F.lit(False)), kind, nullable, optional)
+
+    return _first_bad(root, keys, where, good, "must be a finite number.")
+
+
+def texts(root: Column, keys: Sequence[str], where: Column, nullable: bool = False, optional: bool = False) -> Column:
+    def good(value: Column, kind: Column) -> Column:
+        filled = is_text(F.when(kind == "STRING", F.try_variant_get(value, "$", "string")))
+        return _allowing(filled, kind, nullable, optional)
+
+    return _first_bad(root, keys, where, good, "must be a non-empty string.")

@@ -65,11 +65,11 @@ def _cycle_error(root: Column, where: Column) -> Column:
         checks.one_of(root, "outcome", where, OUTCOMES),
         checks.moment(root, "startedAtUtc", where),
         checks.moment(root, "completedAtUtc", where),
-        *[checks.number(root, key, where) for key in ("totalMs", "records", "recordsPerSec")],
+        checks.numbers(root, ("totalMs", "records", "recordsPerSec"), where),
         checks.an_array(root, timeline, "$.timeline"),
         checks.each(v.items(root, "$.timeline"), _entry_error, timeline),
-        *[checks.number(root, key, where, nullable=True, optional=True) for key in OPTIONAL_NUMBERS],
-        *[checks.text(root, key, where, nullable=True, optional=True) for key in OPTIONAL_TEXTS],
+        checks.numbers(root, tuple(OPTIONAL_NUMBERS), where, nullable=True, optional=True),
+        checks.texts(root, tuple(OPTIONAL_TEXTS), where, nullable=True, optional=True),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logtel.plans import log_queries, poll_queries, run_queries  # noqa: F401
+from logtel.plans import ingest_queries, log_queries, poll_queries, run_queries  # noqa: F401
 from logtel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -404,17 +404,17 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    """Envelopes of multi-part events, one per conversation; payload as JSON text."""
-    part = F.when(F.col("role") == "system", "sessionStart").when(F.col("role") == "user", "activity")
+    """Envelopes of multi-part events, one event per conversation; payload as JSON text."""
+    part = F.when(F.col("role") == "system", "opening").when(F.col("role") == "user", "question").otherwise("answer")
     received = F.col("conv_id") * 3600000 + F.col("turn") * 60000
     body = F.struct(
-        F.when(F.col("conv_id") % 13 == 0, "otherThing").otherwise("pocSession").alias("eventType"),
-        F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("sessionId"),
-        F.concat(F.lit("e"), F.col("conv_id").cast("string")).alias("eventId"),
-        part.otherwise("sessionEnd").alias("part"),
-        received.alias("clientTime"),
+        F.when(F.col("conv_id") % 13 == 0, "other").otherwise("conversation").alias("kind"),
+        F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session"),
+        F.concat(F.lit("e"), F.col("conv_id").cast("string")).alias("event"),
+        part.alias("part"),
+        received.alias("at"),
         (F.col("conv_id") % 5 == 0).alias("urgent"),
-        F.concat(F.col("role"), F.lit("-"), F.length("text").cast("string")).alias("dedupe"),
+        F.concat(F.col("role"), F.lit("-"), (F.length("text") % 7).cast("string")).alias("dedupe"),
         F.length("text").alias("chars"),
     )
     return load(spark, folder, "conversations").select(

@@ -164,9 +164,20 @@ VIEWS: dict[str, str] = {
     "marks": f"""SELECT CAST(c_custkey AS VARCHAR) AS object_id, w AS watermark_ms FROM customer LEFT JOIN (
         SELECT user_id, CASE WHEN user_id % 10 <> 7 THEN max({_E}) END AS w FROM events
         WHERE event_type <> 'purchase' GROUP BY user_id) s ON c_custkey = s.user_id""",
-    "env": """SELECT conv_id, turn, CASE role WHEN 'system' THEN 'sessionStart' WHEN 'user' THEN 'activity' ELSE 'sessionEnd'
-        END AS part, conv_id * 1000 + turn AS seq, conv_id * 3600000 + turn * 60000 AS received_ms, role, text,
-        conv_id % 13 = 0 AS other, conv_id % 5 = 0 AS urgent FROM conversations""",
+    "env": """SELECT 's' || conv_id AS session_id, 'e' || conv_id AS event_id, conv_id, turn,
+        CASE role WHEN 'system' THEN 'opening' WHEN 'user' THEN 'question' ELSE 'answer' END AS part,
+        conv_id * 1000 + turn AS seq, CAST(conv_id % 4 AS VARCHAR) AS partition_id,
+        conv_id * 3600000 + turn * 60000 AS received_ms, role || '-' || (length(text) % 7) AS dedupe_key, length(text) AS chars,
+        conv_id % 13 <> 0 AS mapped FROM conversations""",
+    "env_d": """SELECT *, rep OR (part <> 'answer' AND row_number() OVER (PARTITION BY conv_id, part, rep ORDER BY seq) > 1)
+        AS is_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, dedupe_key ORDER BY seq) > 1 AS rep
+        FROM env WHERE mapped)""",
+    "asm": """SELECT session_id, event_id, conv_id, count(*) AS part_count, min(received_ms) AS first_ms, max(received_ms) AS last_ms,
+        bool_or(part = 'opening') AS has_opening, bool_or(part = 'question') AS has_question,
+        min(CASE WHEN part = 'opening' THEN received_ms END) AS opening_at,
+        min(CASE WHEN part = 'question' THEN received_ms END) AS question_at,
+        arg_min(chars, seq) FILTER (part = 'question') AS question_chars FROM env_d WHERE NOT is_duplicate
+        GROUP BY session_id, event_id, conv_id""",
 }
 
 

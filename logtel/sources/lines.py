@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logtel.operators.layout import BLOCK, Running, lay_out, running
+from logtel.operators.layout import Running, lay_out, running
 from logtel.session import cut
 
 # Above this number of file blocks their table is joined, not broadcast.
@@ -56,12 +56,12 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
     return with_line_numbers(read_blocks(spark, path))
 
 
-def reassemble_lines(chunks: DataFrame, flush: bool = True) -> DataFrame:
-    """Whole numbered lines of text that was cut into chunks anywhere.
+def join_pieces(chunks: DataFrame) -> DataFrame:
+    """Lines (stream, line, value, ended) of text that was cut into chunks anywhere.
 
-    ``chunks``: stream, chunk (order), text. A line's pieces carry its number (the
-    line ends before them in the stream, plus one) and only they are brought
-    together. Without ``flush`` a last line that has no line end yet is held back.
+    ``chunks``: stream, chunk (order), text. A piece's line number is the number of
+    line ends before it in the stream plus one, and only the pieces of one line
+    are brought together. ``ended`` tells a line whose end has been seen.
     """
     keys, order = ["stream"], ["chunk"]
     ends = (F.length("text") - F.length(F.translate("text", "\n", ""))).cast("bigint")
@@ -75,9 +75,14 @@ def reassemble_lines(chunks: DataFrame, flush: bool = True) -> DataFrame:
         F.size(F.split("text", "\n", -1)).alias("_pieces"),
     ).withColumn("line", F.col("_before") + F.col("_piece") + 1)
     parts = F.array_sort(F.collect_list(F.struct("chunk", "_text")))
-    whole = pieces.groupBy("stream", "line").agg(
+    return pieces.groupBy("stream", "line").agg(
         F.array_join(F.transform(parts, lambda p: p["_text"]), "").alias("value"),
         F.bool_or(F.col("_piece") < F.col("_pieces") - 1).alias("ended"),
     )
-    kept = whole.filter("ended OR length(value) > 0") if flush else whole.filter("ended")
+
+
+def reassemble_lines(chunks: DataFrame, flush: bool = True) -> DataFrame:
+    """Whole numbered lines of chunked text; without ``flush`` a last line not yet ended is held back."""
+    lines = join_pieces(chunks)
+    kept = lines.filter("ended OR length(value) > 0") if flush else lines.filter("ended")
     return kept.select("stream", "line", without_cr(F.col("value")).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtel.functions.scalars import finite
@@ -49,3 +49,12 @@ def flag(v: Column, path: str) -> Column:
 def items(v: Column, path: str = "$") -> Column:
     """A member that is an array, as ARRAY<VARIANT>, else NULL."""
     return F.when(is_array(v, path), F.try_variant_get(v, path, "array<variant>"))
+
+
+def with_parsed(df: DataFrame, source: Column | str, name: str) -> DataFrame:
+    """Add ``source``, JSON text, as VARIANT (NULL when it is not JSON), parsed once per row.
+
+    As a generated column it is not copied into each expression that reads it
+    when filters are pushed down, which would parse the text again and again.
+    """
+    return df.select("*", F.explode(F.array(F.try_parse_json(source))).alias(name))

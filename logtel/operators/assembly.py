@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from logtel.functions.scalars import clock_duration_ms
 from logtel.functions.templates import build_payload, constant, render_template
+from logtel.functions.variants import with_parsed
 
 EVENT = ("lifecycle", "session_id", "event_id")
 DEFAULT_RETENTION = "1.00:00:00"
@@ -130,7 +131,7 @@ def project_envelopes(envelopes: DataFrame, lifecycles: Sequence[Lifecycle]) ->
 
     ``envelopes``: payload (JSON text), partition_id, sequence_number, msg_offset, received_ms.
     """
-    parsed = match_lifecycle(envelopes.withColumn("record", F.try_parse_json("payload")), lifecycles)
+    parsed = match_lifecycle(with_parsed(envelopes, "payload", "record"), lifecycles)
 
     def selected(name: str) -> Column:
         return _by_lifecycle(lifecycles, lambda lc: _selected(F.col("record"), lc.selectors[name]))

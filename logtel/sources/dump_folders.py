@@ -54,10 +54,8 @@ def parse_dump_runs(documents: DataFrame) -> dict[str, DataFrame]:
     in_folder = F.when(composed, F.regexp_extract("file", r"(?i)^(.*?)/?01-composed/", 1)).otherwise(
         F.regexp_replace("file", r"/?[^/]*$", "")
     )
-    docs = (
-        documents.select("file", in_folder.alias("run_id"), artifact.alias("artifact"), F.try_parse_json("text").alias("root"))
-        .filter(F.col("artifact").isNotNull())
-    )
+    named = documents.select("file", in_folder.alias("run_id"), artifact.alias("artifact"), "text")
+    docs = v.with_parsed(named.filter(F.col("artifact").isNotNull()), "text", "root").drop("text")
     root, item = F.col("root"), F.col("item")
 
     def has(name: str) -> Column:

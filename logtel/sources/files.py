@@ -40,7 +40,7 @@ def parse_checkpoints(documents: DataFrame) -> DataFrame:
         .when(given & seq.isNull(), "error: invalid SequenceNumber")
         .when(~given, "no_checkpoint")
     )
-    return documents.withColumn("_root", F.try_parse_json("text")).select(
+    return v.with_parsed(documents, "text", "_root").select(
         F.element_at(parts, -3).alias("consumer_group"),
         F.element_at(parts, -2).alias("hub"),
         F.element_at(parts, -1).alias("partition_id"),

@@ -85,9 +85,9 @@ def parse_poll_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         .when(kind == "cycle", _cycle_error(root, where))
         .otherwise(F.concat(where, F.lit(": unknown event type "), label, F.lit(".")))
     )
+    used = lines.filter(is_text(F.col("value"))).select("file", "line", F.col("value").alias("raw"))
     parsed = (
-        lines.filter(is_text(F.col("value")))
-        .select("file", "line", F.col("value").alias("raw"), F.try_parse_json(F.col("value")).alias("facts"))
+        v.with_parsed(used, "raw", "facts")
         .withColumns({"type": kind, "problem": problem})
         .withColumn("arrival", F.struct("file", "line"))
     )

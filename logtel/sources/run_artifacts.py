@@ -254,7 +254,7 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
     """
     documents.sparkSession.conf.set(DUPLICATE_KEYS, "true")
     root, where = F.col("root"), F.lit("artifact")
-    docs = documents.select("file", F.try_parse_json("text").alias("root"))
+    docs = v.with_parsed(documents.select("file", "text"), "text", "root").drop("text")
     is_run = v.is_object(root, "$.run")
     is_summary = v.is_object(root, "$.averages") & v.is_array(root, "$.runs")
     version = F.when(
@@ -384,7 +384,7 @@ def parse_iteration_lines(lines: DataFrame, latest_only: bool = False) -> tuple[
         used = used.groupBy("file").agg(F.max("line").alias("line"), F.max_by("value", "line").alias("value"))
         where, broken = F.lit("line"), F.lit("invalid JSON.")
     root = F.col("root")
-    parsed = used.select("file", "line", F.try_parse_json("value").alias("root"))
+    parsed = v.with_parsed(used.select("file", "line", "value"), "value", "root").drop("value")
     parsed = parsed.withColumn("message", F.when(root.isNull(), broken).otherwise(iteration_error(root, where)))
     good = parsed.filter(F.col("message").isNull())
     return (

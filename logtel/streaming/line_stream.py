@@ -11,8 +11,8 @@ from logtel.session import cut
 from logtel.sources.lines import join_pieces, without_cr
 from logtel.streaming.tables import read_batches, read_before, write_batch
 
-STATE = T.StructType().add("stream", "string").add("carry", "string").add("next_line", "bigint")
-LINES = T.StructType().add("stream", "string").add("line", "bigint").add("value", "string")
+STATE = T.StructType().add("stream", T.StringType()).add("carry", T.StringType()).add("next_line", T.LongType())
+LINES = T.StructType().add("stream", T.StringType()).add("line", T.LongType()).add("value", T.StringType())
 _CARRY_CHUNK = -1
 
 

@@ -12,7 +12,11 @@ from logtel.operators.messages import advance_checkpoints
 from logtel.streaming.tables import BATCH, read_batches, write_batch
 
 TAILS = (
-    T.StructType().add("partition_id", "bigint").add("seq", "bigint").add("msg_offset", "string").add("events_read", "bigint")
+    T.StructType()
+    .add("partition_id", T.LongType())
+    .add("seq", T.LongType())
+    .add("msg_offset", T.StringType())
+    .add("events_read", T.LongType())
 )
 
 

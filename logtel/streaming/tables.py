@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 BATCH = "_batch_id"
 
@@ -20,7 +20,7 @@ def write_batch(df: DataFrame, path: str, batch: int) -> None:
 
 def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """All batches written so far (none yet gives an empty table)."""
-    full = StructType(schema.fields).add(BATCH, "bigint")
+    full = StructType(schema.fields).add(BATCH, LongType())
     try:
         return spark.read.schema(full).parquet(path)
     except AnalysisException:

@@ -13,7 +13,7 @@ from logtel.session import build_session  # noqa: E402
 
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("HEAP", "4g")})
     spark.sparkContext.setLogLevel("ERROR")
     from logtel.plans.catalog import ORACLES, QUERIES
 

@@ -40,41 +40,42 @@ def epoch_ms_text(c: Column) -> Column:
 
 
 def _iso_instant(text: Column) -> Column:
-    """Timestamp of ISO text; without a zone it is UTC whatever the session zone is."""
-    day = F.when(F.length(text) == 4, F.concat(text, F.lit("-01-01"))).when(
-        F.length(text) == 7, F.concat(text, F.lit("-01"))
+    """Timestamp of ISO text; without a zone it is UTC whatever the session zone is. Names ``text`` once."""
+    steps = (
+        (r"^([0-9]{4})$", "$1-01"),
+        (r"^([0-9]{4}-[0-9]{2})$", "$1-01"),
+        (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})$", "$1T00:00:00Z"),
+        (r"([T ][0-9:.]+)$", "$1Z"),
+        (r"([T ].*[+-][0-9]{2})([0-9]{2})$", "$1:$2"),
     )
-    full = F.coalesce(day, text)
-    timed = F.when(F.length(full) == 10, F.concat(full, F.lit("T00:00:00"))).otherwise(full)
-    zoned = F.when(timed.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), timed).otherwise(F.concat(timed, F.lit("Z")))
-    return F.try_to_timestamp(F.regexp_replace(zoned, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2"))
+    for pattern, better in steps:
+        text = F.regexp_replace(text, pattern, better)
+    return F.try_to_timestamp(text)
 
 
 def iso_ms(c: Column) -> Column:
     """Epoch ms of an ISO date or date-time, cut to whole milliseconds; anything else is NULL."""
-    return F.when(c.rlike(ISO_STRICT_TEXT), F.unix_millis(_iso_instant(c)))
+    return F.unix_millis(_iso_instant(F.regexp_extract(c, ISO_STRICT_TEXT, 0)))
 
 
 def datetime_ms_text(c: Column) -> Column:
     """Epoch ms of an ISO or US-style date-time; no zone means UTC."""
     text = F.trim(c)
-    iso = F.when(text.rlike(ISO_TEXT), _iso_instant(F.regexp_replace(text, r"\s+(?=Z|[+-])", "")))
+    iso = _iso_instant(F.regexp_replace(F.regexp_extract(text, ISO_TEXT, 0), r"\s+(?=Z|[+-])", ""))
     spoken = F.when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"), F.concat(text, F.lit(" Z")))
     forms = [F.try_to_timestamp(spoken, F.lit(form)) for form in EXPORT_TIME_FORMATS]
     bare = F.when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.concat(text, F.lit(" 0:00 Z")))
     return F.unix_millis(F.coalesce(iso, *forms, F.try_to_timestamp(bare, F.lit("M/d/yyyy H:mm X"))))
 
 
-def finite(c: Column, otherwise: Column | None = None) -> Column:
-    """``c`` as double where it is a finite number, else NULL (or ``otherwise``)."""
+def finite(c: Column) -> Column:
+    """``c`` as double where it is a finite number, else NULL (NaN compares above every number)."""
     number = c.cast("double")
-    good = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
-    kept = F.when(good, number)
-    return kept if otherwise is None else kept.otherwise(otherwise)
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def finite_or_zero(c: Column) -> Column:
-    return finite(c, F.lit(0.0))
+    return F.coalesce(finite(c), F.lit(0.0))
 
 
 def mib(c: Column) -> Column:

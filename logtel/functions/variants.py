@@ -18,11 +18,11 @@ def kind(v: Column, path: str = "$") -> Column:
 
 
 def is_object(v: Column, path: str = "$") -> Column:
-    return F.coalesce(kind(v, path).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column, path: str = "$") -> Column:
-    return F.coalesce(kind(v, path).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
 
 
 def is_missing(v: Column, path: str) -> Column:
@@ -48,7 +48,7 @@ def flag(v: Column, path: str) -> Column:
 
 def items(v: Column, path: str = "$") -> Column:
     """A member that is an array, as ARRAY<VARIANT>, else NULL."""
-    return F.when(is_array(v, path), F.try_variant_get(v, path, "array<variant>"))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def with_parsed(df: DataFrame, source: Column | str, name: str) -> DataFrame:

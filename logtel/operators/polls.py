@@ -29,7 +29,8 @@ STORE_COUNTERS = (
 # The stage lanes, in display order.
 LANES = ("cursorRead", "kusto", "map", "seal", "write", "advance")
 
-_SUCCESS = F.col("outcome") == "success"
+def _succeeded() -> Column:
+    return F.col("outcome") == "success"
 
 
 def resolve_cycles(stages: DataFrame, cycles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +116,7 @@ def pair_stage_spans(stages: DataFrame) -> DataFrame:
 def advance_seconds() -> Column:
     """Source seconds a successful cycle moved its window forward, never negative."""
     moved = (F.col("window_end_ms") - F.col("window_start_ms")) / F.lit(1000.0)
-    return F.when(_SUCCESS & moved.isNotNull(), F.greatest(F.lit(0.0), moved)).otherwise(F.lit(0.0))
+    return F.when(_succeeded() & moved.isNotNull(), F.greatest(F.lit(0.0), moved)).otherwise(F.lit(0.0))
 
 
 def source_metrics(cycles: DataFrame) -> DataFrame:
@@ -130,14 +131,14 @@ def source_metrics(cycles: DataFrame) -> DataFrame:
     lag = F.col("cursor_lag_sec")
     return cycles.groupBy("source").agg(
         F.count(F.lit(1)).alias("cycle_count"),
-        F.count_if(_SUCCESS).alias("success_count"),
+        F.count_if(_succeeded()).alias("success_count"),
         F.count_if(F.col("outcome") == "skipped").alias("skipped_count"),
         F.count_if(F.col("outcome") == "failed").alias("failed_count"),
         F.sum("records").alias("total_records"),
         F.sum("input_rows").alias("total_input_rows"),
         F.count_if(advance_seconds() > 0).alias("checkpoint_count"),
         F.sum("users").alias("total_users"),
-        F.avg(F.when(_SUCCESS, F.col("records_per_sec"))).alias("avg_success_records_per_sec"),
+        F.avg(F.when(_succeeded(), F.col("records_per_sec"))).alias("avg_success_records_per_sec"),
         F.avg("total_ms").alias("avg_cycle_ms"),
         F.min_by(lag, F.when(lag.isNotNull(), recency)).alias("latest_cursor_lag_sec"),
         F.sum("write_units").alias("total_write_units"),
@@ -189,7 +190,7 @@ def duration_stats(cycles: DataFrame) -> DataFrame:
 
 
 def _counts_for_throughput() -> Column:
-    return _SUCCESS & finite(F.col("input_rows")).isNotNull()
+    return _succeeded() & finite(F.col("input_rows")).isNotNull()
 
 
 def _read_ms() -> Column:
@@ -315,7 +316,7 @@ def trend_series(cycles: DataFrame) -> DataFrame:
     """Successful cycles at completion time: raw rows per second, and records."""
     rate = F.when(F.col("total_ms") > 0, finite(F.col("input_rows")) / (F.col("total_ms") / F.lit(1000.0)))
     at = F.coalesce("completed_ms", F.lit(0)).alias("at_ms")
-    long = cycles.filter(_SUCCESS).select(
+    long = cycles.filter(_succeeded()).select(
         "source",
         "run_id",
         at,

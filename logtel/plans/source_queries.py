@@ -12,10 +12,7 @@ from logtel.plans.views import MS, with_views
 from logtel.session import cut, new_path
 from logtel.sources import dump_folders, files, lines, poll_lines, rows, run_artifacts
 
-E = F.col("event_id")
-
-
-def _text(c) -> F.Column:
+def _text(c):
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
@@ -32,7 +29,7 @@ def read_row_export(spark, folder):
     export = t.load(spark, folder, "events").select(
         _text("event_id").alias("id"),
         t.every(50, "event_id", F.concat(F.lit("s"), _text("user_id"))).alias("sessionId"),
-        F.when(E % 3 == 0, broken).otherwise(F.col("props")).alias("note"),
+        F.when(F.col("event_id") % 3 == 0, broken).otherwise(F.col("props")).alias("note"),
     )
     path = new_path(spark, "row-export")
     export.write.option("header", "true").option("escape", '"').csv(path)
@@ -47,8 +44,8 @@ LINES_PER_FILE = 1000
     f"""SELECT event_id, event_id % {LINES_PER_FILE} + 1 AS line FROM events WHERE event_id % 10 <> 0""",
 )
 def number_lines(spark, folder):
-    text = F.when(E % 10 == 0, "").otherwise(_text("event_id"))
-    part = F.floor(E / LINES_PER_FILE).alias("part")
+    text = F.when(F.col("event_id") % 10 == 0, "").otherwise(_text("event_id"))
+    part = F.floor(F.col("event_id") / LINES_PER_FILE).alias("part")
     path = new_path(spark, "lines")
     wide = t.load(spark, folder, "events").select(text.alias("value"), part, "event_id")
     wide.repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
@@ -357,19 +354,19 @@ def dump_documents(spark, folder):
         F.struct(F.col("event_type").alias("action")).alias("payload"),
     )
     message = F.struct(
-        _text(F.col("user_id") % 4).alias("partitionId"), E.alias("sequenceNumber"), F.lit("Pending").alias("status"),
-        F.when(E % 6 != 0, record).alias("record"),
+        _text(F.col("user_id") % 4).alias("partitionId"), F.col("event_id").alias("sequenceNumber"), F.lit("Pending").alias("status"),
+        F.when(F.col("event_id") % 6 != 0, record).alias("record"),
     )
     messages = F.to_json(F.struct(F.lit(1).alias("count"), F.array(message).alias("messages")))
     refs = F.array(F.concat(_text(F.col("user_id") % 4), F.lit("/"), _text("event_id")), F.lit("none"))
     occurrence = F.struct(
-        F.when(E % 2 == 0, "Emit").otherwise("Acknowledge").alias("kind"), utc_text(F.col("ms")).alias("lastActivityUtc"), refs.alias("sources"),
+        F.when(F.col("event_id") % 2 == 0, "Emit").otherwise("Acknowledge").alias("kind"), utc_text(F.col("ms")).alias("lastActivityUtc"), refs.alias("sources"),
         F.struct(F.concat(F.lit("d"), _text("event_id")).alias("id"), F.lit("5").alias("dwellMs")).alias("document"),
     )
     composed = F.to_json(F.struct(F.concat(F.lit("s"), _text("user_id")).alias("sessionId"), F.array(occurrence).alias("events")))
-    summary = F.struct(F.lit(1).alias("eventsWritten"), F.lit(1).alias("messagesMarkedDone"), E.alias("checkpointSequenceNumber"))
+    summary = F.struct(F.lit(1).alias("eventsWritten"), F.lit(1).alias("messagesMarkedDone"), F.col("event_id").alias("checkpointSequenceNumber"))
     flush = F.to_json(F.struct(summary.alias("summary"), F.struct(F.array(message).alias("messages")).alias("markedDone")))
-    meta = F.to_json(F.struct((E % 2).alias("dumpSchemaVersion"), (E - 1).alias("startingCheckpoint")))
+    meta = F.to_json(F.struct((F.col("event_id") % 2).alias("dumpSchemaVersion"), (F.col("event_id") - 1).alias("startingCheckpoint")))
     events = t.load(spark, folder, "events").withColumn("ms", t.epoch_ms("ts"))
 
     def file(name, text, present):
@@ -377,10 +374,10 @@ def dump_documents(spark, folder):
 
     made = F.array_compact(
         F.array(
-            file("00-Messages.json", F.when(E % 23 == 0, "[").otherwise(messages), E % 19 != 0),
-            file("01-composed/a.json", composed, E % 17 != 0),
-            file("02-flush.json", flush, E % 13 != 0),
-            file("run-meta.json", meta, E % 4 == 0),
+            file("00-Messages.json", F.when(F.col("event_id") % 23 == 0, "[").otherwise(messages), F.col("event_id") % 19 != 0),
+            file("01-composed/a.json", composed, F.col("event_id") % 17 != 0),
+            file("02-flush.json", flush, F.col("event_id") % 13 != 0),
+            file("run-meta.json", meta, F.col("event_id") % 4 == 0),
         )
     )
     return cut(events.select(F.inline(made)))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from logtel.functions.scalars import datetime_ms_text, epoch_ms_text, is_text, iso_duration_ms
 from logtel.operators.layout import BLOCK, lay_out
+from logtel.session import ship_package
 
 # Columns that hold the event time, in order of preference.
 EPOCH_COLUMNS = ("clientTime",)
@@ -215,6 +216,7 @@ def size_bounded_batches(
     of that number. Chaining these steps (one row per block) gives each block
     its starting state, and all blocks are then filled independently.
     """
+    ship_package()
     order = list(order)
     sized = events.withColumn("_size", F.octet_length("_body").cast("bigint"))
     laid = lay_out(sized, ["_key"], order, blocks)

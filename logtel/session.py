@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,3 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package() -> None:
+    """Send this package's functions along with the tasks that use them.
+
+    Python workers, and the driver-side ones of stateful streams, need not have
+    the package on their path then.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])

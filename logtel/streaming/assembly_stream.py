@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logtel.operators.assembly import Lifecycle, project_envelopes
+from logtel.session import ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEYS = ["lifecycle", "session_id", "event_id"]
@@ -144,6 +145,7 @@ def stream_assemble(envelopes: DataFrame, lifecycles: Sequence[Lifecycle], laten
     part at its deadline; later parts update a partial flush as the lifecycle
     allows. Its state goes when retention ends. Needs the RocksDB state store.
     """
+    ship_package()
     envelopes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     mapped = project_envelopes(envelopes, lifecycles).filter("is_mapped")
     timed = mapped.withColumn("event_time", F.timestamp_millis("received_ms"))

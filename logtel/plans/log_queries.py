@@ -8,6 +8,7 @@ from logtel.operators import dumps, messages
 from logtel.plans import tables as t
 from logtel.plans.registry import query
 from logtel.plans.views import with_views
+from logtel.session import new_path
 
 READ_CAP = 100000
 
@@ -106,6 +107,18 @@ def message_metadata(spark, folder):
     )
 
 
+@query(
+    "export_message_metadata",
+    with_views("msg", "ckpt", then=f"""SELECT idx AS index, CAST(partition_id AS VARCHAR) AS partition_id, seq AS sequence_number,
+    CASE WHEN seq % 3 <> 0 THEN event_type END AS correlation_id, props AS body FROM {_READ}"""),
+)
+def export_message_metadata(spark, folder):
+    path = new_path(spark, "metadata")
+    messages.export_message_metadata(messages.message_metadata(_read(spark, folder)), path)
+    fields = "index bigint, partition_id string, sequence_number bigint, correlation_id string, body string"
+    return spark.read.schema(fields).json(path)
+
+
 @query(
     "advance_checkpoints",
     with_views("msg", "ckpt", then=f"""SELECT coalesce(c.partition_id, r.partition_id) AS partition_id,

@@ -12,6 +12,7 @@ from logtel.session import cut
 
 # Above this number of file blocks their table is joined, not broadcast.
 BROADCAST_BLOCKS = 200_000
+MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 
 
 def without_cr(c: Column) -> Column:
@@ -19,7 +20,13 @@ def without_cr(c: Column) -> Column:
 
 
 def read_blocks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Raw lines with their file, the start of their file block, and a row id that grows within a block."""
+    """Raw lines with their file, the start of their file block, and a row id that grows within a block.
+
+    The size of file blocks depends on the number of cores at planning time unless
+    it is pinned; it must be the same in every scan of the same files.
+    """
+    if spark.conf.get(MIN_PARTITIONS, None) is None:
+        spark.conf.set(MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),

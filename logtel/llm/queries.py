@@ -4,17 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logtel.llm import bpe, exact_dedup, jaccard_join, oracles
 from logtel.llm.common import table
-from logtel.llm.jaccard_join import near_duplicates
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
+    return token_digests(bpe.decode(encoded, VOCABULARY, keep=["token_ids"]))
+
+
+def token_digests(tokens: DataFrame) -> DataFrame:
+    return tokens.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES["op1_jaccard_join"] = op1_jaccard_join
+QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_exact_dedup": op9_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": oracles.OP9,
+}

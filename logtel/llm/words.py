@@ -51,13 +51,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """``hashes``, byte ``starts`` and ``ends`` of all words; those of text i are ``bounds[i]:bounds[i + 1]``."""
+    """``hashes``, byte ``starts`` and ``ends`` of all words; those of text i are ``bounds[i]:bounds[i + 1]``.
+
+    ``heads`` has, for each length asked for, the hashes of the words' first bytes; 0 for shorter words.
+    """
 
     blob: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
+    heads: dict[int, np.ndarray]
 
 
 def _pieces(blob: np.ndarray) -> list[tuple[int, int]]:
@@ -74,9 +78,10 @@ def _pieces(blob: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def read_words(texts: Sequence[str]) -> Words:
+def read_words(texts: Sequence[str], heads: Sequence[int] = ()) -> Words:
     blob = np.frombuffer("\0".join(t.replace("\0", " ") for t in texts).lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
     hashes, starts, ends = [], [], []
+    begun: dict[int, list[np.ndarray]] = {k: [] for k in heads}
     for lo, hi in _pieces(blob):
         part = _WORD_BYTES[blob[lo:hi]]
         inside = np.zeros(hi - lo + 2, dtype=bool)
@@ -87,13 +92,19 @@ def read_words(texts: Sequence[str]) -> Words:
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum(part * up[: hi - lo], out=sums[1:])
         hashes.append((sums[last] - sums[first]) * down[first])
+        for k in heads:
+            long = last - first >= k
+            # another factor, so that a head is not the same feature as a word that it spells
+            begun[k].append(np.where(long, mixed((sums[np.where(long, first + k, first)] - sums[first]) * down[first] + np.uint64(k)), np.uint64(0)))
         starts.append(first + lo)
         ends.append(last + lo)
     joined = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (starts, ends)]
     gaps = np.flatnonzero(blob == 0)
     bounds = np.concatenate([[0], np.searchsorted(joined[0], gaps), [len(joined[0])]]).astype(np.int64)
     spread = mixed(np.concatenate(hashes)) if hashes else np.zeros(0, dtype=np.uint64)
-    return Words(blob, spread, *joined, bounds if len(texts) else bounds[:1])
+    empty = np.zeros(0, dtype=np.uint64)
+    by_length = {k: np.concatenate(x) if x else empty for k, x in begun.items()}
+    return Words(blob, spread, *joined, bounds if len(texts) else bounds[:1], by_length)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

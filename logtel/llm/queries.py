@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtel.llm import bpe, exact_dedup, jaccard_join, oracles, toxicity
+from logtel.llm import bpe, decontamination, exact_dedup, jaccard_join, oracles, toxicity
 from logtel.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +57,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": oracles.OP9,

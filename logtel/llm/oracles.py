@@ -1,5 +1,17 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+OP2 = r"""
+WITH rows AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), kept AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keep FROM rows
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM kept
+"""
+
 OP9 = r"""
 WITH texts AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents

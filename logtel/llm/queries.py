@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtel.llm import bpe, decontamination, exact_dedup, jaccard_join, oracles, toxicity
-from logtel.llm.common import remainder, table
+from logtel.llm import bpe, decontamination, exact_dedup, jaccard_join, oracles, toxicity, warc
+from logtel.llm.common import remainder, stored, table
+from logtel.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,20 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = warc.with_record_types(table(spark, sf_dir, "pages"))
+    index = stored(warc.write_archives(typed, new_path(spark, "warc")), "warc-index")
+    # a response answers with what its payload is, a revisit with what its headers say
+    found = F.col("record_type") == "response"
+    return warc.read_archives(spark, index).select(
+        "page_id",
+        F.when(found, F.octet_length("payload")).otherwise(F.col("n_bytes")).cast("bigint").alias("payload_bytes"),
+        F.when(found, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
@@ -63,11 +78,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_warc": op2_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc": oracles.OP2,
     "op9_exact_dedup": oracles.OP9,
 }

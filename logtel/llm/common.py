@@ -36,11 +36,11 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def slices(texts: Sequence[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+def slices(texts: Sequence[str], limit: int = SLICE_CHARS, most_rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``limit`` characters together; a longer text is a range by itself."""
     start, held = 0, 0
     for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
+        if i - start >= most_rows or held and held + len(text) > limit:
             yield start, i
             start, held = i, 0
         held += len(text) + 1

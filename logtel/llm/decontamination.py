@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtel.llm.common import slices, stored, texts_of
+from logtel.llm.common import SLICE_CHARS, slices, stored, texts_of
 from logtel.llm.words import Words, read_words, shingles
 
 
@@ -170,6 +170,7 @@ class Finder:
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[index.terms >> np.uint64(44)] = True
         self.n_blocks = -(-len(index.ids) // spec.block)
+        self.at_once = max(1, (1 << 22) // self.n_blocks)  # passages
 
     def _queries(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (passage, term), by passage; and of every passage its text and its first word."""
@@ -220,6 +221,10 @@ class Finder:
                 best[text, item] = found
         return [(text, item, b[3], b[2], b[0], b[1]) for (text, item), b in sorted(best.items())]
 
+    def slices(self, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """Rows to look at together: as many as keep the table of passages and blocks small."""
+        return slices(texts, min(SLICE_CHARS, 4 * self.index.half * self.at_once), self.at_once)
+
     def _overlaps(self, passage: np.ndarray, item: int) -> tuple[float, float]:
         shares = []
         for words, run in ((self.index.questions[item], self.spec.run), (self.index.answers[item], self.spec.answer_run)):
@@ -243,7 +248,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, spec: Leaks = Leaks()) -> Data
             finder = Finder(Index(*shard.value), spec)
             for batch in batches:
                 ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
-                for lo, hi in slices(texts):
+                for lo, hi in finder.slices(texts):
                     rows += [(ids[lo + t], finder.index.ids[i], *rest) for t, i, *rest in finder.find(texts[lo:hi])]
                 columns = list(zip(*rows)) if rows else [()] * len(names)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -264,7 +269,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, spec: Leaks = Leaks()) -> D
             finder = Finder(Index(*shard.value), spec)
             for batch in batches:
                 texts, clean = [t or "" for t in batch.column("text").to_pylist()], np.ones(batch.num_rows, dtype=bool)
-                for lo, hi in slices(texts):
+                for lo, hi in finder.slices(texts):
                     clean[[lo + t for t, *_ in finder.find(texts[lo:hi])]] = False
                 yield batch.filter(pa.array(clean))
 

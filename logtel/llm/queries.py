@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtel.llm import bpe, decontamination, exact_dedup, jaccard_join, oracles, toxicity, warc
+from logtel.llm import bpe, decontamination, exact_dedup, jaccard_join, language, oracles, toxicity, warc
 from logtel.llm.common import remainder, stored, table
 from logtel.session import new_path
 
@@ -35,6 +35,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    learned = language.prototypes(docs.filter(~held_out))
+    return language.identify(docs, learned).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
@@ -79,6 +86,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
+    "op4_language": op4_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,

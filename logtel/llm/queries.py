@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtel.llm import bpe, decontamination, exact_dedup, jaccard_join, language, oracles, toxicity, warc
+from logtel.llm import bpe, decontamination, exact_dedup, jaccard_join, language, oracles, pii, toxicity, warc
 from logtel.llm.common import remainder, stored, table
 from logtel.session import new_path
 
@@ -42,6 +42,24 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, learned).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def count(spans: str, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+    def written(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id",
+        *[count("spans", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(written("base"), 256).alias("base_sha256"),
+        written("spans").alias("spans"),
+        *[count("base", kind).alias(f"n_base_{kind}") for kind in pii.KINDS],
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
@@ -87,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
     "op4_language": op4_language,
+    "op5_personal_data": op5_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,

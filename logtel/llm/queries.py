@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtel.llm import bpe, decontamination, exact_dedup, jaccard_join, language, oracles, pii, toxicity, warc
+from logtel.llm import bpe, decontamination, exact_dedup, html_text, jaccard_join, language, oracles, pii, toxicity, warc
 from logtel.llm.common import remainder, stored, table
 from logtel.session import new_path
 
@@ -75,6 +75,10 @@ def token_digests(tokens: DataFrame) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Learned from the labelled documents that are not held out."""
     return toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op4_language": op4_language,
     "op5_personal_data": op5_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_html_text": op7_html_text,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,

@@ -312,3 +312,10 @@ def near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin()) -> DataF
     names = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     placed = placed.join(names, "root").select("sid", "class_id", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.join(placed, "sid").select("doc_id", "class_id", "n_links")
+
+
+def without_near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin()) -> DataFrame:
+    """The rows of ``docs`` that carry the least id of their class, with all their columns; rows without id stay if their class has none."""
+    found = near_duplicates(docs, spec)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -1,5 +1,44 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from logtel.llm import licenses
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def license_sql() -> str:
+    """The sentence and rule tables as SQL."""
+    known = ", ".join(f"({_text(t)}, {_text(f'[{name}]')})" for name, texts in licenses.SENTENCES.items() for t in texts)
+
+    def ruled(column: str) -> str:
+        return licenses.rewritten(column, lambda text, old, new: f"replace({text}, {_text(old)}, {_text(new)})")
+
+    def sequence(ends: str) -> str:
+        return f"""(
+            SELECT coalesce(string_agg(k.mark, '' ORDER BY s.place), '')
+            FROM (SELECT unnest(parts) AS sentence, unnest(range(len(parts))) AS place FROM (SELECT regexp_split_to_array(d.t, {_text(ends)}) AS parts)) AS s
+            JOIN known AS k ON k.sentence = trim(regexp_replace(lower(s.sentence), '[^a-z0-9]+', ' ', 'g'))
+        )"""
+
+    return f"""
+WITH known(sentence, mark) AS (VALUES {known}),
+texts AS (
+    SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), {_text(licenses.ANCHOR)}) THEN text ELSE '' END AS t FROM documents
+),
+ids AS (SELECT d.doc_id, {sequence(licenses.ENDS[0])} AS ids0, {sequence(licenses.ENDS[1])} AS ids1 FROM texts AS d),
+ruled AS (SELECT *, {ruled('ids0')} AS ruled0, {ruled('ids1')} AS ruled1 FROM ids)
+SELECT doc_id,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(
+           regexp_extract_all(ruled0, '<([^>]*)>', 1), regexp_extract_all(ruled1, '<([^>]*)>', 1)))), ','), '') AS licenses,
+       greatest(length(ids0) - length(replace(ids0, '[', '')), length(ids1) - length(replace(ids1, '[', ''))) AS n_known,
+       least(length(ruled0) - length(replace(ruled0, '[', '')), length(ruled1) - length(replace(ruled1, '[', ''))) AS n_unmatched
+FROM ruled
+"""
+
+
 OP2 = r"""
 WITH rows AS (
     SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtel.llm import bpe, decontamination, exact_dedup, html_text, jaccard_join, language, oracles, pii, toxicity, warc
+from logtel.llm import bpe, decontamination, exact_dedup, html_text, jaccard_join, language, licenses, oracles, pii, toxicity, warc
 from logtel.llm.common import remainder, stored, table
 from logtel.session import new_path
 
@@ -35,6 +35,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -61,13 +65,14 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
-    return token_digests(bpe.decode(encoded, VOCABULARY, keep=["token_ids"]))
+    return byte_bpe(table(spark, sf_dir, "documents"))
 
 
-def token_digests(tokens: DataFrame) -> DataFrame:
-    return tokens.select(
+def byte_bpe(docs: DataFrame) -> DataFrame:
+    """Encode and decode whole texts; what is returned are digests of the token ids and of the decoded bytes."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = bpe.encode(texts, VOCABULARY, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, VOCABULARY, keep=["token_ids"]).select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -108,6 +113,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
+    "op3_licenses": op3_licenses,
     "op4_language": op4_language,
     "op5_personal_data": op5_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
@@ -118,5 +124,6 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op2_warc": oracles.OP2,
+    "op3_licenses": oracles.license_sql(),
     "op9_exact_dedup": oracles.OP9,
 }

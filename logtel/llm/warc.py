@@ -106,7 +106,7 @@ def _archive(folder: str, records: list[bytes], spec: Archives) -> tuple[str, li
     path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
     compressor = zstandard.ZstdCompressor(level=spec.level, dict_data=dictionary)
     offsets, lengths, at = [], [], 8 + len(head)
-    with files.open_output_stream(f"{root}/{path.rpartition('/')[2]}") as out:
+    with files.open_output_stream(f"{root}/{path.rpartition('/')[2]}", compression=None) as out:
         out.write(pack("<II", DICTIONARY_MAGIC, len(head)) + head)
         for record in records:
             frame = compressor.compress(record)
@@ -187,7 +187,7 @@ def read_archives(spark: SparkSession, index: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 files, place = pa.fs.FileSystem.from_uri(path)
-                with files.open_input_stream(place) as source:
+                with files.open_input_stream(place, compression=None) as source:
                     data = source.read()
                 rows = []
                 for fields, block in records_in(data):

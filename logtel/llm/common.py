@@ -36,6 +36,14 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(texts: Sequence[str], limit: int = SLICE_CHARS, most_rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``limit`` characters together; a longer text is a range by itself."""
     start, held = 0, 0

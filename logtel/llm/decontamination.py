@@ -193,7 +193,8 @@ class Finder:
         return key // len(index.terms), key % len(index.terms), owner, begin
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, float, float, float]]:
-        """(text, item, passage's first word, score, question overlap, answer overlap), the best passage of each pair."""
+        """(text, item, passage's first word, score, question overlap, answer overlap): of each pair the passage with the
+        largest overlaps and then score (to nine places), the later one of equals."""
         index, spec = self.index, self.spec
         words = read_words(texts)
         passage, term, owner, begin = self._queries(words)
@@ -216,7 +217,7 @@ class Finder:
             text = int(owner[p])
             lo, hi = int(begin[p]), min(int(begin[p]) + 2 * index.half, int(words.bounds[text + 1]))
             overlaps = self._overlaps(words.hashes[lo:hi], item)
-            found = (*overlaps, float(score[k]), lo - int(words.bounds[text]))
+            found = (*overlaps, round(float(score[k]), 9), lo - int(words.bounds[text]))
             if overlaps[0] >= spec.question_overlap and overlaps[1] >= spec.answer_overlap and found > best.get((text, item), ()):
                 best[text, item] = found
         return [(text, item, b[3], b[2], b[0], b[1]) for (text, item), b in sorted(best.items())]

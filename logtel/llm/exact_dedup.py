@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtel.llm.common import stored
+from logtel.llm.common import fresh, stored
 
 #: White space whose replacement by a space changes the text: all but a single space.
 _RUNS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
@@ -80,8 +80,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     named = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("none"))
-    kept = exact_duplicates(docs).filter("kept").select(named.alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    rows = docs.withColumn("_kept_id", named).withColumn("_kept_text", F.sha2(normalised(docs["text"]), 256))
+    keys = [fresh(docs, "_kept_id"), fresh(docs, "_kept_text")]
+    kept = exact_duplicates(docs).filter("kept").select(named.alias(keys[0]), F.col("text_sha256").alias(keys[1]))
+    rows = docs.withColumn(keys[0], named).withColumn(keys[1], F.sha2(normalised(docs["text"]), 256))
     # rows that repeat id and text pass together; what the join has brought together is not moved again
-    stays = rows.join(kept, ["_kept_id", "_kept_text"], "left_semi").dropDuplicates(["_kept_id", "_kept_text"])
-    return stays.select(*docs.columns)
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -9,8 +9,9 @@ links LC, tags T and tags in links LT: characters per tag, lessened by the
 share of links at the node and of the whole body. A node's density sum is the
 sum of its children's densities. The threshold is the least density on the
 path from the body to the node of the largest sum. An ``article`` or ``main``
-element on that path is the main text; without one, every node that reaches
-the threshold marks the largest sum in it, and the marked subtrees are.
+element on that path, or such elements that hold most of that node, are the
+main text; without one, every node that reaches the threshold marks the
+largest sum in it, and the marked subtrees are.
 
 Blocks are the runs of text between block elements and line breaks, white
 space inside as one space, joined by a newline. Tags that are left open are
@@ -219,9 +220,23 @@ def main_nodes(root: _Node) -> list[_Node]:
         path.append(up)
     # an element that says it is the article is taken whole, if the densest text is in it
     named = [n for name in ("article", "main") for n in path if n.name == name]
+    if not named and (inner := _inside(best, "article") or _inside(best, "main")) and 2 * sum(n.chars for n in inner) >= best.chars:
+        return inner
     return [named[0]] if named else _marked(order, parents, min(n.density for n in path))
 
 
+def _inside(node: _Node, name: str) -> list[_Node]:
+    """The outermost elements of that name below a node, in page order."""
+    found, stack = [], [node]
+    while stack:
+        at = stack.pop()
+        if at.name == name:
+            found.append(at)
+        else:
+            stack.extend(c for c in reversed(at.children) if isinstance(c, _Node))
+    return found
+
+
 def _marked(order: list[tuple[_Node, _Node | None, bool]], parents: dict[int, _Node | None], threshold: float) -> list[_Node]:
     """Every node that reaches the threshold, as do all around it, marks the largest sum in it; the outermost marked nodes."""
     largest: dict[int, _Node] = {}

@@ -142,8 +142,8 @@ RULES = [
     (["all-rights"], "Proprietary"),
 ]
 
-#: Where sentences end: with a line, or at a sign before white space whatever the lines are.
-ENDS = (r"[.!?;:]+[ \t\r\n]+|\n", r"[.!?;:]+[ \t\r\n]+")
+#: Where sentences end: at a sign before white space, and with every line or only at an empty line.
+ENDS = (r"[.!?;:]+[ \t\r\n]+|\n", r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n")
 #: Licence sentences have one of these words; the single-word tags count only after one that has.
 ANCHOR = "(?i)licen[sc]e|redistribut|permission|public domain|rights reserved|free software"
 

@@ -107,15 +107,15 @@ def source_seq(ref: Column) -> Column:
 
 
 def natural_sort_key(c: Column) -> Column:
-    """Text key under which digit runs compare as numbers."""
+    """Text key under which digit runs of any length compare as numbers; equal ones are told apart by the text itself."""
     runs = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(
-        runs,
-        lambda r: F.when(
-            r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), 24, "0")
-        ).otherwise(r),
-    )
-    return F.array_join(padded, "")
+
+    def counted(run: Column) -> Column:
+        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    keyed = F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), counted(r)).otherwise(r))
+    return F.concat(F.array_join(keyed, ""), F.lit("\0"), c)
 
 
 def iso_duration_ms(text: str | None) -> int:

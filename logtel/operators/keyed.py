@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
-    """The row with the greatest ``order`` per key, by partial aggregation."""
+    """The row with the greatest ``order`` per key, by partial aggregation; null orders come before all others."""
     order = F.col(order) if isinstance(order, str) else order
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("_row"))
+    placed = F.struct(order.isNotNull().alias("known"), order.alias("order"))  # never null, so no key loses its row
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), placed).alias("_row"))
     return newest.select("_row.*")
 
 

@@ -7,8 +7,9 @@ Heads: partition_id, is_empty, begin_seq, last_seq. Checkpoints: partition_id, s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logtel.operators.layout import BLOCK, Running, lay_out, running
 
@@ -70,41 +71,46 @@ def partition_order(partition_id: Column) -> Column:
     return F.struct(F.coalesce(number, F.lit(2147483647)).alias("n"), partition_id.cast("string").alias("s"))
 
 
-def bounded_read(
-    messages: DataFrame,
-    heads: DataFrame,
-    checkpoints: DataFrame | None = None,
-    max_events: int = 100000,
+def unread(
+    messages: DataFrame, heads: DataFrame, checkpoints: DataFrame | None = None, only_backlog: bool = True
 ) -> DataFrame:
-    """Messages after the checkpoint (or from the earliest) up to the captured head.
-
-    The first ``max_events`` in (partition, sequence) order are kept and numbered
-    in ``index``. Blocks of sequence numbers are counted first, so only rows of
-    blocks that can hold kept messages are ordered at all.
-    """
+    """Messages up to the captured head: after the checkpoint where there is one, all of them without ``only_backlog``."""
     bounds = heads.select("partition_id", F.col("last_seq").alias("_stop"))
-    if checkpoints is not None:
+    if checkpoints is not None and only_backlog:
         marks = checkpoints.select("partition_id", F.col("seq").alias("_start"))
         bounds = bounds.join(marks, "partition_id", "left")
     else:
         bounds = bounds.withColumn("_start", F.lit(None).cast("bigint"))
     after = F.col("_start").isNull() | (F.col("seq") > F.col("_start"))
-    wanted = messages.join(bounds, "partition_id").filter(after & (F.col("seq") <= F.col("_stop")))
-    wanted = (
-        wanted.drop("_start", "_stop")
-        .withColumn("_place", partition_order(F.col("partition_id")))
-        .withColumn("_part", F.floor(F.col("seq") / F.lit(COUNT_BLOCK)))
-    )
+    return messages.join(bounds, "partition_id").filter(after & (F.col("seq") <= F.col("_stop"))).drop("_start", "_stop")
+
+
+def bounded_read(
+    messages: DataFrame,
+    heads: DataFrame,
+    checkpoints: DataFrame | None = None,
+    max_events: int | None = None,
+    only_backlog: bool = True,
+) -> DataFrame:
+    """``unread`` messages, numbered in ``index`` in (partition, sequence) order.
+
+    ``max_events``, if the caller sets it, bounds the read to the first so many.
+    Blocks of sequence numbers are counted first then, so only rows of blocks
+    that can hold kept messages are ordered at all.
+    """
+    wanted = unread(messages, heads, checkpoints, only_backlog).withColumn("_place", partition_order(F.col("partition_id")))
+    order = ["_place", "seq"]
+    number = {"index": Running("sum", F.lit(1).cast("bigint"))}
+    if max_events is None:
+        return running(lay_out(wanted, [], order), [], order, number).drop("_place", BLOCK)
+    wanted = wanted.withColumn("_part", F.floor(F.col("seq") / F.lit(COUNT_BLOCK)))
     counts = wanted.groupBy("_place", "_part").agg(F.count(F.lit(1)).alias("_n"))
     laid = lay_out(counts, [], ["_place", "_part"])
     cumulative = running(laid, [], ["_place", "_part"], {"_through": Running("sum", F.col("_n"))})
     # Every kept block holds a message and all but the last are kept whole: at most max_events rows.
     kept = cumulative.filter(F.col("_through") - F.col("_n") < max_events).select("_place", "_part")
-    some = wanted.join(F.broadcast(kept) if max_events <= 1_000_000 else kept, ["_place", "_part"], "left_semi")
-    order = ["_place", "seq"]
-    indexed = running(
-        lay_out(some, [], order), [], order, {"index": Running("sum", F.lit(1).cast("bigint"))}
-    )
+    some = wanted.join(kept, ["_place", "_part"], "left_semi")
+    indexed = running(lay_out(some, [], order), [], order, number)
     return indexed.filter(F.col("index") <= max_events).drop("_place", "_part", BLOCK)
 
 
@@ -134,8 +140,8 @@ def message_metadata(read: DataFrame, preview: int = 1000) -> DataFrame:
         "correlation_id",
         "content_type",
         F.octet_length("body").alias("body_bytes"),
-        "system_properties",
-        "app_properties",
+        property_texts(read, "system_properties"),
+        property_texts(read, "app_properties"),
         body.alias("body"),
         body_preview(body, preview).alias("preview"),
     )
@@ -150,6 +156,17 @@ def property_text(value: Column, kind: str) -> Column:
     return value.cast("string")
 
 
+def property_texts(df: DataFrame, name: str) -> Column:
+    """A property map, or a struct of typed properties, as a map of texts; a null property stays null."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StructType):
+        pairs = [x for f in kind.fields for x in (F.lit(f.name), property_text(F.col(name)[f.name], f.dataType.typeName()))]
+        return F.when(F.col(name).isNotNull(), F.create_map(*pairs)).alias(name)
+    if isinstance(kind.valueType, T.StringType):
+        return F.col(name)
+    return F.transform_values(name, lambda _, v: property_text(v, kind.valueType.typeName())).alias(name)
+
+
 def export_message_metadata(metadata: DataFrame, path: str) -> None:
     """JSON export with null fields written out."""
     metadata.drop("preview").write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -10,7 +10,8 @@ from logtel.plans.registry import query
 from logtel.plans.views import with_views
 from logtel.session import new_path
 
-READ_CAP = 100000
+# Of the two bounded reads only; small enough to bind on every table size.
+READ_CAP = 400
 
 
 @query(
@@ -57,22 +58,21 @@ def checkpoint_report_totals(spark, folder):
     return messages.checkpoint_report_totals(checkpoint_report(spark, folder))
 
 
-_READ = f"""(SELECT * FROM (SELECT m.*, row_number() OVER (ORDER BY m.partition_id, m.seq) AS idx
-    FROM msg m LEFT JOIN ckpt c ON m.partition_id = c.partition_id WHERE c.seq IS NULL OR m.seq > c.seq)
-    WHERE idx <= {READ_CAP})"""
+_READ = """(SELECT m.*, row_number() OVER (ORDER BY m.partition_id, m.seq) AS idx
+    FROM msg m LEFT JOIN ckpt c ON m.partition_id = c.partition_id WHERE c.seq IS NULL OR m.seq > c.seq)"""
 
 
-def _read(spark, folder):
+def _read(spark, folder, max_events=None):
     log = t.messages(spark, folder)
-    return messages.bounded_read(log, messages.partition_heads(log), t.checkpoints(spark, folder), READ_CAP)
+    return messages.bounded_read(log, messages.partition_heads(log), t.checkpoints(spark, folder), max_events)
 
 
 @query(
     "bounded_read",
-    with_views("msg", "ckpt", then=f"SELECT idx AS index, partition_id, seq, msg_offset, partition_key FROM {_READ}"),
+    with_views("msg", "ckpt", then=f"SELECT idx AS index, partition_id, seq, msg_offset, partition_key FROM {_READ} WHERE idx <= {READ_CAP}"),
 )
 def bounded_read(spark, folder):
-    return _read(spark, folder).select("index", "partition_id", "seq", "msg_offset", "partition_key")
+    return _read(spark, folder, READ_CAP).select("index", "partition_id", "seq", "msg_offset", "partition_key")
 
 
 @query(
@@ -129,7 +129,8 @@ def export_message_metadata(spark, folder):
     ON c.partition_id = r.partition_id"""),
 )
 def advance_checkpoints(spark, folder):
-    return messages.advance_checkpoints(t.checkpoints(spark, folder), _read(spark, folder))
+    log, marks = t.messages(spark, folder), t.checkpoints(spark, folder)
+    return messages.advance_checkpoints(marks, messages.unread(log, messages.partition_heads(log), marks))
 
 
 # --- debug dumps ----------------------------------------------------------------------------

@@ -214,29 +214,24 @@ _ORDER = "coalesce(started_ms, -1) * 10000000 + arrival"
 _SUMMARY = f"""(SELECT run_id, count(*) AS iteration_count,
     {', '.join(f'sum({c}) AS {c}' for c in ('rows_fetched', 'messages_processed', 'events_finalized', 'flush_documents',
                                             'full_flushes', 'partial_flushes', 'checkpoint_advancements'))},
-    greatest(0, arg_max_null(completed_ms, {{'a': started_ms, 'b': iteration_id}})
+    greatest(0, arg_max_null(completed_ms, {{'a': coalesce(started_ms, -1), 'b': iteration_id}})
       - arg_min_null(started_ms, {{'a': coalesce(started_ms, -1), 'b': iteration_id}})) AS duration_ms,
     {', '.join(f'avg({s}) AS avg_{s}' for s in _STAGES)}, avg(total_ms) AS avg_total_ms,
     avg(backlog_messages) AS avg_backlog, greatest(0, max(backlog_messages)) AS max_backlog, sum(blocked_ms) AS blocked_ms
-    FROM iter WHERE started_ms IS NOT NULL AND completed_ms IS NOT NULL GROUP BY run_id)"""
+    FROM iter GROUP BY run_id)"""
 _SUMMARY_EPS = "CASE WHEN duration_ms > 0 THEN events_finalized / (duration_ms / 1000) ELSE 0 END"
 
 
-def _readable(spark, folder):
-    """Iterations with readable times, the only ones a run artifact lists in its summary."""
-    return t.iterations(spark, folder).filter("started_ms IS NOT NULL AND completed_ms IS NOT NULL")
-
-
 @query("summarize_iterations", with_views("iter", then=f"""SELECT * REPLACE (round(avg_total_ms, 6) AS avg_total_ms,
     round(avg_backlog, 6) AS avg_backlog, {', '.join(f'round(avg_{s}, 6) AS avg_{s}' for s in _STAGES)}),
     round({_SUMMARY_EPS}, 6) AS events_per_sec FROM {_SUMMARY}"""))
 def summarize_iterations(spark, folder):
-    return rounded(runs.summarize_iterations(_readable(spark, folder)))
+    return rounded(runs.summarize_iterations(t.iterations(spark, folder)))
 
 
 def _summary_rows(spark, folder):
-    own = runs.summarize_iterations(_readable(spark, folder))
-    per_shard = runs.summarize_iterations(_readable(spark, folder), by=("shard_id",))
+    own = runs.summarize_iterations(t.iterations(spark, folder))
+    per_shard = runs.summarize_iterations(t.iterations(spark, folder), by=("shard_id",))
     as_runs = own.select("*", F.col("run_id").alias("id"), F.concat(F.lit("label "), "run_id").alias("label"), F.lit("bench").alias("source"))
     as_summaries = per_shard.select("*", F.col("shard_id").alias("id"), F.col("shard_id").alias("label"), F.col("iteration_count").alias("run_count"))
     return runs.summary_rows(as_runs, as_summaries)
@@ -328,14 +323,19 @@ def select_snapshot(spark, folder):
 
 @query(
     "natural_order",
-    """SELECT shard_id, row_number() OVER (ORDER BY CAST(regexp_extract(shard_id, '[0-9]+') AS BIGINT)) AS place FROM (
-    SELECT DISTINCT 'shard-' || (o_custkey % 12) AS shard_id FROM orders)""",
+    """SELECT name, row_number() OVER (ORDER BY CAST(regexp_extract(name, '[0-9]+') AS HUGEINT), name) AS place FROM (
+    SELECT DISTINCT 'shard-' || head || (o_custkey % 12) AS name
+    FROM orders, (VALUES (''), ('0'), ('00'), ('7777777777777777777777777'), ('7777777777777777777777778')) AS heads(head))""",
 )
 def natural_order(spark, folder):
     from logtel.operators.layout import number_rows
 
     shards = t.iterations(spark, folder).select("shard_id").distinct()
-    keyed = shards.withColumn("_k", natural_sort_key(F.col("shard_id")))
+    # with leading zeros, and with more digits than any number type has
+    heads = F.array(*[F.lit(h) for h in ("", "0", "00", "7" * 25, "7" * 24 + "8")])
+    names = shards.select(F.explode(heads).alias("head"), F.substring_index("shard_id", "-", -1).alias("n"))
+    names = names.select(F.concat(F.lit("shard-"), "head", "n").alias("name"))
+    keyed = names.withColumn("_k", natural_sort_key(F.col("name")))
     return number_rows(keyed, [], ["_k"], "place").drop("_k")
 
 

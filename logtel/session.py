@@ -34,9 +34,10 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the configured checkpoint folder.
 
-    Only a local session without one gets a temporary folder of its own; on a
-    cluster a missing setting is an error, as a machine-local folder would be
-    lost together with its executor.
+    Only a session inside one process (``local[n]``) without one gets a temporary
+    folder of its own; wherever executors are processes of their own a missing
+    setting is an error, as a machine-local folder would be lost together with
+    its executor.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()

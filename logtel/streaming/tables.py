@@ -23,7 +23,9 @@ def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFram
     full = StructType(schema.fields).add(BATCH, LongType())
     try:
         return spark.read.schema(full).parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise  # a folder that is there but cannot be read is not an empty one
         return spark.createDataFrame([], full)
 
 

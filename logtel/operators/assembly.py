@@ -175,11 +175,19 @@ def dedupe_envelopes(projected: DataFrame, lifecycles: Sequence[Lifecycle]) -> D
     )
 
 
+def assembled_parts(deduped: DataFrame) -> DataFrame:
+    """Every part of every event, repeated ones too: a row for each envelope that is not a duplicate."""
+    return deduped.filter("NOT is_duplicate").select(
+        *EVENT, "part", "sequence_number", "partition_id", "msg_offset", "event_type", "timestamp", "dedupe_key", "received_ms", "priority", "payload"
+    )
+
+
 def assemble_events(deduped: DataFrame, lifecycles: Sequence[Lifecycle], as_of_ms: int) -> DataFrame:
     """One row per (session, event): its parts, what is missing, and whether to flush it at ``as_of_ms``.
 
     ``parts`` holds the first envelope of each declared part, by sequence number,
-    so its length is bounded by the configuration; ``part_count`` counts all.
+    from which documents are written, so its length is bounded by the
+    configuration. ``part_count`` counts all, and ``assembled_parts`` has them.
     """
     kept = deduped.filter("NOT is_duplicate")
     place = F.struct("sequence_number", "partition_id")

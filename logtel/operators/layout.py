@@ -38,6 +38,24 @@ class Running:
         return (F.greatest if self.how == "max" else F.least)(carried, local)
 
 
+#: Input bytes that one block should stand for.
+BLOCK_BYTES = 256 << 20
+#: Sizes from here on are Spark's way of saying that it does not know.
+_UNKNOWN_BYTES = 1 << 60
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables that ``df`` reads, as far as Spark knows it while planning."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < _UNKNOWN_BYTES)
+
+
+def block_count(df: DataFrame) -> int:
+    """Blocks for an ordered pass: as many as there are shuffle partitions, more if blocks would get too large."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // BLOCK_BYTES))
+
+
 def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], blocks: int | None = None) -> DataFrame:
     """Range-partition by (keys, order), sort each block and number it in ``_block``.
 
@@ -45,7 +63,7 @@ def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], b
     The result is materialised: both the scan and the carried totals must see
     the same block of every row.
     """
-    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or block_count(df)
     columns = [*keys, *order]
     placed = df.repartitionByRange(blocks, *columns).sortWithinPartitions(*columns)
     return cut(placed.withColumn(BLOCK, F.spark_partition_id()))

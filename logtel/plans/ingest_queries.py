@@ -292,9 +292,8 @@ def _projected(spark, folder):
 
 @query(
     "project_envelopes",
-    with_views("env", then="""SELECT seq AS sequence_number, CASE WHEN mapped THEN session_id END AS session_id,
-    CASE WHEN mapped THEN event_id END AS event_id, CASE WHEN mapped THEN part END AS part, CASE WHEN mapped THEN dedupe_key END AS dedupe_key,
-    CASE WHEN mapped THEN CAST(received_ms AS VARCHAR) END AS timestamp, mapped AND conv_id % 5 = 0 AS priority, mapped AS is_mapped FROM env"""),
+    with_views("env", then="""SELECT seq AS sequence_number, session_id, event_id, part, CASE WHEN NOT notice THEN dedupe_key END AS dedupe_key,
+    CASE WHEN NOT notice THEN CAST(received_ms AS VARCHAR) END AS timestamp, conv_id % 5 = 0 AS priority, mapped AS is_mapped FROM env"""),
 )
 def project_envelopes(spark, folder):
     return _projected(spark, folder).select(
@@ -309,7 +308,8 @@ def dedupe_envelopes(spark, folder):
 
 
 _DECIDED = with_views("asm", then="SELECT 1").removesuffix(" SELECT 1") + f""", dec AS (SELECT *,
-    CASE WHEN has_opening AND has_question THEN 'full' WHEN {AS_OF_MS} - first_ms >= 43200000 THEN 'partial' ELSE 'incomplete' END AS decision
+    CASE WHEN notice THEN CASE WHEN conv_id % 5 = 0 THEN 'priority' ELSE 'full' END
+    WHEN has_opening AND has_question THEN 'full' WHEN {AS_OF_MS} - first_ms >= 43200000 THEN 'partial' ELSE 'incomplete' END AS decision
     FROM asm)"""
 
 
@@ -320,8 +320,8 @@ def _assembled(spark, folder):
 @query(
     "assemble_events",
     _DECIDED + """ SELECT session_id, event_id, part_count, first_ms AS first_received_ms, last_ms AS last_received_ms, decision,
-    decision <> 'incomplete' AND NOT (has_opening AND has_question) AS is_partial,
-    CASE WHEN NOT has_opening AND NOT has_question THEN 'opening,question' WHEN NOT has_opening THEN 'opening'
+    decision <> 'incomplete' AND NOT notice AND NOT (has_opening AND has_question) AS is_partial,
+    CASE WHEN notice THEN '' WHEN NOT has_opening AND NOT has_question THEN 'opening,question' WHEN NOT has_opening THEN 'opening'
          WHEN NOT has_question THEN 'question' ELSE '' END AS missing FROM dec""",
 )
 def assemble_events(spark, folder):
@@ -331,20 +331,34 @@ def assemble_events(spark, folder):
     )
 
 
+@query(
+    "assembled_parts",
+    with_views("env_d", then="SELECT session_id, event_id, part, seq AS sequence_number, chars FROM env_d WHERE NOT is_duplicate"),
+)
+def assembled_parts(spark, folder):
+    deduped = assembly.dedupe_envelopes(_projected(spark, folder), LIFECYCLES)
+    chars = F.try_variant_get(F.try_parse_json("payload"), "$.chars", "bigint").alias("chars")
+    return assembly.assembled_parts(deduped).select("session_id", "event_id", "part", "sequence_number", chars)
+
+
 @query(
     "write_previews",
-    _DECIDED + """ SELECT 'conversation/' || session_id || '/' || event_id AS id, session_id AS partition_key,
-    CASE decision WHEN 'full' THEN 'RequiredPartsPresent' ELSE 'PartialTimeout' END AS reason, opening_at AS begin, question_at AS ask,
-    question_chars AS chars, 'opening then question' AS shape, CASE WHEN has_opening THEN 0 ELSE 1 END AS missing_required
+    _DECIDED + """ SELECT CASE WHEN notice THEN 'notice-' || event_id ELSE 'conversation/' || session_id || '/' || event_id END AS id,
+    CASE WHEN notice THEN 'other' ELSE session_id END AS partition_key,
+    CASE decision WHEN 'full' THEN 'RequiredPartsPresent' WHEN 'priority' THEN 'Priority' ELSE 'PartialTimeout' END AS reason,
+    CASE WHEN NOT notice THEN question_chars END AS question_length, CASE WHEN NOT notice THEN answer_chars END AS reply_length,
+    CASE WHEN NOT notice THEN answer_tag END AS reply_tag, CASE WHEN NOT notice THEN 7 END AS table_number,
+    CASE WHEN notice THEN opening_tag END AS tag, CASE WHEN notice OR has_question THEN 0 ELSE 1 END AS missing_required
     FROM dec WHERE decision <> 'incomplete'""",
 )
 def write_previews(spark, folder):
     shown = assembly.write_previews(_assembled(spark, folder), LIFECYCLES)
     body = F.try_parse_json("payload")
     whole = lambda path: F.try_variant_get(body, path, "bigint")
+    text = lambda path: F.try_variant_get(body, path, "string")
     return shown.select(
-        "id", "partition_key", "reason", whole("$.span.begin").alias("begin"), whole("$.span.ask").alias("ask"),
-        whole("$.chars").alias("chars"), F.try_variant_get(body, "$.shape", "string").alias("shape"),
+        "id", "partition_key", "reason", whole("$.question.length").alias("question_length"), whole("$.reply.first.length").alias("reply_length"),
+        text("$.reply.first.tag").alias("reply_tag"), whole("$.table").alias("table_number"), text("$.tag").alias("tag"),
         F.size("missing_targets").alias("missing_required"),
     )
 

@@ -75,10 +75,10 @@ def publish_rows(spark, folder):
 
 @query(
     "stream_assemble",
-    with_views("env", then="""SELECT session_id, event_id, CASE WHEN has_opening AND has_question THEN 'full' ELSE 'partial' END AS decision,
-    part_count FROM (SELECT session_id, event_id, bool_or(part = 'opening') AS has_opening, bool_or(part = 'question') AS has_question,
-      count(DISTINCT part) AS part_count, min(received_ms) AS first_ms FROM env WHERE mapped GROUP BY session_id, event_id)
-    WHERE (has_opening AND has_question) OR first_ms + 43200000 <= (SELECT max(received_ms) FROM env WHERE mapped) - 3600000"""),
+    with_views("env", then="""SELECT session_id, event_id, CASE WHEN notice AND urgent THEN 'priority' WHEN notice OR has_opening AND has_question THEN 'full'
+    ELSE 'partial' END AS decision, part_count FROM (SELECT session_id, event_id, notice, bool_or(conv_id % 5 = 0) AS urgent, bool_or(part = 'opening') AS has_opening, bool_or(part = 'question') AS has_question,
+      count(DISTINCT part) AS part_count, min(received_ms) AS first_ms FROM env WHERE mapped GROUP BY session_id, event_id, notice)
+    WHERE notice OR (has_opening AND has_question) OR first_ms + 43200000 <= (SELECT max(received_ms) FROM env WHERE mapped) - 3600000"""),
 )
 def assemble_stream(spark, folder):
     inbox, out = new_path(spark, "envelopes"), new_path(spark, "flushes")

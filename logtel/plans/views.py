@@ -168,16 +168,17 @@ VIEWS: dict[str, str] = {
         CASE role WHEN 'system' THEN 'opening' WHEN 'user' THEN 'question' ELSE 'answer' END AS part,
         conv_id * 1000 + turn AS seq, CAST(conv_id % 4 AS VARCHAR) AS partition_id,
         conv_id * 3600000 + turn * 60000 AS received_ms, role || '-' || (length(text) % 7) AS dedupe_key, length(text) AS chars,
-        conv_id % 13 <> 0 AS mapped FROM conversations""",
+        conv_id % 13 = 0 AS notice, conv_id % 13 <> 0 OR role = 'system' AS mapped FROM conversations""",
     "env_d": """SELECT *, rep OR (part <> 'answer' AND row_number() OVER (PARTITION BY conv_id, part, rep ORDER BY seq) > 1)
-        AS is_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, dedupe_key ORDER BY seq) > 1 AS rep
+        AS is_duplicate FROM (SELECT *, NOT notice AND row_number() OVER (PARTITION BY conv_id, dedupe_key ORDER BY seq) > 1 AS rep
         FROM env WHERE mapped)""",
-    "asm": """SELECT session_id, event_id, conv_id, count(*) AS part_count, min(received_ms) AS first_ms, max(received_ms) AS last_ms,
+    "asm": """SELECT session_id, event_id, conv_id, notice, count(*) AS part_count, min(received_ms) AS first_ms, max(received_ms) AS last_ms,
         bool_or(part = 'opening') AS has_opening, bool_or(part = 'question') AS has_question,
-        min(CASE WHEN part = 'opening' THEN received_ms END) AS opening_at,
-        min(CASE WHEN part = 'question' THEN received_ms END) AS question_at,
+        arg_min(dedupe_key, seq) FILTER (part = 'opening') AS opening_tag,
+        arg_min(dedupe_key, seq) FILTER (part = 'answer') AS answer_tag,
+        arg_min(chars, seq) FILTER (part = 'answer') AS answer_chars,
         arg_min(chars, seq) FILTER (part = 'question') AS question_chars FROM env_d WHERE NOT is_duplicate
-        GROUP BY session_id, event_id, conv_id""",
+        GROUP BY session_id, event_id, conv_id, notice""",
 }
 
 

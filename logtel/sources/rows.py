@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtel.session import cut
-from logtel.sources.lines import join_blocks, read_blocks, without_cr
+from logtel.sources.lines import block_keys, join_blocks, read_blocks, without_cr
 
 
 def _records(lines: DataFrame) -> DataFrame:
@@ -22,14 +22,15 @@ def _records(lines: DataFrame) -> DataFrame:
     they are. ``_ord`` is the number of the record's first line.
     """
     counted = lines.withColumn("_odd", (F.length("value") - F.length(F.translate("value", '"', ""))) % 2)
-    per_block = counted.groupBy("file", "_start").agg(
+    per_block = block_keys(counted).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), F.sum("_odd").alias("_odds")
     )
     before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut(
         per_block.select(
-            "file",
+            "_task",
             "_start",
+            "_file_hash",
             "_first",
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
             (F.coalesce(F.sum("_odds").over(before), F.lit(0)) % 2).alias("_inside"),
@@ -39,8 +40,6 @@ def _records(lines: DataFrame) -> DataFrame:
     placed = join_blocks(counted, blocks).withColumn("_ord", F.col("_offset") + F.col("_id") - F.col("_first") + 1)
     plain = (F.col("_odds") == 0) & (F.col("_inside") == 0)
     whole = placed.filter(plain).select("file", "_ord", F.col("value").alias("record"))
-    if blocks.filter(~plain).isEmpty():
-        return whole
 
     in_block = Window.partitionBy("file", "_start").orderBy("_ord")
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -51,8 +50,8 @@ def _records(lines: DataFrame) -> DataFrame:
         .withColumn("_begins", F.when(parity == 0, F.col("_ord")))
         .withColumn("_record", F.max("_begins").over(through))
     )
-    last = broken.groupBy("file", "_start").agg(F.max("_begins").alias("_last"))
-    carried = cut(last.select("file", "_start", F.max("_last").over(before).alias("_carried")))
+    last = block_keys(broken).agg(F.max("_begins").alias("_last"))
+    carried = cut(last.select("_task", "_start", "_file_hash", F.max("_last").over(before).alias("_carried")))
     pieces = join_blocks(broken, carried).select(
         "file", F.coalesce("_record", "_carried").alias("_record"), "_ord", "value"
     )

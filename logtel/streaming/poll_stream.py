@@ -36,7 +36,10 @@ def stream_poll(spark: SparkSession, source: str, tables: str, files_per_batch:
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     raw = reader.text(source).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value"
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.xxhash64("_metadata.file_path").alias("_file_hash"),
+        "value",
     )
 
     def store(batch: DataFrame, number: int) -> None:

@@ -10,7 +10,8 @@ have probabilities of their own, the offending ones are then known.
 
 The model is fitted on a bounded sample: at most ``most_toxic`` and
 ``most_other`` labelled documents, those of least hash; everything else covers
-all rows. Only their hashed words go to the driver.
+all rows. Spark counts how many of the sample each feature is in; the driver
+gets the features that are evidence, and where in the sample they are.
 
 Results by case: null and empty texts have score 0; without a toxic training
 document every score is 0; repeated rows are scored one by one; a document
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtel.llm.common import slices, texts_of
+from logtel.llm.common import slices, stored, texts_of
 from logtel.llm.words import Words, read_words
 
 #: Lengths in bytes of the word beginnings that are features beside the words.
@@ -78,18 +79,18 @@ def _sentence_of(words: Words, places: np.ndarray) -> np.ndarray:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, features, sentences) of labelled documents."""
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32())]
     for batch in batches:
         found = []
         for text in batch.column("text").to_pylist():
             words = read_words([text], HEADS)
-            kinds = list(_features(words))
-            places, hashes = (np.concatenate(x) for x in zip(*kinds))
-            found.append((hashes.tobytes(), _sentence_of(words, places).astype(np.int32).tobytes()))
-        columns = [pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)]
+            places, hashes = (np.concatenate(x) for x in zip(*_features(words)))
+            found.append((hashes.view(np.int64), _sentence_of(words, places).astype(np.int32)))
+        columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
         yield pa.record_batch([batch.column("toxic"), *columns], names=["toxic", "features", "sentences"])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, use: Column, spec: Fit) -> pa.Table:
+def _sample(docs: DataFrame, labels: DataFrame, use: Column, spec: Fit) -> DataFrame:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & use)
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     parts = [
@@ -98,54 +99,61 @@ def _sample(docs: DataFrame, labels: DataFrame, use: Column, spec: Fit) -> pa.Ta
     ]
     # the sample has a stated bound, so it can be sent to the documents
     chosen = texts_of(docs).join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id").select("toxic", "text")
-    return chosen.mapInArrow(_hashed, "toxic int, features binary, sentences binary").toArrow()
+    return stored(chosen.mapInArrow(_hashed, "toxic int, features array<bigint>, sentences array<int>"), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, spec: Fit = Fit()) -> Model:
     """A model learned from the labelled documents for which ``use``, a condition on ``doc_id``, holds."""
     sample = _sample(docs, labels, use, spec)
-    if not sample.num_rows:
-        return Model()
-    toxic = np.array(sample.column("toxic").to_pylist()) == 1
-    rows = [np.frombuffer(x, dtype=np.uint64) for x in sample.column("features").to_pylist()]
-    # evidence is in several toxic documents, and in a larger part of them than of the others
-    seen, times = _documents_with(r for r, y in zip(rows, toxic) if y)
-    other, clean = _documents_with(r for r, y in zip(rows, toxic) if not y)
-    at = np.minimum(np.searchsorted(other, seen), max(0, len(other) - 1))
-    elsewhere = np.where(other[at] == seen, clean[at], 0) if len(other) else np.zeros(len(seen))
-    ratio = (times / max(1, toxic.sum())) / ((elsewhere + 0.5) / (1 + (~toxic).sum()))
-    features = seen[(times >= spec.least_documents) & (ratio >= spec.least_ratio)]
+    features = _evidence(sample, spec)
     if not len(features):
         return Model()
+    broadcast = docs.sparkSession.sparkContext.broadcast(features)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = broadcast.value
+        for batch in batches:
+            for n, toxic in enumerate(batch.column("toxic").to_pylist()):
+                row = batch.column("features")[n].values.to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(known, row), len(known) - 1)
+                true = np.flatnonzero(known[at] == row)
+                sentence = batch.column("sentences")[n].values.to_numpy()[true]
+                columns = [pa.array([toxic]), *[pa.array([x.astype(np.int32).tobytes()]) for x in (at[true], sentence)]]
+                yield pa.record_batch(columns, names=["toxic", "features", "sentences"])
+
+    rows = sample.mapInArrow(keep, "toxic bigint, features binary, sentences binary").toArrow()
+    toxic = rows.column("toxic").to_numpy() == 1
     kept, sentences, owners, before = [], [], [], 0
-    for doc, (row, places) in enumerate(zip(rows, sample.column("sentences").to_pylist())):
-        at = np.minimum(np.searchsorted(features, row), len(features) - 1)
-        known = np.flatnonzero(features[at] == row)
-        used, own = np.unique(np.frombuffer(places, dtype=np.int32)[known], return_inverse=True)
-        kept.append(at[known])
+    for doc, (row, places) in enumerate(zip(rows.column("features").to_pylist(), rows.column("sentences").to_pylist())):
+        used, own = np.unique(np.frombuffer(places, dtype=np.int32), return_inverse=True)
+        kept.append(np.frombuffer(row, dtype=np.int32))
         sentences.append(own + before)
         owners.append(np.full(len(used), doc))
         before += len(used)
     return _descend(features, np.concatenate(kept), np.concatenate(sentences), np.concatenate(owners), toxic, spec)
 
 
-def _documents_with(rows: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of some documents and in how many of them each is."""
-    each = [np.unique(r) for r in rows]
-    return np.unique(np.concatenate(each) if each else np.zeros(0, dtype=np.uint64), return_counts=True)
+def _evidence(sample: DataFrame, spec: Fit) -> np.ndarray:
+    """Features of several toxic documents that are in a larger part of them than of the others, in order."""
+    sizes = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    toxic, other = sizes[0], sizes[1] - sizes[0]
+    each = sample.select("toxic", F.explode(F.array_distinct("features")).alias("feature"))
+    counts = each.groupBy("feature").agg(F.sum("toxic").alias("n"), F.count(F.lit(1)).alias("all"))
+    share = (F.col("n") / max(1, toxic)) / ((F.col("all") - F.col("n") + 0.5) / (1 + other))
+    found = counts.filter((F.col("n") >= spec.least_documents) & (share >= spec.least_ratio)).select("feature").toArrow()
+    return np.sort(found.column("feature").to_numpy().view(np.uint64))
 
 
 def _descend(features: np.ndarray, feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, toxic: np.ndarray, spec: Fit) -> Model:
     """Adam on the documents' log loss, with weights kept sparse and non-negative."""
     n, docs = len(features), len(toxic)
     weights, bias = np.zeros(n), -3.0
-    share = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))  # both classes weigh the same
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, spec.rounds + 1):
         p = _sigmoid(bias + np.bincount(sentence, weights[feature], len(owner)))
         clean = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), docs))
         total = np.maximum(1 - clean, 1e-9)
-        slope = (share * np.where(toxic, -clean / total, 1.0))[owner] * p
+        slope = (np.where(toxic, -clean / total, 1.0) / docs)[owner] * p
         gradient = np.append(np.bincount(feature, slope[sentence], n), slope.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2

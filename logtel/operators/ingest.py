@@ -53,9 +53,13 @@ def incremental_pull(
         if explicit_users:
             pulled = pulled.join(marks.select("object_id"), "object_id", "left_semi")
     else:
-        if marks.isEmpty():
-            raise ValueError("at least one user or a session is required")
         since = now_ms - iso_duration_ms(lookback)
+        users, marked, least = marks.agg(F.count(F.lit(1)), F.count("watermark_ms"), F.min("watermark_ms")).first()
+        if not users:
+            raise ValueError("at least one user or a session is required")
+        # no row outside these literal bounds can be fresh for any user; they reach the scan, the test per user does not
+        reached = F.lit(False) if least is None else F.col("client_ms") > F.lit(least)
+        rows = rows.filter(reached if marked == users else reached | (F.col("ts_ms") > F.lit(since)))
         fresh = F.when(F.col("watermark_ms").isNotNull(), F.col("client_ms") > F.col("watermark_ms")).otherwise(
             F.col("ts_ms") > F.lit(since)
         )

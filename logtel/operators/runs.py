@@ -318,10 +318,11 @@ def iteration_throughput(iterations: DataFrame) -> DataFrame:
 
 
 def trend_points(metrics: DataFrame, points: DataFrame) -> DataFrame:
-    """Per-iteration metrics at their iteration's anchor time; the last anchor of an iteration counts."""
+    """Per-iteration metrics at their iteration's anchor time; the last anchor of an iteration to arrive counts."""
+    last = "arrival" if "arrival" in points.columns else "x_at_ms"
     anchors = latest_per_key(
-        points.select("run_id", "iteration_id", "label", "x_at_ms"), ["run_id", "iteration_id"], F.col("x_at_ms")
-    )
+        points.select("run_id", "iteration_id", "label", "x_at_ms", F.col(last).alias("_last")), ["run_id", "iteration_id"], "_last"
+    ).drop("_last")
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), finite(F.col(n)).alias("value")) for n in DIALS])
     long = metrics.select("run_id", "iteration_id", F.inline(pairs)).filter(F.col("value").isNotNull())
     return long.join(anchors, ["run_id", "iteration_id"])

@@ -13,7 +13,7 @@ from logtel.plans.views import with_views
 from logtel.session import new_path
 from logtel.streaming.assembly_stream import stream_assemble
 from logtel.streaming.line_stream import reassembled, stream_lines
-from logtel.streaming.log_stream import drain_to_head, drained_checkpoints, stream_keyed_events
+from logtel.streaming.log_stream import drain_to_head, drained_checkpoints, publish_summary, skipped_rows, stream_keyed_events
 from logtel.streaming.poll_stream import poll_tables, stream_poll
 
 
@@ -60,17 +60,33 @@ def drain_log(spark, folder):
     return drained_checkpoints(spark, t.checkpoints(spark, folder), tables)
 
 
-@query(
-    "stream_keyed_events",
-    with_views("tele", then="SELECT session_key AS key, event_id AS ord, coalesce(client_ms, precise_ms) AS event_ms FROM tele WHERE session_key IS NOT NULL"),
-)
-def publish_rows(spark, folder):
+def _publish(spark, folder):
+    """Where the rows of the telemetry table have been published by a stream."""
     inbox, out = new_path(spark, "rows"), new_path(spark, "published")
     rows = t.telemetry(spark, folder)
     rows.write.parquet(inbox)
     stream = spark.readStream.schema(rows.schema).parquet(inbox)
     stream_keyed_events(stream, out, new_path(spark, "publish-checkpoint"), partitions=8).awaitTermination()
-    return spark.read.parquet(out).select("key", F.col("_ord").alias("ord"), F.col("_event_ms").alias("event_ms"))
+    return out
+
+
+@query(
+    "stream_keyed_events",
+    with_views("tele", then="SELECT session_key AS key, event_id AS ord, coalesce(client_ms, precise_ms) AS event_ms FROM tele WHERE session_key IS NOT NULL"),
+)
+def published_rows(spark, folder):
+    published = spark.read.parquet(_publish(spark, folder))
+    return published.select("key", F.col("_ord").alias("ord"), F.col("_event_ms").alias("event_ms"))
+
+
+@query(
+    "stream_publish_summary",
+    with_views("tele", then="""SELECT count(*) AS rows_read, count(session_key) AS rows_sent, count(*) - count(session_key) AS rows_skipped,
+    count(DISTINCT session_key) AS keys FROM tele"""),
+)
+def published_summary(spark, folder):
+    out = _publish(spark, folder)
+    return publish_summary(spark.read.parquet(out), skipped_rows(spark, out))
 
 
 @query(

@@ -52,12 +52,17 @@ def parse_checkpoints(documents: DataFrame) -> DataFrame:
 
 
 def read_checkpoints(spark: SparkSession, path: str | Sequence[str], partitions: DataFrame | None = None) -> DataFrame:
-    """Checkpoint files below ``path``; partitions without a file are listed as ``no_checkpoint``."""
+    """Checkpoint files below ``path``.
+
+    ``partitions`` (consumer_group, hub, partition_id) are those asked for: one row
+    each, ``no_checkpoint`` for one without a file in that very group and hub.
+    """
     found = parse_checkpoints(read_documents(spark, path, "*"))
     if partitions is None:
         return found
-    wanted = partitions.select(F.col("partition_id").cast("string").alias("partition_id"))
-    missing = F.col("consumer_group").isNull()
-    return wanted.join(found, "partition_id", "left").withColumn(
-        "status", F.when(missing, "no_checkpoint").otherwise(F.col("status"))
-    )
+    keys = ["consumer_group", "hub", "partition_id"]
+    wanted = partitions.select(*[F.col(k).cast("string").alias(k) for k in keys])
+    marked = found.withColumn("_found", F.lit(True))
+    return wanted.join(marked, keys, "left").withColumn(
+        "status", F.when(F.col("_found").isNull(), "no_checkpoint").otherwise(F.col("status"))
+    ).drop("_found")

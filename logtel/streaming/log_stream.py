@@ -52,10 +52,12 @@ def stream_keyed_events(
     """Order, key, serialise and write rows batch by batch; a key's order holds within a batch.
 
     ``rows`` needs ``_ord`` for ties. Each batch has its own folder, so a replay replaces it.
+    Rows without a key are not lost: ``skipped_rows`` and ``publish_summary`` read what became of them.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        kept, _ = resolve_key(event_time_ms(batch), field, allow_unkeyed)
+        kept, skipped = resolve_key(event_time_ms(batch), field, allow_unkeyed)
+        write_batch(rows_to_json(skipped).select("_ord", "_body"), f"{path}-skipped", number)
         write_keyed_events(rows_to_json(kept), f"{path}/{BATCH}={number}", partitions, mode="overwrite")
 
     return (
@@ -64,3 +66,17 @@ def stream_keyed_events(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def skipped_rows(spark: SparkSession, path: str, order: str = "bigint") -> DataFrame:
+    """The rows that were published to ``path`` without success for want of a key, as JSON, with ``_ord`` of type ``order``."""
+    schema = T.StructType.fromDDL(f"_ord {order}, _body string")
+    return read_batches(spark, f"{path}-skipped", schema)
+
+
+def publish_summary(published: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row: rows read, sent and skipped, and how many keys were sent."""
+    sent = published.agg(F.count(F.lit(1)).alias("rows_sent"), F.count_distinct("key").alias("keys"))
+    left = skipped.agg(F.count(F.lit(1)).alias("rows_skipped"))
+    both = sent.withColumn("_one", F.lit(1)).join(left.withColumn("_one", F.lit(1)), "_one")
+    return both.select((F.col("rows_sent") + F.col("rows_skipped")).alias("rows_read"), "rows_sent", "rows_skipped", "keys")

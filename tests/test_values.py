@@ -135,3 +135,96 @@ def test_no_window_over_everything(spark):
 
     plan = number_rows(spark.range(1000), [], ["id"], "n")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_block" in plan and "BroadcastHashJoin" in plan
+
+
+def test_natural_order_of_long_runs_and_leading_zeros(spark):
+    names = ["a" + "9" * 25, "a" + "9" * 24 + "8", "a01", "a1", "a2", "a010", "a", "b1"]
+    got = [r.c for r in spark.createDataFrame([(n,) for n in names], "c string").orderBy(s.natural_sort_key(F.col("c"))).collect()]
+    assert got == ["a", "a01", "a1", "a2", "a010", "a" + "9" * 24 + "8", "a" + "9" * 25, "b1"]
+
+
+def test_latest_row_of_a_key_without_any_order(spark):
+    from logtel.operators.keyed import latest_per_key
+
+    rows = spark.createDataFrame([("k", None, 1), ("m", None, 2), ("m", 5, 3), ("m", 4, 4)], "key string, at int, value int")
+    assert sorted(map(tuple, latest_per_key(rows, ["key"], "at").collect())) == [("k", None, 1), ("m", 5, 3)]
+
+
+def test_typed_properties_become_text(spark):
+    import datetime
+
+    from logtel.operators.messages import message_metadata
+
+    typed = "struct<n: int, raw: binary, at: timestamp, none: string>"
+    rows = spark.createDataFrame(
+        [(1, 0, 5, "o", 0, None, "m", None, None, b"body", {"x": b"ab"}, (7, b"\x01\x02", datetime.datetime(2024, 1, 2, 3, 4, 5), None))],
+        "index bigint, partition_id int, seq bigint, msg_offset string, enqueued_ms bigint, partition_key string, message_id string, "
+        f"correlation_id string, content_type string, body binary, system_properties map<string, binary>, app_properties {typed}",
+    )
+    found = message_metadata(rows).first()
+    assert found.system_properties == {"x": "YWI="}
+    assert found.app_properties == {"n": "7", "raw": "AQI=", "at": "2024-01-02T03:04:05.000000Z", "none": None}
+
+
+def test_a_read_has_no_cap_of_its_own(spark):
+    from logtel.operators.messages import bounded_read, partition_heads
+
+    log = spark.range(0, 3000).selectExpr("id % 3 AS partition_id", "id AS seq")
+    marks = spark.createDataFrame([(0, 2000)], "partition_id bigint, seq bigint")
+    heads = partition_heads(log)
+    assert bounded_read(log, heads, marks).count() == 2000 + 333
+    assert bounded_read(log, heads, marks, only_backlog=False).count() == 3000
+    assert [r.seq for r in bounded_read(log, heads, marks, 2).orderBy("index").collect()] == [2001, 2004]
+
+
+def test_every_repeated_part_is_a_row(spark):
+    from logtel.operators import assembly
+    from logtel.plans.sample_lifecycle import CONFIG
+
+    lifecycles = assembly.read_lifecycles(CONFIG)
+    parts = ["opening", "question", "answer", "answer", "answer", "question"]
+    rows = [
+        (f'{{"kind": "conversation", "session": "s", "event": "e", "part": "{p}", "dedupe": "d{i}"}}', "0", i, str(i), i) for i, p in enumerate(parts)
+    ]
+    envelopes = spark.createDataFrame(rows, "payload string, partition_id string, sequence_number bigint, msg_offset string, received_ms bigint")
+    deduped = assembly.dedupe_envelopes(assembly.project_envelopes(envelopes, lifecycles), lifecycles)
+    found = assembly.assembled_parts(deduped).orderBy("sequence_number").collect()
+    assert [(r.part, r.sequence_number) for r in found] == [(p, i) for i, p in enumerate(parts[:5])]
+    assert assembly.assemble_events(deduped, lifecycles, 0).first().part_count == 5
+
+
+def test_checkpoints_by_group_and_hub(spark, tmp_path):
+    from logtel.sources.files import read_checkpoints
+
+    for group, body in (("g1", '{"SequenceNumber": 5}'), ("g2", '{"SequenceNumber": "x"}')):
+        (tmp_path / group / "h").mkdir(parents=True)
+        (tmp_path / group / "h" / "0").write_text(body)
+    wanted = spark.createDataFrame([("g1", "h", "0"), ("g2", "h", "0"), ("g3", "h", "0"), ("g1", "h", "1")], "consumer_group string, hub string, partition_id string")
+    found = {(r.consumer_group, r.partition_id): (r.seq, r.status) for r in read_checkpoints(spark, str(tmp_path), wanted).collect()}
+    assert found == {("g1", "0"): (5, None), ("g2", "0"): (None, "error: invalid SequenceNumber"), ("g3", "0"): (None, "no_checkpoint"), ("g1", "1"): (None, "no_checkpoint")}
+
+
+def test_pull_bounds_reach_the_scan(spark, tmp_path):
+    from logtel.operators.ingest import incremental_pull
+
+    path = str(tmp_path / "rows")
+    spark.range(0, 1000).selectExpr("cast(id % 5 as string) AS object_id", "'s' AS session_id", "id AS client_ms", "id AS ts_ms").write.parquet(path)
+    marks = spark.createDataFrame([("0", 900), ("1", 950)], "object_id string, watermark_ms bigint")
+    pulled = incremental_pull(spark.read.parquet(path), marks, 1000)
+    plan = pulled._jdf.queryExecution().toString()
+    assert "GreaterThan(client_ms,900)" in plan
+    assert sorted({r.object_id for r in pulled.collect()}) == ["0", "1"] and pulled.count() == 19 + 10
+
+
+def test_lost_batches_are_not_an_empty_table(spark, tmp_path):
+    import pytest
+    from pyspark.sql import types as T
+
+    from logtel.streaming.tables import read_batches
+
+    schema = T.StructType().add("a", T.LongType())
+    assert read_batches(spark, str(tmp_path / "none"), schema).collect() == []
+    (tmp_path / "bad" / "_batch_id=0").mkdir(parents=True)
+    (tmp_path / "bad" / "_batch_id=0" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        read_batches(spark, str(tmp_path / "bad"), schema).collect()

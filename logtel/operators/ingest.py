@@ -181,26 +181,49 @@ def _chain_blocks(limit: int):
     return chain
 
 
+def _filled(sizes: np.ndarray, limit: int, held: int, number: int) -> tuple[np.ndarray, int, int]:
+    """Batch numbers of the events of one key (0: too large), and the bytes open and the number at the end.
+
+    One step for each batch and each event that is too large: running sums give
+    the last event that still fits.
+    """
+    numbers, through = np.zeros(len(sizes), dtype=np.int64), np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        size = int(sizes[at])
+        if size > limit:
+            held, at = 0, at + 1
+            continue
+        if held == 0 or held + size > limit:
+            held, number = 0, number + 1
+        before = int(through[at]) - size
+        end = int(np.searchsorted(through, before + limit - held, side="right"))
+        numbers[at:end] = number
+        held += int(through[end - 1]) - before
+        at = end
+    return numbers, held, number
+
+
 def _fill_batches(limit: int):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, number, fresh = None, 0, 0, True
         for rows in batches:
+            if not rows.num_rows:
+                continue
+            codes = rows.column("_key").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            sizes = rows.column("_size").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
             numbers = []
-            columns = [rows.column(c).to_pylist() for c in ("_key", "_size", "_held", "_batches")]
-            for row_key, size, start_held, start_number in zip(*columns):
+            for lo, hi in zip(cuts, cuts[1:]):
+                row_key = rows.column("_key")[lo].as_py()
                 if fresh or row_key != key:
                     key, fresh = row_key, False
-                    held, number = start_held or 0, start_number or 0
-                if size > limit:
-                    held = 0
-                    numbers.append(None)
-                    continue
-                if held == 0 or held + size > limit:
-                    held, number = 0, number + 1
-                held += size
-                numbers.append(number)
+                    held, number = (rows.column(c)[lo].as_py() or 0 for c in ("_held", "_batches"))
+                found, held, number = _filled(sizes[lo:hi], limit, held, number)
+                numbers.append(found)
+            batch = np.concatenate(numbers)
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(numbers, pa.int64())], names=[*rows.schema.names, "_batch"]
+                [*rows.columns, pa.array(batch, pa.int64(), mask=batch == 0)], names=[*rows.schema.names, "_batch"]
             )
 
     return fill

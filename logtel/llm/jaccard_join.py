@@ -30,6 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         new = np.zeros(t.num_rows, dtype=bool)
         for key in keys:
             column = t.column(key).combine_chunks()
-            new[1:] |= np.asarray(pa.compute.not_equal(column[1:], column[:-1]))
+            new[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]))
         return np.cumsum(new)
 
     for batch in batches:

@@ -30,7 +30,7 @@ from struct import pack, unpack
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs
+from pyarrow import fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,7 +102,7 @@ def _archive(folder: str, records: list[bytes], spec: Archives) -> tuple[str, li
     """Write one archive: its path, and offset and length of each record's frame."""
     dictionary = _dictionary(records, spec.dictionary_bytes)
     head = dictionary.as_bytes()
-    files, root = pa.fs.FileSystem.from_uri(folder)
+    files, root = fs.FileSystem.from_uri(folder)
     path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
     compressor = zstandard.ZstdCompressor(level=spec.level, dict_data=dictionary)
     offsets, lengths, at = [], [], 8 + len(head)
@@ -124,7 +124,7 @@ def write_archives(typed: DataFrame, folder: str, spec: Archives = Archives()) -
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.fs.FileSystem.from_uri(folder)[0].create_dir(pa.fs.FileSystem.from_uri(folder)[1], recursive=True)
+        fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
 
         def closed(ids: list, records: list[bytes]) -> pa.RecordBatch:
             path, offsets, lengths = _archive(folder, records, spec)
@@ -186,7 +186,7 @@ def read_archives(spark: SparkSession, index: DataFrame) -> DataFrame:
         names = [part.split()[0] for part in schema.split(", ")]
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                files, place = pa.fs.FileSystem.from_uri(path)
+                files, place = fs.FileSystem.from_uri(path)
                 with files.open_input_stream(place, compression=None) as source:
                     data = source.read()
                 rows = []

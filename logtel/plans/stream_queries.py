@@ -89,11 +89,19 @@ def published_summary(spark, folder):
     return publish_summary(spark.read.parquet(out), skipped_rows(spark, out))
 
 
+def _parts_text(parts):
+    chars = lambda p: F.try_variant_get(F.try_parse_json(p["payload"]), "$.chars", "string")
+    return F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["part"], p["sequence_number"].cast("string"), chars(p))), ",")
+
+
 @query(
     "stream_assemble",
-    with_views("env", then="""SELECT session_id, event_id, CASE WHEN notice AND urgent THEN 'priority' WHEN notice OR has_opening AND has_question THEN 'full'
-    ELSE 'partial' END AS decision, part_count FROM (SELECT session_id, event_id, notice, bool_or(conv_id % 5 = 0) AS urgent, bool_or(part = 'opening') AS has_opening, bool_or(part = 'question') AS has_question,
-      count(DISTINCT part) AS part_count, min(received_ms) AS first_ms FROM env WHERE mapped GROUP BY session_id, event_id, notice)
+    with_views("env_d", then="""SELECT session_id, event_id, CASE WHEN notice AND urgent THEN 'priority' WHEN notice OR has_opening AND has_question THEN 'full'
+    ELSE 'partial' END AS decision, part_count, parts,
+    CASE WHEN notice THEN '' ELSE concat_ws(',', CASE WHEN NOT has_opening THEN 'opening' END, CASE WHEN NOT has_question THEN 'question' END) END
+    AS missing FROM (SELECT session_id, event_id, notice, bool_or(conv_id % 5 = 0) AS urgent, bool_or(part = 'opening') AS has_opening, bool_or(part = 'question') AS has_question,
+      count(*) FILTER (NOT is_duplicate) AS part_count, min(received_ms) AS first_ms,
+      string_agg(part || ':' || seq || ':' || chars, ',' ORDER BY seq) FILTER (NOT is_duplicate) AS parts FROM env_d GROUP BY session_id, event_id, notice)
     WHERE notice OR (has_opening AND has_question) OR first_ms + 43200000 <= (SELECT max(received_ms) FROM env WHERE mapped) - 3600000"""),
 )
 def assemble_stream(spark, folder):
@@ -104,4 +112,6 @@ def assemble_stream(spark, folder):
     flushed.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "assembly-checkpoint")).outputMode(
         "append"
     ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(flushed.schema).parquet(out).select("session_id", "event_id", "decision", "part_count")
+    return spark.read.schema(flushed.schema).parquet(out).select(
+        "session_id", "event_id", "decision", "part_count", _parts_text(F.col("parts")).alias("parts"), F.array_join("missing_parts", ",").alias("missing")
+    )

@@ -15,23 +15,24 @@ from logtel.session import ship_package
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEYS = ["lifecycle", "session_id", "event_id"]
 _COMBINED = (
-    "lifecycle int, session_id string, event_id string, part string, sequence_number bigint, payload string, "
+    "lifecycle int, session_id string, event_id string, part string, dedupe string, sequence_number bigint, payload string, "
     "priority boolean, received_ms bigint, first_ms bigint, copies bigint, event_time timestamp"
 )
 _OUTPUT = (
-    "lifecycle int, session_id string, event_id string, decision string, is_update boolean, parts string, "
+    "lifecycle int, session_id string, event_id string, decision string, is_update boolean, "
+    "parts array<struct<part:string,sequence_number:bigint,payload:string>>, missing_parts array<string>, "
     "part_count bigint, dropped bigint, at_ms bigint"
 )
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per (event, part) and input batch, so that many copies of a part never travel."""
+    """One row per (event, dedupe key) and input batch, so that many copies of an envelope never travel."""
     for rows in batches:
         if rows.empty:
             continue
-        keys = [*_KEYS, "part"]
+        keys = [*_KEYS, "dedupe"]
         ordered = rows.sort_values("sequence_number", kind="stable")
-        first = ordered.groupby(keys, sort=False, as_index=False)[["sequence_number", "payload"]].first()
+        first = ordered.drop_duplicates(keys)[[*keys, "part", "sequence_number", "payload"]]
         facts = ordered.groupby(keys, sort=False, as_index=False).agg(
             priority=("priority", "max"),
             received_ms=("received_ms", "max"),
@@ -40,7 +41,7 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             event_time=("event_time", "max"),
         )
         yield first.merge(facts, on=keys)[
-            [*keys, "sequence_number", "payload", "priority", "received_ms", "first_ms", "copies", "event_time"]
+            [*_KEYS, "part", "dedupe", "sequence_number", "payload", "priority", "received_ms", "first_ms", "copies", "event_time"]
         ]
 
 
@@ -52,17 +53,21 @@ class Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "part string", "sequence bigint, copies bigint")
+        # a part that may repeat has an entry for each of its envelopes, any other one entry
+        self.parts = handle.getMapState("parts", "part string, repeat bigint", "sequence bigint, payload string")
+        self.seen = handle.getMapState("seen", "dedupe string", "sequence bigint")
         self.facts = handle.getValueState(
             "facts", "first_ms bigint, last_ms bigint, priority boolean, flushed string, updates int, dropped bigint"
         )
 
     def _emit(self, key: tuple, decision: str, update: bool, facts: dict, at: int) -> pd.DataFrame:
-        held = sorted((value[0], part[0]) for part, value in self.parts.iterator())
+        held = sorted((value[0], part[0], value[1]) for part, value in self.parts.iterator())
+        names = {part for _, part, _ in held}
         return pd.DataFrame(
             [{
                 "lifecycle": key[0], "session_id": key[1], "event_id": key[2], "decision": decision, "is_update": update,
-                "parts": ",".join(part for _, part in held), "part_count": len(held), "dropped": facts["dropped"], "at_ms": at,
+                "parts": [{"part": part, "sequence_number": at, "payload": payload} for at, part, payload in held],
+                "missing_parts": [p for p in self.lifecycles[key[0]].required if p not in names], "part_count": len(held), "dropped": facts["dropped"], "at_ms": at,
             }]
         )
 
@@ -80,16 +85,20 @@ class Assembler(StatefulProcessor):
                 facts = facts or self._load(int(row.first_ms))
                 facts["last_ms"] = max(facts["last_ms"], int(row.received_ms))
                 facts["first_ms"] = min(facts["first_ms"], int(row.first_ms))
-                known = self.parts.containsKey((row.part,))
+                repeats = row.part in lifecycle.repeatable
+                slot = (row.part, int(row.sequence_number) if repeats else 0)
+                known = self.seen.containsKey((row.dedupe,)) or self.parts.containsKey(slot)
                 closed = facts["flushed"] in ("full", "priority") or (
                     facts["flushed"] == "partial" and not lifecycle.flush.update_after_partial
                 )
                 if known or closed:
+                    if not closed:  # as in a batch, a part that came too often still uses up its dedupe key
+                        self.seen.updateValue((row.dedupe,), (int(row.sequence_number),))
                     facts["dropped"] += int(row.copies)
                     continue
-                repeats = row.part in lifecycle.repeatable
-                self.parts.updateValue((row.part,), (int(row.sequence_number), int(row.copies) if repeats else 1))
-                facts["dropped"] += 0 if repeats else int(row.copies) - 1
+                self.seen.updateValue((row.dedupe,), (int(row.sequence_number),))
+                self.parts.updateValue(slot, (int(row.sequence_number), row.payload))
+                facts["dropped"] += int(row.copies) - 1
                 facts["priority"] = bool(facts["priority"] or row.priority)
                 changed = True
         if facts is None:
@@ -99,7 +108,8 @@ class Assembler(StatefulProcessor):
             if lifecycle.flush.partial_after_ms is not None:
                 self.handle.registerTimer(facts["first_ms"] + lifecycle.flush.partial_after_ms)
         if changed:
-            missing = [p for p in lifecycle.required if not self.parts.containsKey((p,))]
+            names = {part[0] for part in self.parts.keys()}
+            missing = [p for p in lifecycle.required if p not in names]
             decision = ""
             if facts["priority"] and lifecycle.flush.priority_now:
                 decision = "priority"
@@ -132,6 +142,7 @@ class Assembler(StatefulProcessor):
             yield self._emit(key, "partial", False, facts, expired)
         if expired >= facts["first_ms"] + lifecycle.retention_ms:
             self.parts.clear()
+            self.seen.clear()
             self.facts.clear()
 
     def close(self) -> None:
@@ -148,9 +159,10 @@ def stream_assemble(envelopes: DataFrame, lifecycles: Sequence[Lifecycle], laten
     ship_package()
     envelopes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     mapped = project_envelopes(envelopes, lifecycles).filter("is_mapped")
-    timed = mapped.withColumn("event_time", F.timestamp_millis("received_ms"))
+    own = F.concat_ws("/", "partition_id", F.col("sequence_number").cast("string"))
+    timed = mapped.withColumns({"event_time": F.timestamp_millis("received_ms"), "dedupe": F.coalesce("dedupe_key", own)})
     combined = timed.select(
-        *_KEYS, "part", "sequence_number", "payload", "priority", "received_ms", "event_time"
+        *_KEYS, "part", "dedupe", "sequence_number", "payload", "priority", "received_ms", "event_time"
     ).mapInPandas(_combine, _COMBINED)
     return (
         combined.withWatermark("event_time", lateness)

@@ -19,12 +19,13 @@ from logtel.functions.scalars import finite, finite_or_zero, mib, natural_sort_k
 from logtel.operators.keyed import latest_per_key
 from logtel.operators.layout import BLOCK, Running, lay_out, running, values_at_ranks
 
-# The eight stages of an iteration, in the order they run.
+# The eight stages of an iteration, in the order they run.
 STAGES = (
     "lease_acquire", "poll_source", "store_setup", "rehydrate_state",
     "duplicate_rows", "process_events", "flush", "advance_checkpoint",
 )
 UNACCOUNTED = "unaccounted"
+# Fixed value: time outside the stages below this is not shown.
 UNACCOUNTED_MIN_MS = 0.5
 READ_TIMINGS = ("query_build", "first_row", "stream_rows", "map_rows")
 COUNTS = (
@@ -32,6 +33,7 @@ COUNTS = (
     "partial_flushes", "checkpoint_advancements", "blocked_messages", "backlog_messages",
 )
 MEMORY = ("managed_bytes", "working_set_bytes", "gc_heap_bytes")
+# The throughput measures of a run and of an iteration.
 DIALS = ("read_rows_per_sec", "processing_rows_per_sec", "events_per_sec", "rows_per_event", "checkpoint_velocity")
 SUMMARY_MEASURES = (
     "iteration_count", "duration_ms", "events_per_sec", "events_finalized", "flush_documents", "full_flushes",

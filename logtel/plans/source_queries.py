@@ -218,7 +218,7 @@ def artifact_documents(spark, folder):
     return cut(its.select(F.concat(F.lit("/art/"), _text(k), F.lit(".json")).alias("file"), text.alias("text")))
 
 
-_ART_ERROR = """CASE WHEN k % 29 = 0 THEN 'invalid JSON.' WHEN k % 31 = 0 THEN 'Only benchmark artifact schemaVersion 1 is supported.'
+_ART_ERROR = """CASE WHEN k % 29 = 0 THEN 'invalid JSON.' WHEN k % 31 = 0 THEN 'schemaVersion is not 1, the only one this reader knows.'
     WHEN k % 10 <> 0 AND started_ms IS NULL THEN 'artifact.run.startedAtUtc must be a non-empty string.'
     WHEN k % 10 <> 0 AND k % 17 = 0 THEN 'artifact.memorySamples[0].gcHeapBytes must be a finite number.' END"""
 

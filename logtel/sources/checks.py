@@ -11,6 +11,9 @@ from logtel.functions import variants as v
 from logtel.functions.scalars import is_text, iso_ms
 
 
+# The complaints, whose wording is part of the poll and artifact formats.
+
+
 def _unless(good: Column, where: Column, complaint: str) -> Column:
     return F.when(~F.coalesce(good, F.lit(False)), F.concat(where, F.lit(f" {complaint}")))
 

@@ -67,13 +67,13 @@ def parse_dump_runs(documents: DataFrame) -> dict[str, DataFrame]:
     broken = F.min_by(F.struct("artifact", "file"), F.when(root.isNull(), F.struct("artifact", "file")))
     invalid = F.when(
         broken.isNotNull(),
-        F.struct(broken["artifact"].alias("artifact"), F.concat(F.lit('Artifact "'), broken["artifact"], F.lit('" is present but is not valid JSON.')).alias("message")),
+        F.struct(broken["artifact"].alias("artifact"), F.concat(broken["artifact"], F.lit(" cannot be parsed as JSON")).alias("message")),
     )
     checked = docs.groupBy("run_id").agg(
         F.coalesce(
-            missing(MESSAGES, f'Required artifact "{MESSAGES}" was not found.'),
-            missing(COMPOSED_NAME, f'Required artifact directory "{COMPOSED}" had no JSON files.'),
-            missing(FLUSH, f'Required artifact "{FLUSH}" was not found.'),
+            missing(MESSAGES, f"the folder lacks {MESSAGES}"),
+            missing(COMPOSED_NAME, f"no JSON file below {COMPOSED}"),
+            missing(FLUSH, f"the folder lacks {FLUSH}"),
             invalid,
         ).alias("e")
     )

@@ -259,7 +259,7 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
     is_summary = v.is_object(root, "$.averages") & v.is_array(root, "$.runs")
     version = F.when(
         ~F.coalesce(v.number(root, "$.schemaVersion") == 1, F.lit(False)),
-        F.lit("Only benchmark artifact schemaVersion 1 is supported."),
+        F.lit("schemaVersion is not 1, the only one this reader knows."),
     )
     run, run_at = v.member(root, "$.run"), checks.at(where, "run")
     run_head = F.coalesce(
@@ -276,7 +276,7 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
         checks.text(root, "generatedAtUtc", where),
         checks.number(root, "runCount", where),
     )
-    other = F.lit("Artifact must be a benchmark run or benchmark summary schemaVersion 1 object.")
+    other = F.lit("Neither a run nor a summary of runs.")
     kind = F.when(is_run, "run").when(is_summary, "summary")
     head = (
         F.when(root.isNull(), F.lit("invalid JSON."))

@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ from pyspark.sql import types as T
 #: Characters of a text, and bytes of a piece, that are encoded without halving.
 LEAF_CHARS, LEAF_BYTES = 8192, 48
 #: Encoded pieces that a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
+#: Bytes of text, or of token ids, of the rows that are held in Python at once.
+PORTION_BYTES = 1 << 21
 
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: The same matches as the general pattern on text without the characters of ``_RARE``, found faster.
@@ -190,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = BytePairs(vocabulary.value[0], pattern, vocabulary.value[1])
-        for batch in batches:
+        for batch in portions(batches, 1):
             column = batch.column(1)
             ids = [None if t is None else encoder.encode(t) for t in map(pa.StringScalar.as_py, column)]
             yield pa.record_batch([batch.column(0), _lists(ids)], names=[id_column, "token_ids"])
@@ -200,6 +203,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in smaller batches, by the bytes of a text or list column; a longer row is one by itself."""
+    for batch in batches:
+        values = batch.columns[column]
+        sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // PORTION_BYTES
+        cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(lo, hi - lo)
+
+
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     sizes = np.fromiter((0 if r is None else len(r) for r in rows), dtype=np.int64, count=len(rows))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -215,13 +230,27 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", keep: Seque
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary.value
-        for batch in batches:
+        for batch in portions(batches, -1):
             column = batch.column(batch.num_columns - 1)
-            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
-            known = column.is_valid().to_pylist()
-            texts = [decoded(values[a:b].tolist(), tokens) if ok else None for a, b, ok in zip(offsets, offsets[1:], known)]
+            texts = [None if ids is None else decoded(ids, tokens) for ids in column.to_pylist()]
             yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*columns, "decoded"])
 
     fields = [encoded.schema[c] for c in columns]
     schema = T.StructType([*fields, T.StructField("decoded", T.BinaryType())])
     return encoded.select(*columns, F.col("token_ids").alias("_ids")).mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass of a task: the id, ``token_ids``, and ``decoded`` made from them."""
+    ranks = read_ranks(path)
+    vocabulary = docs.sparkSession.sparkContext.broadcast((ranks, merges_of(ranks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = BytePairs(vocabulary.value[0], pattern, vocabulary.value[1])
+        for batch in portions(batches, 1):
+            ids = [None if t is None else encoder.encode(t) for t in map(pa.StringScalar.as_py, batch.column(1))]
+            texts = [None if i is None else decoded(i.tolist(), encoder.bytes_of) for i in ids]
+            yield pa.record_batch([batch.column(0), _lists(ids), pa.array(texts, pa.binary())], names=[id_column, "token_ids", "decoded"])
+
+    fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return docs.select(id_column, text_column).mapInArrow(run, T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), *fields]))

@@ -71,8 +71,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(docs: DataFrame) -> DataFrame:
     """Encode and decode whole texts; what is returned are digests of the token ids and of the decoded bytes."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    encoded = bpe.encode(texts, VOCABULARY, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, VOCABULARY, keep=["token_ids"]).select(
+    return bpe.round_trip(texts, VOCABULARY, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -68,7 +68,9 @@ _TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)(>|\Z)|([^<]++|<)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute: its whole name, then its value, so that the next one begins after the value.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]++)))?")
+_MARKING = frozenset(("class", "id", "role"))
 _NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Za-z][a-z]*")
@@ -89,10 +91,9 @@ def _is_marked(attributes: str) -> bool:
         name, value = m.group(1).lower(), next((v for v in m.groups()[1:] if v is not None), "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif any(w.lower() in _MARKS for w in _WORDS.findall(value)):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True
+        if name in _MARKING and any(w.lower() in _MARKS for w in _WORDS.findall(value)):
             return True
     return False
 

@@ -38,6 +38,23 @@ def test_density_finds_the_text_without_an_article_element():
     assert html_text.main_text(page) == "\n".join(text)
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'href="/wiki/Hidden_Markov_model"', 'title="the hidden truth"', 'href="/v?id=search"', "href=/v?class=ad", "title='a role=menu'", 'alt = "style=display:none"',
+        'data-id="search"', 'data-hidden="no"', "x-class=ad", 'title="" data-role="banner"', 'lang="en" title="hidden"/',
+    ],
+)
+def test_attributes_are_known_by_their_whole_names(attributes):
+    for name in ("a", "p", "div"):
+        assert html_text.main_text(f"<body><{name} {attributes}>Some words of the text.</{name}></body>") == "Some words of the text."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "title='x' hidden", 'HIDDEN=""', "title=x aria-hidden = 'true'", 'a="b"id="search"', "a/class=ad", 'href="/x" STYLE="display: none"'])
+def test_attributes_behind_others_count(attributes):
+    assert html_text.main_text(f"<body><div {attributes}>no</div><p>yes</p></body>") == "yes"
+
+
 @pytest.mark.parametrize("part", ["<div>", "<p a='", "<p>hello ", "<script>", "<b>x", "<a '>", "<!--", "<", "</p>", "<td>x", "&amp;", "<nav>"])
 def test_long_pages_take_linear_time(part):
     html_text.main_text(part * 20_000)

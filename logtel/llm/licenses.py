@@ -144,7 +144,8 @@ RULES = [
 
 #: Where sentences end: at a sign before white space, and with every line or only at an empty line.
 ENDS = (r"[.!?;:]+[ \t\r\n]+|\n", r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n")
-#: Licence sentences have one of these words; the single-word tags count only after one that has.
+#: The single-word tags count only in a text with one of these words, as has any with the sentence that their rules begin with.
+#: All other sentences count in any text.
 ANCHOR = "(?i)licen[sc]e|redistribut|permission|public domain|rights reserved|free software"
 
 
@@ -162,8 +163,15 @@ def _identifiers(text: Column, ends: str) -> Column:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id``, ``licenses`` (comma-joined), ``n_known`` licence sentences and ``n_unmatched`` of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.when(text.rlike(ANCHOR), text).otherwise("").alias("text"))
-    found = rows.select("doc_id", *[_identifiers(F.col("text"), ends).alias(f"ids{n}") for n, ends in enumerate(ENDS)])
+    rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"))
+    every = rows.select("doc_id", "text", *[_identifiers(F.col("text"), ends).alias(f"ids{n}") for n, ends in enumerate(ENDS)])
+    anchored = F.col("text").rlike(ANCHOR)
+
+    def counted(ids: str) -> Column:
+        lone = F.col(ids).contains("[tag-") & ~anchored
+        return F.when(lone, F.regexp_replace(ids, r"\[tag-[^\]]*\]", "")).otherwise(F.col(ids)).alias(ids)
+
+    found = every.select("doc_id", counted("ids0"), counted("ids1"))
     plain = lambda text, old, new: F.replace(text, F.lit(old), F.lit(new))
     ruled = found.select("*", *[rewritten(F.col(f"ids{n}"), plain).alias(f"ruled{n}") for n in (0, 1)])
     names = [F.regexp_extract_all(f"ruled{n}", F.lit("<([^>]*)>"), 1) for n in (0, 1)]

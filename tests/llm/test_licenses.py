@@ -91,3 +91,33 @@ OTHER = {
     "merchantability fitness for a particular purpose and noninfringement",
     "licensed under cc by 4 0", "licensed under cc by sa 4 0", "licensed under cc by nc 4 0", "licensed under cc0 1 0",
 }
+
+
+AS_IS = next(iter(licenses.SENTENCES["mit-as-is"]))
+#: Known sentences in texts without an anchor word on one line: (text, licences, known, unmatched).
+UNANCHORED = [
+    ("Text.\nAll rights\nreserved.", "Proprietary", 1, 0),
+    ("All rights  reserved.", "Proprietary", 1, 0),
+    ("All rights\u00a0reserved.", "Proprietary", 1, 0),
+    ("ALL RIGHTS\r\nRESERVED!\n\nmore text", "Proprietary", 1, 0),
+    ("This is free and unencumbered software released into the public\ndomain.", "Unlicense", 1, 0),
+    ("This program is free\nsoftware: you may read it", "", 1, 0),  # cut at lines, it is not known
+    ("This program is free\u00a0software: you may read it", "", 1, 1),
+    (AS_IS, "", 1, 1),
+    (f"Before. {AS_IS.capitalize()}.\nAfter.\nMIT\n", "", 1, 1),
+    ("MIT\nMIT", "", 0, 0),
+    ("all rights are reserved", "", 0, 0),
+]
+
+
+def test_sentences_count_without_an_anchor_word(spark):
+    rows = [(i, c[0]) for i, c in enumerate(UNANCHORED)]
+    assert plain(licenses.scan_licenses(documents(spark, rows))) == sorted(((i, *c[1:]) for i, c in enumerate(UNANCHORED)), key=repr)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\r\n", "\u00a0", " \t "])
+def test_every_sentence_counts_alone(spark, space):
+    """Any sentence but a tag, over lines or with other white space, is known by itself."""
+    sentences = [t for name, texts in licenses.SENTENCES.items() for t in texts if not name.startswith("tag-")]
+    rows = [(i, t.replace(" ", space)) for i, t in enumerate(sentences)]
+    assert [r[2] for r in plain(licenses.scan_licenses(documents(spark, rows)))] == [1] * len(rows)

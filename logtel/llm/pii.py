@@ -6,7 +6,9 @@ digits and written-out ``at`` and ``dot``, and every character they write
 remembers where the characters it replaces began and ended. The same patterns
 run on the normalised text, and their spans are mapped back to the source. A
 mapped span is added if it covers no part of a base span of its kind; base
-spans always stay.
+spans always stay. A single spelled digit next to digits may belong to them or
+not, so the text is also read with it as a digit, and spans that cover no part
+of those found before are added.
 
 Patterns run in linear time on any text: an e-mail address is looked for from
 its ``@``, numbers from the start of a run of digits.
@@ -117,15 +119,27 @@ _SPELLED = re.compile(rf"(?<![^\W_])(?:{'|'.join(_NAMES)})(?:[ \t,.-]{{1,3}}(?:{
 _NAME = re.compile("|".join(_NAMES), re.I)
 #: Found much faster than ``_SPELLED``, and in every lower-cased text in which that is found.
 _PERHAPS_SPELLED = re.compile(rf"(?:{'|'.join(_NAMES)})[ \t,.-]{{1,3}}(?:{'|'.join(_NAMES)})")
+#: A single name counts next to digits; what separates them stays. Digits on both sides are surer than on one.
+_SINGLE = re.compile(rf"(?<![^\W_])(?:{'|'.join(_NAMES)})(?![^\W_])", re.I)
+_BEFORE = re.compile(r"[0-9][ \t,.()-]{1,3}\Z")
+_AFTER = re.compile(r"[ \t,.()-]{1,3}[0-9]")
+#: In every lower-cased text that has a single name next to digits.
+_PERHAPS_SINGLE = re.compile(rf"[0-9][ \t,.()-]{{1,3}}(?:{'|'.join(_NAMES)})|(?:{'|'.join(_NAMES)})[ \t,.()-]{{1,3}}[0-9]")
 _BRACKETED = re.compile(r"[ \t]*(?:\([ \t]*(at|dot)[ \t]*\)|\[[ \t]*(at|dot)[ \t]*\]|\{[ \t]*(at|dot)[ \t]*\}|<[ \t]*(at|dot)[ \t]*>)[ \t]*", re.I)
-#: Words ``at`` and ``dot`` without brackets count only together: a name, at, a host and at least one dot.
+_LAST = r"(?:xn--[A-Za-z0-9-]++|[A-Za-z]{2,}+)(?!\.?[A-Za-z0-9-])"
+#: Words ``at`` and ``dot`` without brackets count only together: a name, at, a host and at least one dot. All dots may be signs if
+#: the last label is letters, so that a time or an amount behind ``at`` is no host.
 _WORDED = re.compile(
-    r"(?<![^\s<(\[])(?<!dot )[A-Za-z0-9_%+-]++(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9_%+-]++)*+(?:[ \t]+at[ \t]+|@)"
-    r"[A-Za-z0-9-]++(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]++)+",
+    r"(?<![^\s<(\[])(?<!dot )[A-Za-z0-9_%+-]++(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9_%+-]++)*+"
+    r"(?:(?:[ \t]+at[ \t]+|@)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+[ \t]+dot[ \t]+[A-Za-z0-9-]++(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]++)*+"
+    r"|@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+    rf"|[ \t]+at[ \t]+[A-Za-z0-9-]++(?:\.(?!{_LAST})[A-Za-z0-9-]++)*+\.{_LAST})",
     re.I,
 )
 _WORDED_IP = re.compile(r"(?<![^\W_])[0-9]{1,3}(?:[ \t]+dot[ \t]+[0-9]{1,3}){3}(?![^\W_])", re.I)
 _WORD = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I)
+#: In every lower-cased text in which ``_WORD`` is found.
+_PERHAPS_WORDED = re.compile(r"[ \t](?:at|dot)[ \t]")
 _SIGN = {"at": "@", "dot": "."}
 _PLUS = re.compile(r"(?<![^\W_])plus[ \t]+(?=\(?[0-9])", re.I)
 
@@ -187,6 +201,15 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return changes
 
 
+def _single(text: str, sides: int) -> list[tuple[int, int, str]]:
+    changes = []
+    for m in _SINGLE.finditer(text):
+        before, name = _BEFORE.search(text[max(0, m.start() - 4) : m.start()]), m.group().lower()
+        if name in _NAMES and bool(before) + bool(_AFTER.match(text, m.end())) >= sides:
+            changes.append((*m.span(), str(_NAMES.index(name))))
+    return changes
+
+
 def _disguises(text: str) -> list[tuple[int, int, str]]:
     changes = [(*m.span(), _SIGN[next(filter(None, m.groups())).lower()]) for m in _BRACKETED.finditer(text)]
     return changes
@@ -196,39 +219,67 @@ def _worded(text: str, pattern: re.Pattern) -> list[tuple[int, int, str]]:
     return [(*w.span(), _SIGN[w.group(1).lower()]) for m in pattern.finditer(text) for w in _WORD.finditer(text, *m.span())]
 
 
-def normalised(text: str) -> Tape:
-    """The text after all transducers."""
+def _digits(text: str) -> Tape:
+    """The text after look-alikes and runs of spelled digits."""
     tape = Tape(text)
     if not text.isascii():
         tape.rewrite(_lookalikes(tape.text))
-    lower = tape.text.lower()
-    if _PERHAPS_SPELLED.search(lower):
+    if _PERHAPS_SPELLED.search(tape.text.lower()):
         tape.rewrite(_spelled(tape.text))
+    return tape
+
+
+def _signs(tape: Tape) -> Tape:
+    """Written-out signs as well."""
+    lower = tape.text.lower()
     if "plus" in lower:
         tape.rewrite([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
     if "dot" in lower or "at" in lower:
         if "(" in lower or "[" in lower or "{" in lower or "<" in lower:
             tape.rewrite(_disguises(tape.text))
-        for pattern in (_WORDED, _WORDED_IP) if "dot" in lower or "@" in tape.text else ():
+        for pattern in (_WORDED, _WORDED_IP) if _PERHAPS_WORDED.search(lower) else ():
             tape.rewrite(_worded(tape.text, pattern))
     return tape
 
 
+def readings(text: str) -> Iterator[Tape]:
+    """The text after all transducers: single spelled digits left as they are, read between digits, and read next to digits.
+
+    A word such as the ``one`` in ``1111 one of them`` would spoil a number, so no reading takes the place of another.
+    """
+    yield _signs(_digits(text))
+    if _PERHAPS_SINGLE.search(_digits(text).text.lower()):
+        read: list = []
+        for sides in (2, 1):
+            tape = _digits(text)
+            changes = _single(tape.text, sides)
+            if changes and changes != read:
+                tape.rewrite(changes)
+                yield _signs(tape)
+            read = changes
+
+
+def normalised(text: str) -> Tape:
+    """The text after all transducers, single spelled digits left as they are."""
+    return next(readings(text))
+
+
 def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans."""
-    base = detect(text)
-    tape = normalised(text)
-    if tape.starts is None:
-        return base, base
-    ends = {kind: [b for _, b, k in base if k == kind] for kind in KINDS}
-    starts = {kind: [a for a, _, k in base if k == kind] for kind in KINDS}
-    added = []
-    for a, b, kind in detect(tape.text):
-        start, end = tape.source(a, b)
-        after = bisect_right(ends[kind], start)  # the first base span of the kind that ends later
-        if after == len(starts[kind]) or starts[kind][after] >= end:
-            added.append((start, end, kind))
-    return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    base = spans = detect(text)
+    for tape in readings(text):
+        if tape.starts is None:
+            continue
+        ends = {kind: [b for _, b, k in spans if k == kind] for kind in KINDS}
+        starts = {kind: [a for a, _, k in spans if k == kind] for kind in KINDS}
+        added = []
+        for a, b, kind in detect(tape.text):
+            start, end = tape.source(a, b)
+            after = bisect_right(ends[kind], start)  # the first span of the kind that ends later
+            if after == len(starts[kind]) or starts[kind][after] >= end:
+                added.append((start, end, kind))
+        spans = sorted(spans + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return base, spans
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

@@ -83,3 +83,47 @@ def test_awkward_rows(spark):
     for r, (_, text) in zip(got, ROWS):
         assert [(s.start, s.end, s.kind) for s in r.base] == base(text or "")
     assert pii.find_personal_data(documents(spark, [])).collect() == []
+
+
+#: Disguises that must not depend on what else a text holds: (text, hidden part, kind).
+ALONE = [
+    ("write to john at example.com now", "john at example.com", "email"),
+    ("john.smith AT mail.example.co.uk.", "john.smith AT mail.example.co.uk", "email"),
+    ("john at example dot com", "john at example dot com", "email"),
+    ("at 10 dot 0 dot 0 dot 1 there", "10 dot 0 dot 0 dot 1", "ip"),
+    ("card 4 one 1 one 1111 1111 1111", "4 one 1 one 1111 1111 1111", "card"),
+    ("card 4111 1111 1111 111 one", "4111 1111 1111 111 one", "card"),
+    ("card four 111 1111 1111 1111", "four 111 1111 1111 1111", "card"),
+    ("host 10.zero.0.1", "10.zero.0.1", "ip"),
+    ("call plus one (415) 555-0123", "plus one (415) 555-0123", "phone"),
+    ("call +1 four 15 five five 5 zero 123", "+1 four 15 five five 5 zero 123", "phone"),
+]
+AROUND = ["an anecdote", "someone@example.org", "that cat sat", "one of them", "page 4 one", "1 one", "(", "call one two three", "Ünïcode"]
+
+
+@pytest.mark.parametrize("text, hidden, kind", ALONE)
+def test_disguises_are_found_whatever_else_the_text_holds(text, hidden, kind):
+    want = (hidden, kind)
+    assert [(text[a:b], k) for a, b, k in pii.find(text)[1]] == [want]
+    for other in AROUND:
+        for whole in (f"{text}\n\n{other}", f"{other}\n\n{text}", f"{other}; {text}; {other}"):
+            base_spans, spans = pii.find(whole)
+            assert [(whole[a:b], k) for a, b, k in spans if (a, b, k) not in base_spans] == [want], whole
+
+
+def test_a_word_behind_a_number_does_not_spoil_it():
+    for text in ("4111\u200b1111\u200b1111\u200b1111 one of them", "4 one 1 one 1111 1111 1111 one of them", "four one one one 1111 1111 1111 one"):
+        assert [k for _, _, k in pii.find(text)[1]] == ["card"]
+
+
+@pytest.mark.parametrize("other", ["", " an anecdote", " someone@example.org"])
+def test_times_and_amounts_behind_at_are_no_hosts(other):
+    for text in ("we meet at 5.30", "we meet at 5.30pm today", "closed at 3.25.", "He sat at the table. One two"):
+        base_spans, spans = pii.find(text + other)
+        assert spans == base_spans
+
+
+@pytest.mark.parametrize("part", ["x at a.b ", "x at a.b.", "1 one ", "one 1 ", "x at a dot ", "a.bc", "x at xn--", "x\t \t", "one (1) "])
+def test_long_disguises_take_linear_time(part):
+    pii.find(part * 100_000)
+    pii.find("x at " + part * 100_000)

@@ -3,7 +3,9 @@
 A page becomes a tree of elements. Whatever is never article text is cut
 first: scripts, styles, forms, menus, headers and footers of the page,
 sidebars, notices, adverts and reader comments, by element, role and the
-words of class and id. For every node that is left the composite text density
+words of class and id. Such words may also stand on what holds the article, so
+they cut nothing that holds the text of the article elements or most of the
+body's text outside links. For every node that is left the composite text density
 (Sun, Song and Liao, 2011) is computed from its characters C, characters in
 links LC, tags T and tags in links LT: characters per tag, lessened by the
 share of links at the node and of the whole body. A node's density sum is the
@@ -60,6 +62,16 @@ _MARKS = frozenset(
     "newsletter subscribe subscription signup login comment comments disqus replies reply respond discussion share sharing social "
     "related recommended recommendations widget complementary contentinfo search pagination pager skip toolbar alert".split()
 )
+#: Marks of what others say, which may well be longer than the article.
+_OTHERS = frozenset(
+    "comment comments disqus replies reply respond discussion ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split()
+)
+#: Article elements beside a marked one that holds most of the text are the article, unless they are so many times smaller.
+_TEASER = 10
+#: The rest of a name behind these tells what else is there, or isn't.
+_BESIDES = frozenset(("has", "with", "no", "without"))
+#: Marks that name the top of an article inside one, or behind these words.
+_TOP, _PARTS = frozenset(("header", "masthead")), frozenset(("article", "post", "entry", "story"))
 #: These hold the article though a word of their class is among the marks.
 _ARTICLE = frozenset(("article", "main", "body", "html"))
 
@@ -77,25 +89,33 @@ _WORDS = re.compile(r"[A-Za-z][a-z]*")
 
 
 class _Node:
-    __slots__ = ("name", "children", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("name", "children", "chars", "link_chars", "tags", "link_tags", "density", "total", "marks")
 
-    def __init__(self, name: str) -> None:
-        self.name = name
+    def __init__(self, name: str, marks: frozenset[str] = frozenset()) -> None:
+        self.name, self.marks = name, marks
         self.children: list[_Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_marked(attributes: str) -> bool:
+def _marks(attributes: str, in_article: bool) -> frozenset[str] | None:
+    """The marks among the attributes' words, or None of a hidden element."""
+    found = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), next((v for v in m.groups()[1:] if v is not None), "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return None
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in _MARKING and any(w.lower() in _MARKS for w in _WORDS.findall(value)):
-            return True
-    return False
+            return None
+        for token in value.split() if name in _MARKING else ():
+            before = ""
+            for word in map(str.lower, _WORDS.findall(token)):
+                if word in _BESIDES:
+                    break
+                if word in _MARKS and not (word in _TOP and (in_article or before in _PARTS)):
+                    found.add(word)
+                before = word
+    return frozenset(found)
 
 
 class _Open:
@@ -169,16 +189,73 @@ def parse(html: str) -> _Node:
                 at = at if attributes.rstrip().endswith("/") else end.end() if end else len(html)
             elif name not in ("html", "body"):
                 open_.make_room(name)
-                cut = not open_.node or name in _DROPPED or name not in _ARTICLE and attributes and _is_marked(attributes)
-                cut = cut or name == "header" and not (open_.counts["article"] or open_.counts["main"])
-                node = None if cut else _Node(name)
+                in_article = bool(open_.counts["article"] or open_.counts["main"])
+                cut = not open_.node or name in _DROPPED or name == "header" and not in_article
+                marks = _marks(attributes, in_article) if attributes and not cut and name not in _ARTICLE else frozenset()
+                node = None if cut or marks is None else _Node(name, marks)
                 if node:
                     open_.node.children.append(node)
                 if name not in _VOID:
                     open_.push(name, node)
+    _cut_marked(root)
     return root
 
 
+def _cut_marked(root: _Node) -> None:
+    """Cut the marked elements, but for those that hold the article."""
+    order = _in_order(root)
+    if not any(node.marks for node, _, _ in order):
+        return
+    parents = {id(n): p for n, p, _ in order}
+    free: dict[int, int] = {}  # characters outside links
+    told: dict[int, int] = {}  # of them, in article elements at or below
+    for node, parent, linked in reversed(order):
+        own = 0 if linked or node.name == "a" else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        free[id(node)] = free.get(id(node), 0) + own
+        told[id(node)] = free[id(node)] if node.name in ("article", "main") else told.get(id(node), 0)
+        if parent is not None:
+            free[id(parent)] = free.get(id(parent), 0) + free[id(node)]
+            told[id(parent)] = told.get(id(parent), 0) + told[id(node)]
+    # what article elements hold outside all marked elements
+    safe, inside, marked = 0, set(), set()
+    for node, parent, linked in order:
+        if node.marks or parent is not None and id(parent) in marked:
+            marked.add(id(node))
+            continue
+        if node.name in ("article", "main") or parent is not None and id(parent) in inside:
+            inside.add(id(node))
+            if not linked and node.name != "a":
+                safe += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+    todo = [root]
+    while todo:
+        outermost = _topmost_marked(todo)
+        together: Counter[frozenset[str]] = Counter()  # a text in several elements of one mark, none of which holds most of it
+        for node in outermost:
+            together[node.marks] += free[id(node)]
+        todo = []
+        for node in outermost:
+            size = together[node.marks]
+            beside = safe if node.marks & _OTHERS else safe * _TEASER > size
+            if told[id(node)] > safe or 2 * size > free[id(root)] and not beside:
+                todo.append(node)
+            else:
+                node.name = ""
+        for parent in {id(p): p for n in outermost if not n.name and (p := parents[id(n)]) is not None}.values():
+            parent.children = [c for c in parent.children if isinstance(c, str) or c.name]
+
+
+def _topmost_marked(nodes: list[_Node]) -> list[_Node]:
+    """The outermost marked elements below the nodes."""
+    found, stack = [], [c for n in reversed(nodes) for c in reversed(n.children) if isinstance(c, _Node)]
+    while stack:
+        at = stack.pop()
+        if at.marks:
+            found.append(at)
+        else:
+            stack.extend(c for c in reversed(at.children) if isinstance(c, _Node))
+    return found
+
+
 def _in_order(root: _Node) -> list[tuple[_Node, _Node | None, bool]]:
     """All nodes with parent and whether they are in a link, parents first."""
     found, stack = [], [(root, None, False)]

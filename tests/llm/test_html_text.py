@@ -55,6 +55,61 @@ def test_attributes_behind_others_count(attributes):
     assert html_text.main_text(f"<body><div {attributes}>no</div><p>yes</p></body>") == "yes"
 
 
+LONG = "A sentence of the article that is long enough, without any link in it. " * 3
+POST = f"<h1>Headline of it</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+POST_TEXT = "\n".join(["Headline of it", *[LONG.strip()] * 3])
+MENU = "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(9))
+MARKED = ["class='content has-sidebar'", "class=elementor-widget-container", 'id="post-with-comments"', "class=no-banner", "id=related class=pageSocial", "role=banner", "class=widget"]
+
+
+@pytest.mark.parametrize("mark", MARKED)
+@pytest.mark.parametrize("inner", [POST, f"<article>{POST}</article>", f"<div class=widget>{POST}</div>", f"<main><div id=discussion-page>{POST}</div></main>"])
+def test_marked_wrappers_keep_the_article(mark, inner):
+    side = f"<ul class=menu>{MENU}</ul>"
+    for page in (f"<div {mark}>{inner}</div>", f"{side}<div {mark}>{inner}</div><div class=sidebar><p>Some other text.</p></div>", f"<div {mark}>{inner}{side}<div class=ad>Buy this</div></div>"):
+        assert html_text.main_text(f"<body>{page}</body>") == POST_TEXT
+
+
+@pytest.mark.parametrize("name", ["article-header", "post-header", "entryHeader"])
+def test_the_top_of_an_article_stays(name):
+    rest = POST.replace("<h1>Headline of it</h1>", "")
+    top = f'<div class="{name}"><h1>Headline of it</h1></div>'
+    assert html_text.main_text(f"<body><article>{top}{rest}</article></body>") == POST_TEXT
+    assert html_text.main_text(f"<body><div class=site-header><p>Site</p></div><article>{top}{rest}</article></body>") == POST_TEXT
+
+
+def test_text_in_several_marked_elements_stays():
+    parts = "".join(f"<div class=elementor-widget><div class=elementor-widget-container><p>{LONG}</p></div></div>" for _ in range(5))
+    assert html_text.main_text(f"<body><div>{parts}</div><div class=ad>Buy</div></body>") == "\n".join([LONG.strip()] * 5)
+
+
+def test_comments_and_related_articles_beside_the_article_are_cut():
+    comments = "".join(f"<li class=comment><article class=comment-body><p>Comment {i}. {LONG}</p></article></li>" for i in range(9))
+    for part in (f"<div id=comments class=comments-area><ol>{comments}</ol></div>", f"<div class=comments>{comments.replace('article', 'div')}</div>"):
+        assert html_text.main_text(f"<body><main><article>{POST}</article>{part}</main></body>") == POST_TEXT
+        assert html_text.main_text(f"<body><article>{POST}</article>{part}</body>") == POST_TEXT
+        assert html_text.main_text(f"<body><main>{POST}{part}</main></body>") == POST_TEXT
+    related = "<article><h3>Other</h3><p>A teaser.</p></article>" * 3
+    assert html_text.main_text(f"<body><main><article>{POST}</article><div class=related>{related}</div></main></body>") == POST_TEXT
+    assert html_text.main_text(f"<body><main>{POST}<div class=related>{related}</div></main></body>") == POST_TEXT
+
+
+@pytest.mark.parametrize("mark", ["ad", "sidebar", "newsletter", "comments"])
+def test_an_article_shorter_than_what_is_beside_it(mark):
+    page = f"<body><div class={mark}><p>{LONG}</p></div><article><h1>Short</h1><p>An article of some few words, no more than that.</p></article></body>"
+    assert html_text.main_text(page) == "Short\nAn article of some few words, no more than that."
+
+
+def test_a_teaser_beside_a_marked_wrapper():
+    page = f"<body><div class=widget>{POST}</div><article><p>More to read.</p></article></body>"
+    assert html_text.main_text(page).startswith(POST_TEXT)
+
+
+@pytest.mark.parametrize("part", ["<div class=ad>", "<div class=ad>x", "<p class=ad>x</p>", "<article><div class=ad>x", "<div class=has-", "<div a=' '"])
+def test_long_marked_pages_take_linear_time(part):
+    html_text.main_text(part * 20_000)
+
+
 @pytest.mark.parametrize("part", ["<div>", "<p a='", "<p>hello ", "<script>", "<b>x", "<a '>", "<!--", "<", "</p>", "<td>x", "&amp;", "<nav>"])
 def test_long_pages_take_linear_time(part):
     html_text.main_text(part * 20_000)

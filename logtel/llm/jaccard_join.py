@@ -6,7 +6,8 @@ the signature are candidates. A candidate pair's MinHash values are compared
 a few at a time: after h values with m matches the similarity has the
 posterior Beta(m + 1, h - m + 1), and the pair is dropped as soon as
 P(similarity >= threshold) falls below the tolerance (Chakrabarti et al.,
-BayesLSH-Lite). What survives is verified on the shingle sets themselves.
+BayesLSH-Lite). What survives makes candidate groups; in these every pair
+whose sizes allow it is verified on the shingle sets themselves.
 
 Neither step writes a row for a pair. A task gets a bucket (or two blocks of a
 large one), compares all pairs in arrays and emits one row for a set at most:
@@ -47,7 +48,7 @@ class JaccardJoin:
     bands: int = 20
     rows: int = 4
     step: int = 16
-    tolerance: float = 1e-5
+    tolerance: float = 1e-9
     block: int = 512
     block_shingles: int = 1 << 20
 
@@ -213,19 +214,18 @@ def _verified(sets: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.nd
 
 def _links(spec: JaccardJoin):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = spec.least_matches()
         for rows, group in _groups(batches, ["root", "lo", "hi"]):
-            sig = _signatures(rows, spec)
             block, crossing = _blocks(rows)
             weight = rows.column("m").to_numpy()
             found = rows.column("shingles").to_pylist()
-            roots, counts = np.arange(len(sig)), np.zeros(len(sig), dtype=np.int64)
+            roots, counts = np.arange(len(group)), np.zeros(len(group), dtype=np.int64)
             for lo, hi in _runs(group):
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in found[lo:hi]]
                 sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
                 kept = []
                 for i, j in _pairs(group[lo:hi], block[lo:hi], crossing[lo:hi]):
-                    i, j = _surviving(sig[lo:hi], i, j, least, spec)
+                    near = np.minimum(sizes[i], sizes[j]) >= spec.threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
+                    i, j = i[near], j[near]
                     true = _verified(sets, sizes, i, j, spec.threshold)
                     kept.append((i[true], j[true]))
                 if kept:
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin()) -> DataF
     read = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("sid", "text")
     read = read.mapInArrow(_set_reader(spec), "sid binary, shingles binary").dropDuplicates(["sid"])
     full = grouped.join(sums, "root").join(read, "sid")
-    full = _meetings(full, "blocks", "root", "sid", "m", "sig", "shingles")
+    full = _meetings(full, "blocks", "root", "sid", "m", "shingles")
     full = full.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     linked = stored(full.mapInArrow(_links(spec), "a binary, b binary, links bigint"), "linked")
 

@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtel.llm import bpe, decontamination, exact_dedup, html_text, jaccard_join, language, licenses, oracles, pii, toxicity, warc
+from logtel.llm import (
+    bpe,
+    centroids,
+    decontamination,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    language,
+    licenses,
+    oracles,
+    pii,
+    quality_rules,
+    toxicity,
+    warc,
+    whitening,
+)
 from logtel.llm.common import remainder, stored, table
 from logtel.session import new_path
 
@@ -109,6 +124,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # null where the exact sum is beyond a long
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
@@ -120,9 +150,14 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_centroids": op11_centroids,
+    "op12_whitening": op12_whitening,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": oracles.OP2,
     "op3_licenses": oracles.license_sql(),
     "op9_exact_dedup": oracles.OP9,
+    "op11_centroids": oracles.cluster_sql(),
+    "op13_quality_rules": oracles.quality_sql(),
 }

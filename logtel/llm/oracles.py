@@ -15,6 +15,8 @@ def license_sql() -> str:
     """The sentence and rule tables as SQL."""
     known = ", ".join(f"({_text(t)}, {_text(f'[{name}]')})" for name, texts in licenses.SENTENCES.items() for t in texts)
 
+    lone = _text(r"\[tag-[^\]]*\]")
+
     def ruled(column: str) -> str:
         return licenses.rewritten(column, lambda text, old, new: f"replace({text}, {_text(old)}, {_text(new)})")
 
@@ -27,10 +29,13 @@ def license_sql() -> str:
 
     return f"""
 WITH known(sentence, mark) AS (VALUES {known}),
-texts AS (
-    SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), {_text(licenses.ANCHOR)}) THEN text ELSE '' END AS t FROM documents
+texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+every AS (SELECT d.doc_id, regexp_matches(d.t, {_text(licenses.ANCHOR)}) AS anchored, {sequence(licenses.ENDS[0])} AS all0, {sequence(licenses.ENDS[1])} AS all1 FROM texts AS d),
+ids AS (
+    SELECT doc_id, CASE WHEN anchored THEN all0 ELSE regexp_replace(all0, {lone}, '', 'g') END AS ids0,
+           CASE WHEN anchored THEN all1 ELSE regexp_replace(all1, {lone}, '', 'g') END AS ids1
+    FROM every
 ),
-ids AS (SELECT d.doc_id, {sequence(licenses.ENDS[0])} AS ids0, {sequence(licenses.ENDS[1])} AS ids1 FROM texts AS d),
 ruled AS (SELECT *, {ruled('ids0')} AS ruled0, {ruled('ids1')} AS ruled1 FROM ids)
 SELECT doc_id,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(

@@ -42,12 +42,11 @@ def brute_force(text):
     """(licenses, known, unmatched), reading sentence by sentence."""
     text = text or ""
     known = {t: name for name, texts in licenses.SENTENCES.items() for t in texts}
-    if not re.search(licenses.ANCHOR, text):
-        return "", 0, 0
+    anchored = re.search(licenses.ANCHOR, text)
     names, counts, left = set(), [], []
     for ends in licenses.ENDS:
         ids = [known.get(re.sub("[^a-z0-9]+", " ", s.lower()).strip()) for s in re.split(ends, text)]
-        ids = [i for i in ids if i]
+        ids = [i for i in ids if i and (anchored or not i.startswith("tag-"))]
         counts.append(len(ids))
         for rule, name in licenses.RULES:
             at = 0
@@ -115,6 +114,21 @@ def test_sentences_count_without_an_anchor_word(spark):
     assert plain(licenses.scan_licenses(documents(spark, rows))) == sorted(((i, *c[1:]) for i, c in enumerate(UNANCHORED)), key=repr)
 
 
+def test_sql_and_brute_force_agree_on_every_case(spark):
+    """The SQL that checks the registered query, on texts with and without an anchor word."""
+    import duckdb
+
+    from logtel.llm.oracles import license_sql
+
+    rows = [(i, c[0]) for i, c in enumerate(CASES + UNANCHORED)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = sorted(con.execute(license_sql()).fetchall())
+    assert found == [(i, *brute_force(t)) for i, t in rows]
+    assert found == sorted(plain(licenses.scan_licenses(documents(spark, rows))))
+
+
 @pytest.mark.parametrize("space", [" ", "\n", "\r\n", "\u00a0", " \t "])
 def test_every_sentence_counts_alone(spark, space):
     """Any sentence but a tag, over lines or with other white space, is known by itself."""

@@ -119,7 +119,7 @@ def _solved(diagonal: np.ndarray, off: np.ndarray, value: float, right: np.ndarr
         if k + 2 < size:
             x[k] -= uu[k] * x[k + 2]
         x[k] /= d[k]
-        if abs(x[k]) > 1e150:  # only the direction counts
+        if abs(x[k]) > 1e100:  # only the direction counts
             x /= abs(x[k])
     return x
 
@@ -151,11 +151,14 @@ def inverse_iteration(diagonal: np.ndarray, off: np.ndarray, values: np.ndarray,
 
 def leading_components(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues falling, unit eigenvectors as rows) of a symmetric matrix; the largest entry of a vector is positive."""
-    diagonal, off, q = tridiagonal(matrix)
+    scale = float(np.max(np.abs(matrix)))
+    if not scale:
+        return np.zeros(min(most, len(matrix))), np.eye(len(matrix))[:most]
+    diagonal, off, q = tridiagonal(matrix / scale)
     values = leading_values(diagonal, off, most)
     vectors = inverse_iteration(diagonal, off, values) @ q.T
     signs = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])
-    return values, vectors * signs[:, None]
+    return values * scale, vectors * signs[:, None]
 
 
 # --- on a table -------------------------------------------------------------------------------------------------

@@ -25,8 +25,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator, Sequence
-from itertools import chain
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,8 @@ from pyspark.sql import types as T
 
 #: Characters of a text, and bytes of a piece, that are encoded without halving.
 LEAF_CHARS, LEAF_BYTES = 8192, 48
-#: Encoded pieces that a task remembers.
-REMEMBERED = 120_000
+#: Encoded pieces that a task remembers, in two generations, and the length up to which one is remembered.
+REMEMBERED, REMEMBERED_CHARS = 250_000, 64
 #: Bytes of text, or of token ids, of the rows that are held in Python at once.
 PORTION_BYTES = 1 << 21
 
@@ -69,6 +68,30 @@ def merges_of(ranks: dict[bytes, int]) -> dict[int, int]:
     return found
 
 
+class Remembered(dict):
+    """Packed tokens of pieces, in two generations.
+
+    When the younger generation is full it becomes the older one, which is
+    forgotten; a piece met again moves to the younger, so frequent ones stay.
+    """
+
+    def __init__(self, made: Callable[[str], bytes], most: int = REMEMBERED) -> None:
+        super().__init__()
+        self.made, self.most, self.older = made, most // 2, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.made(piece)
+            if len(piece) > REMEMBERED_CHARS:
+                return found
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class BytePairs:
     """Encoder for one set of ranks and one pattern."""
 
@@ -79,14 +102,7 @@ class BytePairs:
         self.none = max(ranks.values()) + 1
         self.general = regex.compile(pattern)
         self.has_quick = pattern == _QUICK_FOR
-        outer = self
-
-        class Remembered(dict):
-            def __missing__(self, piece: str) -> tuple[int, ...]:
-                self[piece] = found = outer.piece(piece.encode("utf-8"))
-                return found
-
-        self.remembered = Remembered()
+        self.remembered = Remembered(lambda piece: self.piece(piece.encode("utf-8")))
 
     def merged(self, data: bytes) -> list[int]:
         """Tokens of a few bytes: the neighbours of least rank are merged until none can be."""
@@ -127,9 +143,10 @@ class BytePairs:
         middle = len(data) // 2
         return self.joined(self.tokens(data[:middle]), self.tokens(data[middle:]))
 
-    def piece(self, data: bytes) -> tuple[int, ...]:
+    def piece(self, data: bytes) -> bytes:
+        """The tokens of a piece, packed."""
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(self.tokens(data))
+        return np.array([whole] if whole is not None else self.tokens(data), dtype=np.int32).tobytes()
 
     def _matches(self, text: str, quick: bool) -> list[str]:
         return (_QUICK if quick else self.general).findall(text)
@@ -174,9 +191,7 @@ class BytePairs:
         return self.joined_pieces(self.pieces(text[:middle], quick), self.pieces(text[middle:], quick), quick)
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
-        return np.fromiter(chain.from_iterable(map(self.remembered.__getitem__, self.pieces(text))), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.remembered.__getitem__, self.pieces(text))), dtype=np.int32)
 
 
 def decoded(ids: Sequence[int], tokens: dict[int, bytes]) -> bytes:

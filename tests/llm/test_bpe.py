@@ -42,6 +42,31 @@ def test_another_pattern_uses_the_general_matcher():
     assert encoder.encode("Ab c, 12 ñ²").tolist() == library.encode_ordinary("Ab c, 12 ñ²")
 
 
+def test_frequent_pieces_outlive_rare_ones():
+    made = []
+
+    def make(piece):
+        made.append(piece)
+        return piece.encode()
+
+    remembered = bpe.Remembered(make, most=20)
+    for k in range(500):
+        assert remembered["often"] == b"often"
+        assert remembered[f"rare {k}"] == f"rare {k}".encode()
+        assert len(remembered) + len(remembered.older) <= 20
+    assert made.count("often") == 1
+    long = "x" * (bpe.REMEMBERED_CHARS + 1)
+    assert remembered[long] == long.encode() and long not in remembered
+
+
+def test_forgetting_does_not_change_tokens():
+    encoder, rng = bpe.BytePairs(RANKS, public_tokenizers.PATTERN), random.Random(3)
+    encoder.remembered.most = 3
+    for _ in range(300):
+        text = " ".join(rng.choice(PARTS) + rng.choice(PARTS) for _ in range(rng.randint(0, 40)))
+        assert encoder.encode(text).tolist() == LIBRARY.encode_ordinary(text)
+
+
 def test_awkward_rows(spark):
     got = sorted(tuple(r) for r in queries.byte_bpe(documents(spark).filter("doc_id is not null")).collect())
     want = []

@@ -189,8 +189,7 @@ def assemble_events(deduped: DataFrame, lifecycles: Sequence[Lifecycle], as_of_m
     from which documents are written, so its length is bounded by the
     configuration. ``part_count`` counts all, and ``assembled_parts`` has them.
     """
-    kept = deduped.filter("NOT is_duplicate")
-    place = F.struct("sequence_number", "partition_id")
+    kept = deduped.filter("NOT is_duplicate").withColumn("_place", F.struct("sequence_number", "partition_id"))
     names = sorted({p for lc in lifecycles for p in lc.parts})
     piece = F.struct(
         "sequence_number", "part", "event_type", "timestamp", "partition_id", "msg_offset", "dedupe_key", "received_ms", "payload"
@@ -198,14 +197,19 @@ def assemble_events(deduped: DataFrame, lifecycles: Sequence[Lifecycle], as_of_m
     recency = F.struct("received_ms", (-F.col("sequence_number")).alias("back"))
     latest = F.struct("event_type", "partition_id", "sequence_number", "msg_offset")
     grouped = kept.groupBy(*EVENT).agg(
-        *[F.min_by(piece, F.when(F.col("part") == p, place)).alias(f"_part_{i}") for i, p in enumerate(names)],
+        *[F.min(F.when(F.col("part") == p, F.col("_place"))).alias(f"_first_{i}") for i, p in enumerate(names)],
         F.count(F.lit(1)).alias("part_count"),
         F.max_by(latest, recency).alias("representative"),
         F.min("received_ms").alias("first_received_ms"),
         F.max("received_ms").alias("last_received_ms"),
         F.bool_or("priority").alias("has_priority"),
     )
-    present = F.array_compact(F.array(*[F.col(f"_part_{i}") for i in range(len(names))]))
+    # payloads are fetched for the first envelopes only: as many of an event as it has declared parts
+    firsts = F.array_compact(F.array(*[F.when(F.col(f"_first_{i}").isNotNull(), F.struct(F.lit(p).alias("part"), F.col(f"_first_{i}").alias("_place"))) for i, p in enumerate(names)]))
+    wanted = grouped.select(*EVENT, F.inline(firsts))
+    fetched = kept.join(wanted, [*EVENT, "part", "_place"], "left_semi").select(*EVENT, piece.alias("_piece"))
+    grouped = grouped.join(fetched.groupBy(*EVENT).agg(F.collect_list("_piece").alias("_pieces")), [*EVENT], "left")
+    present = F.coalesce("_pieces", F.array())
     held = F.transform("parts", lambda p: p["part"])
     needed = _by_lifecycle(lifecycles, lambda lc: F.array(*[F.lit(p) for p in lc.required]).cast("array<string>"))
     out = grouped.withColumn("parts", F.array_sort(present)).withColumn("missing_parts", F.array_except(needed, held))
@@ -226,7 +230,7 @@ def assemble_events(deduped: DataFrame, lifecycles: Sequence[Lifecycle], as_of_m
         .otherwise("Incomplete")
     )
     return (
-        out.drop(*[f"_part_{i}" for i in range(len(names))])
+        out.drop("_pieces", *[f"_first_{i}" for i in range(len(names))])
         .withColumn("decision", decision)
         .withColumns(
             {

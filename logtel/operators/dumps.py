@@ -8,11 +8,14 @@ Lists of any length stay in rows, never in arrays.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtel.operators.keyed import latest_per_key
-from logtel.operators.layout import BLOCK, Running, lay_out, running
+from logtel.operators.layout import BLOCK, Running, attach, lay_out, running
+from logtel.session import cut
 
 UNMAPPED = "(unmapped)"
 UNKNOWN_SESSION = "unknown-session"
@@ -121,69 +124,94 @@ def anchors(messages: DataFrame, meta: DataFrame, flush: DataFrame) -> DataFrame
     )
 
 
-def _frontier(messages: DataFrame, open_: Column, start: DataFrame) -> DataFrame:
-    """Greatest present seq below the first open one, per run, never below the run's start."""
-    beyond = messages.select("run_id", "seq", open_.alias("_open")).join(start, "run_id").filter(
-        F.col("seq") > F.col("start_seq")
-    )
-    first_open = beyond.filter("_open").groupBy("run_id").agg(F.min("seq").alias("_stop"))
-    reached = (
-        beyond.join(first_open, "run_id", "left")
-        .filter(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")))
-        .groupBy("run_id")
-        .agg(F.max("seq").alias("_reached"))
-    )
+def checkpoint_frontier(messages: DataFrame, start: DataFrame) -> DataFrame:
+    """Highest seq up to which every present message is Done or Skipped; gaps do not stop it.
+
+    ``start`` has one row per run: run_id, start_seq. Messages are not moved:
+    two scans of three columns, each aggregated before it is exchanged.
+    """
+    facts = messages.select("run_id", "seq", F.col("status").isin("Done", "Skipped").alias("_closed"))
+    beyond = attach(facts, start.select("run_id", "start_seq"), ["run_id"], ["seq"]).filter("seq > start_seq")
+    stops = beyond.groupBy("run_id").agg(F.min(F.when(~F.coalesce("_closed", F.lit(False)), F.col("seq"))).alias("_stop"))
+    reached = attach(beyond, stops, ["run_id"], ["seq"]).filter("_stop IS NULL OR seq < _stop").groupBy("run_id").agg(F.max("seq").alias("_reached"))
     return start.join(reached, "run_id", "left").select("run_id", F.coalesce("_reached", "start_seq").alias("frontier"))
 
 
-def checkpoint_frontier(messages: DataFrame, start: DataFrame) -> DataFrame:
-    """Highest seq up to which every present message is Done or Skipped; gaps do not stop it.
+@dataclass(frozen=True)
+class Replay:
+    """What the frontier operators share, each part materialised once.
 
-    ``start`` has one row per run: run_id, start_seq.
+    ``steps``: numbered occurrences, and one last step for each run that marks
+    messages done. ``references``: the ordinal and kind of every source
+    reference. ``passed``: each message with the ordinal at which it becomes
+    terminal (0 at load, null never) and ``passed_at``, the greatest of these up
+    to it among the messages beyond the run's start: the frontier after step n
+    is the last of them whose ``passed_at`` is at most n.
     """
-    return _frontier(messages, ~F.col("status").isin("Done", "Skipped"), start)
 
+    steps: DataFrame
+    references: DataFrame
+    passed: DataFrame
+    start: DataFrame
 
-def _terminal_ordinals(
-    messages: DataFrame, numbered: DataFrame, sources: DataFrame, marked_done: DataFrame | None
-) -> DataFrame:
-    """Messages with the ordinal at which each becomes terminal (0 at load, NULL never)."""
-    when = (
-        sources.join(numbered.filter("_final = 0").select("run_id", "occurrence_id", "ordinal"), ["run_id", "occurrence_id"])
-        .groupBy("run_id", "seq")
-        .agg(F.min("ordinal").alias("_at"))
+    def frontier(self, upto: Column) -> DataFrame:
+        reached = self.passed.filter((F.col("seq") > F.col("start_seq")) & (F.col("passed_at") <= upto))
+        reached = reached.groupBy("run_id").agg(F.max("seq").alias("_reached"))
+        return self.start.join(reached, "run_id", "left").select("run_id", F.coalesce("_reached", "start_seq").alias("frontier"))
+
+
+def replay(
+    messages: DataFrame, occurrences: DataFrame, sources: DataFrame, start: DataFrame, marked_done: DataFrame | None = None
+) -> Replay:
+    """One narrow fact for each message, in blocks by (run, seq); messages are read once."""
+    steps = cut(_lay_out_occurrences(occurrences, marked_done).select("run_id", "occurrence_id", "kind", "ordinal", "_final", BLOCK))
+    references = cut(
+        sources.select("run_id", "occurrence_id", "seq").join(
+            steps.filter("_final = 0").select("run_id", "occurrence_id", "kind", "ordinal"), ["run_id", "occurrence_id"]
+        ).select("run_id", "seq", "kind", "ordinal")
     )
-    out = messages.select("run_id", "seq", "status").join(when, ["run_id", "seq"], "left")
-    late = F.lit(None).cast("bigint")
+    when = references.groupBy("run_id", "seq").agg(F.min("ordinal").alias("by_occurrence"))
+    facts = messages.select("run_id", "seq", "status").join(when, ["run_id", "seq"], "left")
+    bounds = start.select("run_id", "start_seq")
     if marked_done is not None:
-        closing = numbered.filter("_final = 1").select("run_id", F.col("ordinal").alias("_last"))
         marked = marked_done.select("run_id", "seq").distinct().withColumn("_marked", F.lit(True))
-        out = out.join(marked, ["run_id", "seq"], "left").join(closing, "run_id", "left")
-        late = F.when(F.col("_marked"), F.col("_last"))
+        facts = facts.join(marked, ["run_id", "seq"], "left")
+        closing = steps.filter("_final = 1").select("run_id", F.col("ordinal").alias("_last"))
+        bounds = bounds.join(closing, "run_id", "full_outer")
+    else:
+        facts = facts.withColumn("_marked", F.lit(None).cast("boolean"))
+        bounds = bounds.withColumn("_last", F.lit(None).cast("bigint"))
+    laid = lay_out(facts, ["run_id"], ["seq"])
+    known = attach(laid, bounds, ["run_id"], ["seq"], "left").withColumn("by_mark", F.when(F.col("_marked"), F.col("_last")))
     loaded = F.col("status").isin("Done", "Skipped")
-    terminal = F.when(loaded, F.lit(0).cast("bigint")).otherwise(F.coalesce("_at", late))
-    return out.select("run_id", "seq", "status", "_at", late.alias("_late"), terminal.alias("terminal"))
+    terminal = F.when(loaded, F.lit(0).cast("bigint")).otherwise(F.coalesce("by_occurrence", "by_mark"))
+    dated = known.withColumn("terminal", terminal)
+    blocking = F.when(F.col("seq") > F.col("start_seq"), F.coalesce("terminal", F.lit(_NEVER)))
+    passed = running(dated, ["run_id"], ["seq"], {"passed_at": Running("max", blocking)})
+    return Replay(
+        steps,
+        references,
+        cut(passed.select("run_id", "seq", "status", "start_seq", "by_occurrence", "by_mark", "terminal", "passed_at")),
+        start.select("run_id", "start_seq"),
+    )
 
 
 def checkpoint_progression(
     messages: DataFrame, occurrences: DataFrame, sources: DataFrame, start: DataFrame, marked_done: DataFrame | None = None
 ) -> DataFrame:
     """The frontier after each occurrence of a run, in replay order."""
-    numbered = _lay_out_occurrences(occurrences, marked_done)
-    terminal = _terminal_ordinals(messages, numbered, sources, marked_done)
-    beyond = terminal.join(start, "run_id").filter(F.col("seq") > F.col("start_seq"))
-    by_seq = lay_out(beyond.select("run_id", "seq", F.coalesce("terminal", F.lit(_NEVER)).alias("at")), ["run_id"], ["seq"])
-    passed = running(by_seq, ["run_id"], ["seq"], {"passed_at": Running("max", F.col("at"))})
+    return progression(replay(messages, occurrences, sources, start, marked_done))
+
+
+def progression(found: Replay) -> DataFrame:
     gains = (
-        passed.filter(F.col("passed_at") < _NEVER)
+        found.passed.filter((F.col("seq") > F.col("start_seq")) & (F.col("passed_at") < _NEVER))
         .groupBy("run_id", F.greatest("passed_at", F.lit(1)).alias("ordinal"))
         .agg(F.max("seq").alias("_gain"))
     )
-    stepped = numbered.join(gains, ["run_id", "ordinal"], "left").join(start, "run_id")
-    out = running(stepped, ["run_id"], ["ordinal"], {"_reached": Running("max", F.col("_gain"))})
-    return out.select(
-        "run_id", "ordinal", "occurrence_id", F.coalesce("_reached", "start_seq").alias("frontier")
-    )
+    stepped = found.steps.join(gains, ["run_id", "ordinal"], "left")
+    out = attach(running(stepped, ["run_id"], ["ordinal"], {"_reached": Running("max", F.col("_gain"))}), found.start, ["run_id"], ["ordinal"])
+    return out.select("run_id", "ordinal", "occurrence_id", F.coalesce("_reached", "start_seq").alias("frontier"))
 
 
 def state_at(
@@ -195,30 +223,22 @@ def state_at(
     marked_done: DataFrame | None = None,
 ) -> DataFrame:
     """Counts and frontier of every run after its first ``ordinal`` occurrences (all by default)."""
-    numbered = _lay_out_occurrences(occurrences, marked_done)
+    return state_of(replay(messages, occurrences, sources, start, marked_done), ordinal)
+
+
+def state_of(found: Replay, ordinal: int | None = None) -> DataFrame:
     upto = F.lit(_NEVER - 1 if ordinal is None else ordinal)
-    terminal = _terminal_ordinals(messages, numbered, sources, marked_done)
-    by_occurrence = F.col("_at") <= upto
-    by_mark = (F.col("_late") <= upto) & (F.col("status") != "Skipped")
+    by_mark = (F.col("by_mark") <= upto) & (F.col("status") != "Skipped")
     shown = (
-        F.when(by_occurrence | by_mark | (F.col("status") == "Done"), "done")
+        F.when((F.col("by_occurrence") <= upto) | by_mark | (F.col("status") == "Done"), "done")
         .when(F.col("status") == "Skipped", "skipped")
         .otherwise("pending")
     )
-    counts = terminal.groupBy("run_id").agg(
-        *[F.count_if(shown == s).alias(s) for s in ("pending", "done", "skipped")]
-    )
-    applied = numbered.filter((F.col("_final") == 0) & (F.col("ordinal") <= upto))
-    written = applied.groupBy("run_id").agg(F.count_if(F.col("kind") == "Emit").alias("_written"))
-    drained = (
-        sources.join(applied.filter("kind <> 'Emit'").select("run_id", "occurrence_id"), ["run_id", "occurrence_id"])
-        .groupBy("run_id")
-        .agg(F.count("seq").alias("_drained"))
-    )
-    is_open = ~F.coalesce(F.col("terminal") <= upto, F.lit(False))
-    frontier = _frontier(terminal, is_open, start)
-    if ordinal == 0:
-        frontier = start.select("run_id", F.col("start_seq").alias("frontier"))
+    counts = found.passed.groupBy("run_id").agg(*[F.count_if(shown == s).alias(s) for s in ("pending", "done", "skipped")])
+    applied = F.col("ordinal") <= upto
+    written = found.steps.filter((F.col("_final") == 0) & applied).groupBy("run_id").agg(F.count_if(F.col("kind") == "Emit").alias("_written"))
+    drained = found.references.filter(applied & (F.col("kind") != "Emit")).groupBy("run_id").agg(F.count("seq").alias("_drained"))
+    frontier = found.start.select("run_id", F.col("start_seq").alias("frontier")) if ordinal == 0 else found.frontier(upto)
     return (
         counts.join(written, "run_id", "left")
         .join(drained, "run_id", "left")

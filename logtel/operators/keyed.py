@@ -4,17 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logtel.operators.layout import BROADCAST_ROWS
+from logtel.session import cut
+
+
+#: A key with more than this share of the rows is a heavy one; there are at most as many of them as its inverse.
+HEAVY_SHARE = 1e-5
+
+
+def _spread(df: DataFrame) -> Column:
+    """A hash of the row, without columns that have none: tells most of the rows with equal key and order apart."""
+
+    def hashable(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return hashable(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(hashable(f.dataType) for f in kind)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if hashable(f.dataType)])
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
-    """The row with the greatest ``order`` per key, by partial aggregation; null orders come before all others."""
+    """The row with the greatest ``order`` per key; null orders come before all others, ties leave any one row.
+
+    Two phases. The first aggregates the order alone: its greatest value by key
+    and the number of rows, so nothing wide is sorted or exchanged. The second
+    fetches the rows that have it. Where the keys are few they are broadcast
+    and rows are filtered where they are read; where they are many, rows of
+    heavy keys are filtered by a broadcast of those (their number is bounded),
+    and the others meet their key's greatest order by key, order and a hash of
+    the row, so that no key lands in one task. Of equal rows one is left.
+    """
     order = F.col(order) if isinstance(order, str) else order
-    placed = F.struct(order.isNotNull().alias("known"), order.alias("order"))  # never null, so no key loses its row
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), placed).alias("_row"))
-    return newest.select("_row.*")
+    rows = df.withColumn("_order", order)
+    newest = cut(rows.groupBy(*keys).agg(F.max("_order").alias("_greatest"), F.count(F.lit(1)).alias("_rows")))
+    seen = newest.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    newest = newest.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "_greatest", "_rows")
+
+    def of_key(extra: Column) -> Column:
+        condition = extra
+        for i, key in enumerate(keys):
+            condition = condition & F.col(key).eqNullSafe(F.col(f"_key_{i}"))
+        return condition
+
+    if seen[0] <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(newest), of_key(F.col("_order").eqNullSafe(F.col("_greatest"))), "left_semi")
+    else:
+        heavy = newest.filter(F.col("_rows") > HEAVY_SHARE * seen[1])
+        light = rows.join(F.broadcast(heavy), of_key(~F.col("_order").eqNullSafe(F.col("_greatest"))), "left_anti")
+        found = light.join(newest, of_key(F.col("_order").eqNullSafe(F.col("_greatest"))), "left_semi")
+    # rows that are alike in key and order: one by hash first, where the rows are
+    alike = Window.partitionBy(*keys).orderBy("_hash")
+    ranked = found.withColumn("_hash", _spread(df)).withColumn("_place", F.row_number().over(alike))
+    return ranked.filter("_place = 1").select(*df.columns)
 
 
 def _key_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

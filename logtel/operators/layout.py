@@ -119,6 +119,33 @@ def running(
     )
 
 
+#: Rows of a table with one narrow row for each key that are broadcast to meet the facts.
+BROADCAST_ROWS = 1 << 18
+#: Parts that the facts of a key are split into where such a table is larger.
+SALTS = 32
+
+
+def attach(facts: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """``facts`` joined to a table with one row for each key, however many facts a key has.
+
+    The rows of the small table are counted before it is broadcast. Beyond
+    ``most`` rows the facts of each key are split by a hash of the columns
+    ``spread`` and meet copies of the key's row, so that no key lands in one task.
+    """
+    per_key = cut(per_key)
+    if per_key.count() <= most:
+        return facts.join(F.broadcast(per_key), list(keys), how)
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def without(facts: DataFrame, keys_of: DataFrame, keys: Sequence[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """``facts`` whose key is not in ``keys_of``; the keys are counted before they are broadcast."""
+    listed = cut(keys_of.select(*keys).distinct())
+    return facts.join(F.broadcast(listed) if listed.count() <= most else listed, list(keys), "left_anti")
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """1-based position of every row within its group, for groups of any size."""
     return running(lay_out(df, keys, order), keys, order, {name: Running("sum", F.lit(1).cast("bigint"))}).drop(BLOCK)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logtel.plans import (  # noqa: F401
+    file_queries,
     ingest_queries,
     log_queries,
     poll_queries,

@@ -9,7 +9,7 @@ from logtel.operators.messages import utc_text
 from logtel.plans import tables as t
 from logtel.plans.registry import query
 from logtel.plans.views import MS, with_views
-from logtel.session import cut, new_path
+from logtel.session import cut, new_path, written
 from logtel.sources import dump_folders, files, lines, poll_lines, rows, run_artifacts
 
 def _text(c):
@@ -57,15 +57,11 @@ CHUNK_CHARS = 97
 
 
 def chunks(spark, folder):
-    """Document texts cut every so many characters, wherever that falls."""
+    """Document texts cut every so many characters, wherever that falls, stored as a log of chunks in many files."""
     docs = t.load(spark, folder, "documents")
-    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK_CHARS).cast("int"))
-    pieces = docs.filter("length(text) > 0").select("doc_id", "text", F.explode(cuts).alias("i"))
-    return pieces.select(
-        _text("doc_id").alias("stream"),
-        F.col("i").cast("bigint").alias("chunk"),
-        F.call_function("substring", F.col("text"), F.col("i") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)).alias("text"),
-    )
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), 0)
+    placed = docs.filter("length(text) > 0").select(_text("doc_id").alias("stream"), F.posexplode(pieces).alias("i", "text"))
+    return written(placed.select("stream", F.col("i").cast("bigint").alias("chunk"), "text").repartition("stream", "chunk"), "chunks")
 
 
 _DOC_LINES = """SELECT stream, line, md5(value) AS digest FROM (SELECT CAST(doc_id AS VARCHAR) AS stream,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from logtel.functions import variants as v
 from logtel.functions.payloads import doc_fields, message_label, view_ref
 from logtel.functions.scalars import iso_ms, source_seq
+from logtel.operators.layout import without
+from logtel.session import written
 from logtel.sources.files import DUPLICATE_KEYS, read_documents
 
 # Artifact names of a run folder, compared without case.
@@ -55,7 +57,8 @@ def parse_dump_runs(documents: DataFrame) -> dict[str, DataFrame]:
         F.regexp_replace("file", r"/?[^/]*$", "")
     )
     named = documents.select("file", in_folder.alias("run_id"), artifact.alias("artifact"), "text")
-    docs = v.with_parsed(named.filter(F.col("artifact").isNotNull()), "text", "root").drop("text")
+    # each document is parsed once; the tables are filters over this one
+    docs = written(v.with_parsed(named.filter(F.col("artifact").isNotNull()), "text", "root").drop("text"), "dump-documents")
     root, item = F.col("root"), F.col("item")
 
     def has(name: str) -> Column:
@@ -77,8 +80,8 @@ def parse_dump_runs(documents: DataFrame) -> dict[str, DataFrame]:
             invalid,
         ).alias("e")
     )
-    errors = checked.filter(F.col("e").isNotNull()).select("run_id", "e.artifact", "e.message")
-    good = docs.join(errors.select("run_id"), "run_id", "left_anti")
+    errors = written(checked.filter(F.col("e").isNotNull()).select("run_id", "e.artifact", "e.message"), "dump-errors")
+    good = without(docs, errors, ["run_id"])
 
     def of(name: str) -> DataFrame:
         return good.filter(F.col("artifact") == name)

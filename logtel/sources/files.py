@@ -17,8 +17,8 @@ DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str = "*.json") -> DataFrame:
     """(file, text) of every matching file; a document is one JSON value and is read whole."""
     spark.conf.set(DUPLICATE_KEYS, "true")
-    docs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return docs.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return docs.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def read_listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

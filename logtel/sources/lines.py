@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,33 +77,70 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
     return with_line_numbers(read_blocks(spark, path))
 
 
-def join_pieces(chunks: DataFrame) -> DataFrame:
-    """Lines (stream, line, value, ended) of text that was cut into chunks anywhere.
+#: Bytes of the table of line numbers, one narrow row for each chunk, that are broadcast.
+NUMBERS_BROADCAST = 64 << 20
 
-    ``chunks``: stream, chunk (order), text. A piece's line number is the number of
-    line ends before it in the stream plus one, and only the pieces of one line
-    are brought together. ``ended`` tells a line whose end has been seen.
+
+@dataclass(frozen=True)
+class Pieces:
+    """Lines of chunked text: ``whole`` (stream, line, value) lie inside one chunk, ``seams`` (the same and ``ended``)
+    touch the start or the end of a chunk; ``ends`` (stream, n) counts the line ends."""
+
+    whole: DataFrame
+    seams: DataFrame
+    ends: DataFrame
+
+
+def split_chunks(chunks: DataFrame, before: DataFrame | None = None, broadcast: int = NUMBERS_BROADCAST) -> Pieces:
+    """Lines of text that was cut into chunks anywhere, without moving the lines that no cut goes through.
+
+    ``chunks``: stream, chunk (order, unique in a stream), text. ``before``
+    (stream, n): lines that a stream had already. Only (stream, chunk, number of
+    line ends) is put in order. The line numbers meet the texts through a
+    broadcast, if they are small enough, and the lines inside a chunk are
+    emitted where they are read; what is exchanged are the first and the last
+    fragment of every chunk. With more numbers than that, each text is moved
+    once to meet its number. ``ended`` tells a line whose end has been seen.
     """
     keys, order = ["stream"], ["chunk"]
-    ends = (F.length("text") - F.length(F.translate("text", "\n", ""))).cast("bigint")
-    laid = lay_out(chunks.select("stream", "chunk", "text"), keys, order)
-    counted = running(laid, keys, order, {"_before": Running("sum", ends, before=True)})
-    pieces = counted.select(
-        "stream",
-        "chunk",
-        F.coalesce("_before", F.lit(0)).alias("_before"),
-        F.posexplode(F.split("text", "\n", -1)).alias("_piece", "_text"),
-        F.size(F.split("text", "\n", -1)).alias("_pieces"),
-    ).withColumn("line", F.col("_before") + F.col("_piece") + 1)
-    parts = F.array_sort(F.collect_list(F.struct("chunk", "_text")))
-    return pieces.groupBy("stream", "line").agg(
-        F.array_join(F.transform(parts, lambda p: p["_text"]), "").alias("value"),
-        F.bool_or(F.col("_piece") < F.col("_pieces") - 1).alias("ended"),
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    counts = chunks.select("stream", "chunk", ends.cast("bigint").alias("_ends"))
+    if before is not None:
+        counts = counts.unionByName(before.select("stream", F.lit(None).cast("bigint").alias("chunk"), F.col("n").alias("_ends")))
+    laid = lay_out(counts, keys, order)  # null chunks come first
+    size = laid.agg(F.sum(F.octet_length("stream") + 40)).first()[0] or 0
+    placed = running(laid, keys, order, {"_before": Running("sum", F.col("_ends"), before=True)}).filter("chunk IS NOT NULL")
+    numbers = placed.select(F.col("stream").alias("_stream"), F.col("chunk").alias("_chunk"), F.coalesce("_before", F.lit(0)).alias("_before"))
+    here = F.col("stream").eqNullSafe(F.col("_stream")) & (F.col("chunk") == F.col("_chunk"))
+    numbered = chunks.select("stream", "chunk", F.split("text", "\n", -1).alias("_parts")).join(
+        F.broadcast(numbers) if size <= broadcast else numbers, here
+    )
+    last = F.size("_parts")
+    inside = F.slice("_parts", F.lit(2), F.greatest(last - 2, F.lit(0)))
+    whole = numbered.select("stream", "_before", F.posexplode(inside).alias("_piece", "value"))
+    # the part before the first end, and the part after the last one if there is any
+    first = F.struct((F.col("_before") + 1).alias("line"), F.col("_parts")[0].alias("text"), (last > 1).alias("ended"))
+    final = F.struct((F.col("_before") + last).alias("line"), F.element_at("_parts", -1).alias("text"), F.lit(False).alias("ended"))
+    cuts = F.when((last > 1) & (F.element_at("_parts", -1) != ""), F.array(first, final)).otherwise(F.array(first))
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    seams = (
+        numbered.select("stream", "chunk", F.inline(cuts))
+        .groupBy("stream", "line")
+        .agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("value"), F.bool_or("ended").alias("ended"))
+    )
+    return Pieces(
+        whole.select("stream", (F.col("_before") + F.col("_piece") + 2).alias("line"), "value"),
+        seams,
+        laid.groupBy("stream").agg(F.sum("_ends").alias("n")),
     )
 
 
-def reassemble_lines(chunks: DataFrame, flush: bool = True) -> DataFrame:
+def reassemble_lines(chunks: DataFrame, flush: bool = True, broadcast: int = NUMBERS_BROADCAST) -> DataFrame:
     """Whole numbered lines of chunked text; without ``flush`` a last line not yet ended is held back."""
-    lines = join_pieces(chunks)
-    kept = lines.filter("ended OR length(value) > 0") if flush else lines.filter("ended")
-    return kept.select("stream", "line", without_cr(F.col("value")).alias("value"))
+    pieces = split_chunks(chunks, broadcast=broadcast)
+    kept = pieces.seams.filter("ended OR length(value) > 0") if flush else pieces.seams.filter("ended")
+    return finished(pieces.whole.unionByName(kept.select("stream", "line", "value")))
+
+
+def finished(lines: DataFrame) -> DataFrame:
+    return lines.select("stream", "line", without_cr(F.col("value")).alias("value"))

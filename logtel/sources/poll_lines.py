@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logtel.functions import variants as v
 from logtel.functions.scalars import is_text, iso_ms
+from logtel.session import written
 from logtel.sources import checks
 from logtel.sources.lines import read_numbered_lines
 
@@ -73,8 +74,11 @@ def _cycle_error(root: Column, where: Column) -> Column:
     )
 
 
-def parse_poll_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(stages, cycles, warnings) of numbered lines (file, line, value); a bad line never stops the rest."""
+def tagged_lines(lines: DataFrame) -> DataFrame:
+    """Every non-blank line once: ``facts``, the parsed line, its ``type``, and its first ``problem`` (with ``raw``) if it has one.
+
+    The line is parsed here and nowhere else; the results are filters over this table.
+    """
     root, where = F.col("facts"), F.concat(F.lit("line "), F.col("line").cast("string"))
     kind = v.text(root, "$.type")
     label = F.coalesce(F.concat(F.lit('"'), kind, F.lit('"')), F.lit("missing"))
@@ -86,11 +90,19 @@ def parse_poll_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         .otherwise(F.concat(where, F.lit(": unknown event type "), label, F.lit(".")))
     )
     used = lines.filter(is_text(F.col("value"))).select("file", "line", F.col("value").alias("raw"))
-    parsed = (
-        v.with_parsed(used, "raw", "facts")
-        .withColumns({"type": kind, "problem": problem})
-        .withColumn("arrival", F.struct("file", "line"))
-    )
+    tagged = v.with_parsed(used, "raw", "facts").select("file", "line", "raw", "facts", kind.alias("type"), problem.alias("problem"))
+    bad = F.col("problem").isNotNull()
+    return tagged.select("file", "line", F.when(bad, F.col("raw")).alias("raw"), F.when(~bad, root).alias("facts"), "type", "problem")
+
+
+def parse_poll_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stages, cycles, warnings) of numbered lines (file, line, value); a bad line never stops the rest."""
+    return of_tagged_lines(written(tagged_lines(lines), "poll-lines"))
+
+
+def of_tagged_lines(tagged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    root = F.col("facts")
+    parsed = tagged.withColumn("arrival", F.struct("file", "line"))
     good = parsed.filter(F.col("problem").isNull())
     stages = good.filter("type = 'stage'").select(
         v.text(root, "$.runId").alias("run_id"),

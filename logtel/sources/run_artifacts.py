@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logtel.functions import variants as v
 from logtel.functions.scalars import coerce_comparable, is_text, iso_ms
 from logtel.operators.runs import summarize_iterations
+from logtel.session import written
 from logtel.sources import checks
 from logtel.sources.files import DUPLICATE_KEYS, read_documents
 from logtel.sources.lines import read_numbered_lines
@@ -242,15 +243,11 @@ def _summary_columns(root: Column, member: str) -> list[Column]:
     ]
 
 
-def _exploded(docs: DataFrame, member: str) -> DataFrame:
-    return docs.select("file", F.posexplode(v.items(F.col("root"), f"$.{member}")).alias("position", "item"))
-
-
 def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
     """Runs, iterations, memory samples, summaries and errors of artifact documents (file, text).
 
     A document counts as a whole: its first error, in document order, leaves it
-    out of every other result. Array items are checked as rows of their own.
+    out of every other result.
     """
     documents.sparkSession.conf.set(DUPLICATE_KEYS, "true")
     root, where = F.col("root"), F.lit("artifact")
@@ -285,11 +282,6 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
         .when(is_summary, summary_head)
         .otherwise(other)
     )
-    docs = docs.withColumns({"kind": kind, "head": head})
-    run_docs, summary_docs = docs.filter("kind = 'run'"), docs.filter("kind = 'summary'")
-
-    def place(member: str) -> Column:
-        return F.concat(F.lit(f"artifact.{member}["), F.col("position").cast("string"), F.lit("]"))
 
     def sample_error(item: Column, at: Column) -> Column:
         return F.coalesce(
@@ -307,34 +299,26 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
             _summary_error(item, "summary", at),
         )
 
-    item = F.col("item")
-    iterations, samples = _exploded(run_docs, "iterations"), _exploded(run_docs, "memorySamples")
-
-    def complaints(df: DataFrame, section: int, position: Column, message: Column) -> DataFrame:
-        found = df.select("file", F.struct(F.lit(section).alias("s"), position.cast("int").alias("p")).alias("at"), message.alias("message"))
-        return found.filter(F.col("message").isNotNull())
+    def each(member: str, check) -> Column:
+        return checks.each(v.items(root, f"$.{member}"), check, checks.at(where, member))
 
-    zero, position = F.lit(0), F.col("position")
     no_samples = checks.an_array(root, F.lit("artifact.memorySamples"), "$.memorySamples")
-    errors = (
-        complaints(docs, 0, zero, F.col("head"))
-        .unionByName(complaints(iterations, 1, position, iteration_error(item, place("iterations"))))
-        .unionByName(complaints(run_docs, 2, zero, no_samples))
-        .unionByName(complaints(samples, 3, position, sample_error(item, place("memorySamples"))))
-        .unionByName(complaints(run_docs, 4, zero, _summary_error(root, "summary", where)))
-        .unionByName(complaints(_exploded(summary_docs, "runs"), 1, position, listed_run_error(item, place("runs"))))
-        .unionByName(complaints(summary_docs, 4, zero, _summary_error(root, "averages", where)))
-        .groupBy("file")
-        .agg(F.min_by("message", "at").alias("message"))
-    )
-    bad = errors.select("file")
-
-    def good(df: DataFrame) -> DataFrame:
-        return df.join(bad, "file", "left_anti")
+    run_body = F.coalesce(each("iterations", iteration_error), no_samples, each("memorySamples", sample_error), _summary_error(root, "summary", where))
+    summary_body = F.coalesce(each("runs", listed_run_error), _summary_error(root, "averages", where))
+    message = F.coalesce(head, F.when(kind == "run", run_body).when(kind == "summary", summary_body))
+    # each document is parsed and checked once; the tables are filters over this one
+    tagged = docs.select("file", kind.alias("kind"), message.alias("message"), "root")
+    tagged = written(tagged.withColumn("root", F.when(F.col("message").isNull(), root)), "artifacts")
+    good = tagged.filter("message IS NULL")
+    run_docs, summary_docs = good.filter("kind = 'run'"), good.filter("kind = 'summary'")
 
     run_id = v.text(root, "$.run.runId").alias("run_id")
-    ids = good(run_docs).select("file", run_id)
-    runs = good(run_docs).select(
+
+    def exploded(member: str) -> DataFrame:
+        return run_docs.select("file", run_id, F.posexplode(v.items(root, f"$.{member}")).alias("position", "item"))
+
+    item = F.col("item")
+    runs = run_docs.select(
         "file",
         run_id,
         v.text(root, "$.run.label").alias("label"),
@@ -352,21 +336,21 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
     arrival = F.col("position").cast("bigint").alias("arrival")
     return {
         "runs": runs,
-        "iterations": iterations.join(ids, "file").select("file", "run_id", arrival, *iteration_columns(item)),
-        "memory_samples": samples.join(ids, "file").select(
+        "iterations": exploded("iterations").select("file", "run_id", arrival, *iteration_columns(item)),
+        "memory_samples": exploded("memorySamples").select(
             "file",
             "run_id",
             v.text(item, "$.iterationId").alias("iteration_id"),
             iso_ms(v.text(item, "$.timestampUtc")).alias("at_ms"),
             *[v.number(item, f"$.{key}").alias(name) for key, name in MEMORY.items()],
         ),
-        "summaries": good(summary_docs).select(
+        "summaries": summary_docs.select(
             "file",
             v.text(root, "$.label").alias("label"),
             v.number(root, "$.runCount").alias("run_count"),
             *_summary_columns(root, "averages"),
         ),
-        "errors": errors,
+        "errors": tagged.filter("message IS NOT NULL").select("file", "message"),
     }
 
 
@@ -385,11 +369,12 @@ def parse_iteration_lines(lines: DataFrame, latest_only: bool = False) -> tuple[
         where, broken = F.lit("line"), F.lit("invalid JSON.")
     root = F.col("root")
     parsed = v.with_parsed(used.select("file", "line", "value"), "value", "root").drop("value")
-    parsed = parsed.withColumn("message", F.when(root.isNull(), broken).otherwise(iteration_error(root, where)))
-    good = parsed.filter(F.col("message").isNull())
+    message = F.when(root.isNull(), broken).otherwise(iteration_error(root, where))
+    tagged = written(parsed.withColumn("message", message), "iteration-lines")
+    good = tagged.filter(F.col("message").isNull())
     return (
         good.select("file", F.col("line").alias("arrival"), *iteration_columns(root)),
-        parsed.filter(F.col("message").isNotNull()).select("file", "line", "message"),
+        tagged.filter(F.col("message").isNotNull()).select("file", "line", "message"),
     )
 
 

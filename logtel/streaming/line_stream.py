@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logtel.session import cut
-from logtel.sources.lines import join_pieces, without_cr
+from logtel.sources.lines import finished, split_chunks, without_cr
 from logtel.streaming.tables import read_batches, read_before, write_batch
 
 STATE = T.StructType().add("stream", T.StringType()).add("carry", T.StringType()).add("next_line", T.LongType())
@@ -17,28 +17,24 @@ _CARRY_CHUNK = -1
 
 
 def advance_lines(chunks: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(whole lines, new state) after more chunks; chunks of one log are split over tasks like any others."""
+    """(whole lines, new state) after more chunks; chunks of one log are split over tasks like any others.
+
+    The line that was cut is one more chunk before the others, and the lines a
+    log has had are counted before it, so lines get their numbers where they are
+    read and the state is made of what the chunks' ends left over.
+    """
     carried = state.filter("length(carry) > 0").select(
         "stream", F.lit(_CARRY_CHUNK).cast("bigint").alias("chunk"), F.col("carry").alias("text")
     )
-    joined = cut(join_pieces(chunks.select("stream", "chunk", "text").unionByName(carried)))
-    base = state.select("stream", F.coalesce("next_line", F.lit(1)).alias("_next"))
-    numbered = joined.join(base, "stream", "left").withColumn(
-        "line", F.col("line") + F.coalesce("_next", F.lit(1)) - 1
-    )
-    lines = numbered.filter("ended").select("stream", "line", without_cr(F.col("value")).alias("value"))
-    grown = numbered.groupBy("stream").agg(
-        F.max(F.when(~F.col("ended"), F.col("value"))).alias("_carry"), F.max("line").alias("_line"), F.bool_and("ended").alias("_all")
-    )
-    new_state = state.join(grown, "stream", "full_outer").select(
-        "stream",
-        F.when(F.col("_line").isNull(), F.col("carry")).otherwise(F.coalesce("_carry", F.lit(""))).alias("carry"),
-        F.when(F.col("_line").isNull(), F.col("next_line"))
-        .otherwise(F.when(F.col("_all"), F.col("_line") + 1).otherwise(F.col("_line")))
-        .cast("bigint")
-        .alias("next_line"),
+    had = state.select("stream", (F.coalesce("next_line", F.lit(1)) - 1).alias("n"))
+    pieces = split_chunks(chunks.select("stream", "chunk", "text").unionByName(carried), had)
+    seams = cut(pieces.seams)
+    ended = seams.filter("ended").select("stream", "line", "value")
+    rest = seams.filter("NOT ended").select(F.col("stream").alias("_stream"), F.col("value").alias("_rest"))
+    new_state = pieces.ends.join(rest, F.col("stream").eqNullSafe(F.col("_stream")), "left").select(
+        "stream", F.coalesce("_rest", F.lit("")).alias("carry"), (F.col("n") + 1).alias("next_line")
     )
-    return lines, new_state
+    return finished(pieces.whole.unionByName(ended)), new_state
 
 
 def stream_lines(spark: SparkSession, source: str, tables: str, files_per_batch: int | None = None) -> StreamingQuery:

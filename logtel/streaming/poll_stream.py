@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logtel.operators.keyed import latest_per_key
 from logtel.sources.files import DUPLICATE_KEYS
 from logtel.sources.lines import with_line_numbers
-from logtel.sources.poll_lines import parse_poll_lines
+from logtel.sources.poll_lines import of_tagged_lines, parse_poll_lines, tagged_lines
 from logtel.streaming.tables import BATCH, read_batches, write_batch
 
 _NAMES = ("stages", "cycles", "warnings")
@@ -20,17 +20,15 @@ def _empty_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "file string, line bigint, value string")
 
 
-def _stored(name: str, df: DataFrame) -> DataFrame:
-    return df.drop("facts") if name == "cycles" else df
-
-
 def table_schema(spark: SparkSession, name: str) -> T.StructType:
-    parsed = dict(zip(_NAMES, parse_poll_lines(_empty_lines(spark))))
-    return _stored(name, parsed[name]).schema
+    return dict(zip(_NAMES, of_tagged_lines(tagged_lines(_empty_lines(spark)))))[name].schema
 
 
 def stream_poll(spark: SparkSession, source: str, tables: str, files_per_batch: int | None = None) -> StreamingQuery:
-    """Append stage events, warnings and each batch's last cycle per run below ``tables``; reads what is there, then stops."""
+    """Append stage events, warnings and each batch's last cycle per run, whole line (``facts``) included, below ``tables``.
+
+    A line is parsed once; reads what is there, then stops.
+    """
     spark.conf.set(DUPLICATE_KEYS, "true")
     reader = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if files_per_batch:
@@ -46,7 +44,7 @@ def stream_poll(spark: SparkSession, source: str, tables: str, files_per_batch:
         lines = with_line_numbers(batch.withColumn("_id", F.monotonically_increasing_id()))
         stages, cycles, warnings = parse_poll_lines(lines)
         write_batch(stages, f"{tables}/stages", number)
-        write_batch(latest_per_key(cycles.drop("facts"), ["run_id"], "arrival"), f"{tables}/cycles", number)
+        write_batch(latest_per_key(cycles, ["run_id"], "arrival"), f"{tables}/cycles", number)
         write_batch(warnings, f"{tables}/warnings", number)
 
     return (

@@ -4,11 +4,13 @@ import random
 
 from pyspark.sql import functions as F
 
-from logtel.operators import dumps, polls
+from logtel.operators import dumps, keyed, polls
 from logtel.operators.ingest import size_bounded_batches
-from logtel.operators.layout import Running, lay_out, number_rows, running, values_at_ranks
+from logtel.operators.layout import Running, attach, lay_out, number_rows, running, values_at_ranks
 from logtel.operators.messages import bounded_read, partition_heads
-from logtel.sources.lines import reassemble_lines
+from logtel.operators.keyed import latest_per_key
+from logtel.sources.lines import NUMBERS_BROADCAST, reassemble_lines, split_chunks
+from logtel.streaming.line_stream import STATE, advance_lines
 
 
 def skewed(rng, n, keys="abcdef"):
@@ -169,8 +171,10 @@ def test_lines_from_chunks(spark):
             rows.append((name, chunk, text[at : at + size]))
             at, chunk = at + size, chunk + 1
     df = spark.createDataFrame(rows, "stream string, chunk bigint, text string")
-    for flush in (True, False):
-        got = {(r.stream, r.line): r.value for r in reassemble_lines(df, flush).collect()}
+    for flush, most in ((True, NUMBERS_BROADCAST), (False, NUMBERS_BROADCAST), (True, 0), (False, 0)):
+        lines = reassemble_lines(df, flush, most).collect()
+        got = {(r.stream, r.line): r.value for r in lines}
+        assert len(got) == len(lines)
         want = {}
         for name, text in texts.items():
             parts = text.split("\n")
@@ -186,3 +190,77 @@ def test_capped_read_takes_partitions_in_numeric_order(spark):
     got = [(r.partition_id, r.seq) for r in bounded_read(log, partition_heads(log), marks, 40).orderBy("index").collect()]
     want = [("2", s) for s in range(10, 60, 2)] + [("10", s) for s in range(0, 30, 2)]
     assert got == want[:40]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_inside_a_chunk_are_not_exchanged(spark):
+    text = "cut\n" + "".join(f"line {i} that lies within its chunk\n" for i in range(50)) + "rest"
+    df = spark.createDataFrame([("a", k, text) for k in range(4)], "stream string, chunk bigint, text string")
+    pieces = split_chunks(df)
+    # the texts meet their numbers through a broadcast; only where those are too many are texts exchanged
+    assert "SortMergeJoin" not in _plan(pieces.whole) and "SortMergeJoin" in _plan(split_chunks(df, broadcast=0).whole)
+    moved = [r.value for r in pieces.seams.collect()]
+    assert len(moved) == 5 and not any("within" in v for v in moved)  # 200 whole lines stay where they are
+    assert pieces.whole.count() == 200
+
+
+def test_chunks_of_a_growing_log_in_any_split(spark):
+    rng = random.Random(17)
+    texts = {"hot": "".join(rng.choice(["ab", "\n", "\r\n", "ü "]) for _ in range(120)), "one": "no end", None: "x\ny\n", "late": "\n\n"}
+    state, lines, at = spark.createDataFrame([], STATE), [], dict.fromkeys(texts, 0)
+    for step in range(4):
+        rows = []
+        for name, text in texts.items():
+            if name == "late" and step < 2:
+                continue
+            end = len(text) if step == 3 else min(len(text), at[name] + rng.randint(0, 40))
+            for chunk in range(3):  # the last one of a log may be empty
+                size = end - at[name] if chunk == 2 else min(rng.randint(0, 9), end - at[name])
+                rows.append((name, step * 10 + chunk, text[at[name] : at[name] + size]))
+                at[name] += size
+        found, grown = advance_lines(spark.createDataFrame(rows, "stream string, chunk bigint, text string"), state)
+        lines += found.collect()
+        state = spark.createDataFrame(grown.collect(), STATE)
+    want = {(n, i + 1): p.removesuffix("\r") for n, t in texts.items() for i, p in enumerate(t.split("\n")[:-1])}
+    assert {(r.stream, r.line): r.value for r in lines} == want and len(lines) == len(want)
+    left = {r.stream: (r.carry, r.next_line) for r in state.collect()}
+    assert left == {n: (t.split("\n")[-1], t.count("\n") + 1) for n, t in texts.items()}
+
+
+def test_a_small_table_meets_a_hot_key(spark):
+    rng = random.Random(18)
+    rows = [(k, i) for i, k in enumerate(skewed(rng, 300))] + [(None, 900)]
+    facts = spark.createDataFrame(rows, "k string, i bigint")
+    per_key = spark.createDataFrame([(k, ord(k[0])) for k in ("hot", "a", "b", "z")], "k string, v int")
+    want = {(k, i): {"hot": ord("h"), "a": ord("a"), "b": ord("b")}.get(k) for k, i in rows}
+    for most in (10, 0):
+        left = {(r.k, r.i): r.v for r in attach(facts, per_key, ["k"], ["i"], "left", most).collect()}
+        assert left == want
+        inner = attach(facts, per_key, ["k"], ["i"], "inner", most)
+        assert {(r.k, r.i): r.v for r in inner.collect()} == {p: v for p, v in want.items() if v is not None}
+    assert "BroadcastHashJoin" in _plan(attach(facts, per_key, ["k"], ["i"], "left", 10))
+    assert "_salt" in _plan(attach(facts, per_key, ["k"], ["i"], "left", 0))
+
+
+def test_latest_row_of_hot_keys_ties_and_nulls(spark, monkeypatch):
+    rng = random.Random(19)
+    rows = [(k, rng.choice([None, 1, 2, 3]), f"payload {i % 90}", [i % 7]) for i, k in enumerate(skewed(rng, 500))]
+    rows += [(None, 5, "null key", [1]), (None, 4, "older", [1]), ("only null", None, "x", None), ("same", 1, "twice", [2]), ("same", 1, "twice", [2])]
+    df = spark.createDataFrame(rows, "k string, o int, payload string, list array<int>").repartition(6)
+    df = df.select("*", F.parse_json(F.lit('{"a": 1}')).alias("v"), F.create_map("payload", "o").alias("m"))
+    keys = {r[0] for r in rows}
+    for most, share in ((1 << 18, 1e-5), (0, 1e-5), (0, 0.3)):
+        monkeypatch.setattr(keyed, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(keyed, "HEAVY_SHARE", share)
+        latest = latest_per_key(df, ["k"], "o")
+        assert latest.columns == df.columns and "SortAggregate" not in _plan(latest)
+        got = {r.k: (r.o, r.payload, r.list) for r in latest.collect()}
+        assert set(got) == keys and latest.count() == len(keys)
+        for key in keys:
+            mine = [r for r in rows if r[0] == key]
+            best = max((r[1] for r in mine if r[1] is not None), default=None)
+            assert got[key] in [r[1:] for r in mine if r[1] == best]
+    assert latest_per_key(df.limit(0), ["k"], "o").count() == 0

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtel.functions.scalars import datetime_ms_text, epoch_ms_text, is_text, iso_duration_ms
-from logtel.operators.layout import BLOCK, lay_out
-from logtel.session import ship_package
+from logtel.operators.layout import BLOCK, attach, lay_out, least_of
+from logtel.session import cut, ship_package
 
 # Columns that hold the event time, in order of preference.
 EPOCH_COLUMNS = ("clientTime",)
 DATETIME_COLUMNS = ("PreciseTimeStamp", "TIMESTAMP", "env_time")
+#: Later than any time stamp.
+_NEVER = 9223372036854775807
 
 
 def high_watermarks(store: DataFrame, users: DataFrame) -> DataFrame:
@@ -54,16 +56,18 @@ def incremental_pull(
             pulled = pulled.join(marks.select("object_id"), "object_id", "left_semi")
     else:
         since = now_ms - iso_duration_ms(lookback)
-        users, marked, least = marks.agg(F.count(F.lit(1)), F.count("watermark_ms"), F.min("watermark_ms")).first()
-        if not users:
-            raise ValueError("at least one user or a session is required")
-        # no row outside these literal bounds can be fresh for any user; they reach the scan, the test per user does not
-        reached = F.lit(False) if least is None else F.col("client_ms") > F.lit(least)
-        rows = rows.filter(reached if marked == users else reached | (F.col("ts_ms") > F.lit(since)))
+        # no row outside these bounds can be fresh for any user; they are found when the query runs and reach the scan
+        never = F.lit(_NEVER)
+        latest = marks.agg(F.coalesce(F.max(F.when(F.col("watermark_ms").isNull(), F.lit(since))), never)).scalar()
+        rows = rows.filter((F.col("client_ms") > least_of(marks, F.coalesce("watermark_ms", never))) | (F.col("ts_ms") > latest))
         fresh = F.when(F.col("watermark_ms").isNotNull(), F.col("client_ms") > F.col("watermark_ms")).otherwise(
             F.col("ts_ms") > F.lit(since)
         )
         pulled = rows.join(marks, "object_id").filter(fresh).select(*rows.columns)
+        # neither a user nor a session is an error, found when the query runs
+        nobody = F.raise_error(F.lit("at least one user or a session is required"))
+        none = marks.agg(F.count(F.lit(1)).alias("_users")).filter("_users = 0")
+        pulled = pulled.unionByName(none.select(*[nobody.cast(f.dataType).alias(f.name) for f in rows.schema]))
     ties = [c for c in ("_file", "_ord", "event_id") if c in rows.columns]
     return pulled.orderBy(F.col("client_ms").asc_nulls_first(), *ties)
 
@@ -135,27 +139,32 @@ def _block_steps(sizes: np.ndarray, limit: int) -> tuple[int, int, list[dict]]:
     overflow = np.searchsorted(through[1:], through[:-1] + limit, side="right")
     fitting = np.append(np.where(sizes <= limit, np.arange(count), count), count)
     opener = np.minimum.accumulate(fitting[::-1])[::-1]
-    rest = np.zeros(count + 1, dtype=np.int64)
-    opened = np.zeros(count + 1, dtype=np.int64)
-    for i in range(count - 1, -1, -1):
-        if overflow[i] >= count:
-            rest[i], opened[i] = through[count] - through[i], 1
-        else:
-            following = opener[overflow[i]]
-            rest[i], opened[i] = rest[following], opened[following] + 1
+    # pointer doubling: from each event to the one that opens the next batch, until a batch stays open
+    closes = overflow < count
+    following = np.append(np.where(closes, opener[np.minimum(overflow, count)], np.arange(count)), count)
+    hops = np.append(closes, False).astype(np.int64)
+    while True:
+        further = hops[following]
+        if not further.any():
+            break
+        hops, following = hops + further, following[following]
+    rest = (through[count] - through)[following]
+    opened = hops + (following < count)
     steps: list[dict] = []
     reachable = int(np.searchsorted(through[:-1], limit, side="left"))
-    for i in range(reachable):
-        start = opener[i]
-        step = {"upto": int(limit - through[i]), "rest": int(rest[start]), "opened": int(opened[start])}
-        if not steps or (steps[-1]["rest"], steps[-1]["opened"]) != (step["rest"], step["opened"]):
-            steps.append(step)
+    if reachable:
+        start = opener[:reachable]
+        first = np.ones(reachable, dtype=bool)
+        first[1:] = (rest[start][1:] != rest[start][:-1]) | (opened[start][1:] != opened[start][:-1])
+        steps = [
+            {"upto": int(limit - through[i]), "rest": int(rest[start[i]]), "opened": int(opened[start[i]])} for i in np.flatnonzero(first)
+        ]
     return int(rest[opener[0]]), int(opened[opener[0]]), steps
 
 
-def _summarise_block(limit: int, order: list[str]):
+def _summarise_block(limit: int):
     def summarise(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = rows.sort_values(order, kind="stable")["_size"].to_numpy(dtype=np.int64)
+        sizes = rows.sort_values("_row")["_size"].to_numpy(dtype=np.int64)
         rest, opened, steps = _block_steps(sizes, limit)
         summary = {"_key": group[0], BLOCK: group[1], "rest": rest, "opened": opened, "total": int(sizes.sum())}
         return pd.DataFrame([{**summary, "steps": steps}])
@@ -241,20 +250,91 @@ def size_bounded_batches(
     Greedy filling depends on the past only through the bytes already open, so
     a block of a key that covers several blocks is summarised as a step function
     of that number. Chaining these steps (one row per block) gives each block
-    its starting state, and all blocks are then filled independently.
+    its starting state, and all blocks are then filled independently. Only key,
+    order and size are laid out and filled; bodies meet their batch afterwards.
+    """
+    return continued_batches(events, max_bytes, order, None, blocks)[0]
+
+
+def continued_batches(
+    events: DataFrame, max_bytes: int, order: Sequence[str], opened: DataFrame | None, blocks: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``size_bounded_batches`` that goes on where earlier events ended, and the batches that are open after these.
+
+    ``opened`` (_key, held, batches): bytes in a key's open batch, 0 if it is
+    closed, and its number. What is held counts as a first event of that size.
     """
     ship_package()
     order = list(order)
-    sized = events.withColumn("_size", F.octet_length("_body").cast("bigint"))
-    laid = lay_out(sized, ["_key"], order, blocks)
+    sized = events.select("_key", *order, F.octet_length("_body").cast("bigint").alias("_size"))
+    if opened is not None:
+        blank = [F.lit(None).cast(sized.schema[c].dataType).alias(c) for c in order]
+        sized = sized.unionByName(opened.filter("held > 0").select("_key", *blank, F.col("held").alias("_size")))
+    laid = lay_out(sized, ["_key"], order, blocks)  # rows without a place come first
+    if not laid.groupBy("_key", *order).count().filter("count > 1").isEmpty():
+        # rows alike in key and order are numbered, by their bodies, so that each has a place of its own
+        alike = Window.partitionBy("_key", *order).orderBy(F.xxhash64("_body"), "_body")
+        told = events.withColumn("_alike", F.row_number().over(alike))
+        found, left = continued_batches(told, max_bytes, (*order, "_alike"), opened, blocks)
+        return found.drop("_alike"), left
+    numbered = _batches_of(laid, max_bytes, order)
+    if opened is not None:
+        # a batch that was open is the first one of these events
+        earlier = opened.select("_key", (F.col("batches") - (F.col("held") > 0).cast("int")).alias("_earlier")).filter("_earlier > 0")
+        numbered = _plus_earlier(numbered, earlier, order)
+    numbered = cut(numbered)
+    return _with_batches(events, numbered.filter(F.col(order[0]).isNotNull()), order), _left_open(numbered, opened, order)
+
+
+def _plus_earlier(numbered: DataFrame, earlier: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Batch numbers after those a key has had already; a key's rows are spread over tasks."""
+    named = F.coalesce(F.concat(F.lit("="), F.col("_key").cast("string")), F.lit(""))  # a missing key is told from an empty one
+    met = attach(numbered.withColumn("_of", named), earlier.select(named.alias("_of"), "_earlier"), ["_of"], order, "left")
+    return met.withColumn("_batch", F.col("_batch") + F.coalesce("_earlier", F.lit(0))).drop("_of", "_earlier")
+
+
+def _left_open(numbered: DataFrame, opened: DataFrame | None, order: Sequence[str]) -> DataFrame:
+    """(_key, held, batches) after all rows: the last batch, and its bytes unless an event too large has closed it."""
+    place = F.struct(F.col(order[0]).isNotNull(), *order)
+    batches = numbered.groupBy("_key", "_batch").agg(F.sum("_size").alias("_bytes"), F.max(place).alias("_last"))
+    ends = batches.groupBy("_key").agg(
+        F.max("_batch").alias("batches"), F.max_by("_bytes", "_batch").alias("_bytes"), F.max_by("_last", "_batch").alias("_at"),
+        F.max(F.when(F.col("_batch").isNull(), F.col("_last"))).alias("_closed_at"),
+    )
+    closed = F.col("batches").isNull() | F.coalesce(F.col("_closed_at") > F.col("_at"), F.lit(False))
+    now = ends.select("_key", F.when(closed, 0).otherwise(F.col("_bytes")).cast("bigint").alias("held"), F.col("batches"))
+    if opened is None:
+        return now.withColumn("batches", F.coalesce("batches", F.lit(0).cast("bigint")))
+    had = opened.select(F.col("_key").alias("_of"), F.col("held").alias("_held"), F.col("batches").alias("_had"))
+    both = now.join(had, F.col("_key").eqNullSafe(F.col("_of")), "full_outer")
+    untouched = F.col("held").isNull()
+    return both.select(
+        F.when(untouched, F.col("_of")).otherwise(F.col("_key")).alias("_key"),
+        F.coalesce("held", "_held").alias("held"),
+        F.coalesce("batches", "_had", F.lit(0)).cast("bigint").alias("batches"),
+    )
+
+
+def _with_batches(events: DataFrame, numbered: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Events, bodies included, with the batch of their key and place; bodies move once, spread by key and place."""
+    places = [F.col(c).alias(f"_at_{i}") for i, c in enumerate(order)]
+    known = numbered.select(F.col("_key").alias("_of"), *places, "_batch")
+    same = F.col("_key").eqNullSafe(F.col("_of"))
+    for i, c in enumerate(order):
+        same = same & (F.col(c) == F.col(f"_at_{i}"))
+    return events.join(known, same).select(*events.columns, "_batch")
+
+
+def _batches_of(laid: DataFrame, max_bytes: int, order: list[str]) -> DataFrame:
+    """The narrow rows of a layout (key, order, size) with their ``_batch``."""
     parts = laid.groupBy("_key", BLOCK).agg(F.lit(1).alias("_one"))
     parts = parts.withColumn("_parts", F.count("_one").over(Window.partitionBy("_key"))).filter("_parts > 1")
     in_part = (laid["_key"].eqNullSafe(parts["_key"])) & (laid[BLOCK] == parts[BLOCK])
     # At most two groups per block are parts of a larger group.
-    large = laid.join(F.broadcast(parts), in_part, "left_semi").select("_key", BLOCK, "_size", *order)
+    large = laid.join(F.broadcast(parts), in_part, "left_semi").select("_key", BLOCK, "_size", F.monotonically_increasing_id().alias("_row"))
     key_type = laid.schema["_key"].dataType.simpleString()
     summaries = large.groupBy("_key", BLOCK).applyInPandas(
-        _summarise_block(max_bytes, order),
+        _summarise_block(max_bytes),
         f"_key {key_type}, {BLOCK} int, rest bigint, opened bigint, total bigint, "
         "steps array<struct<upto:bigint,rest:bigint,opened:bigint>>",
     )
@@ -267,7 +347,7 @@ def size_bounded_batches(
     )
     schema = T.StructType([*ready.schema.fields, T.StructField("_batch", T.LongType())])
     filled = ready.mapInArrow(_fill_batches(max_bytes), schema)
-    return filled.drop("_held", "_batches", "_size", BLOCK)
+    return filled.drop("_held", "_batches", BLOCK)
 
 
 def in_log_partitions(events: DataFrame, partitions: int, order: Sequence[str] = ("_event_ms", "_ord")) -> DataFrame:
@@ -283,6 +363,7 @@ def write_keyed_events(
     order: Sequence[str] = ("_event_ms", "_ord"),
     source_format: str = "parquet",
     mode: str = "append",
+    also: Sequence[str] = (),
 ) -> None:
     """Write (key, body) by log partition; within one, file order then row order is event-time order.
 
@@ -295,7 +376,7 @@ def write_keyed_events(
     (
         placed.repartitionByRange(width, *columns)
         .sortWithinPartitions(*columns)
-        .select("log_partition", F.col("_key").alias("key"), F.col("_body").alias("body"), *order)
+        .select("log_partition", F.col("_key").alias("key"), F.col("_body").alias("body"), *order, *also)
         .write.mode(mode)
         .partitionBy("log_partition")
         .format(source_format)

@@ -125,6 +125,13 @@ BROADCAST_ROWS = 1 << 18
 SALTS = 32
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """``df`` materialised, with its number of rows known to ``attach``: for a small table that meets facts more than once."""
+    kept = cut(df)
+    kept.counted_rows = kept.count()
+    return kept
+
+
 def attach(facts: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """``facts`` joined to a table with one row for each key, however many facts a key has.
 
@@ -132,8 +139,8 @@ def attach(facts: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Se
     ``most`` rows the facts of each key are split by a hash of the columns
     ``spread`` and meet copies of the key's row, so that no key lands in one task.
     """
-    per_key = cut(per_key)
-    if per_key.count() <= most:
+    per_key = per_key if hasattr(per_key, "counted_rows") else counted(per_key)
+    if per_key.counted_rows <= most:
         return facts.join(F.broadcast(per_key), list(keys), how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -142,8 +149,63 @@ def attach(facts: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Se
 
 def without(facts: DataFrame, keys_of: DataFrame, keys: Sequence[str], most: int = BROADCAST_ROWS) -> DataFrame:
     """``facts`` whose key is not in ``keys_of``; the keys are counted before they are broadcast."""
-    listed = cut(keys_of.select(*keys).distinct())
-    return facts.join(F.broadcast(listed) if listed.count() <= most else listed, list(keys), "left_anti")
+    listed = counted(keys_of.select(*keys).distinct())
+    return facts.join(F.broadcast(listed) if listed.counted_rows <= most else listed, list(keys), "left_anti")
+
+
+def least_of(df: DataFrame, value: Column) -> Column:
+    """Least value in ``df`` as a scalar subquery: a comparison of a stored column with it reaches that column's scan.
+
+    Written as the first row in order, so that it is not merged with a
+    ``greatest_of`` over the same rows into a structure that scans cannot use.
+    """
+    return df.select(value.alias("_value")).orderBy("_value").limit(1).scalar()
+
+
+def greatest_of(df: DataFrame, value: Column) -> Column:
+    """Greatest value in ``df`` as a scalar subquery."""
+    return df.agg(F.max(value)).scalar()
+
+
+def brackets(laid: DataFrame, keys: Sequence[str], order: Sequence[Column | str], step: Column) -> DataFrame:
+    """Add ``balance``, the running sum of ``step``, ``low_before``, its least value before the row, and ``ups`` and ``downs``, counts of steps.
+
+    A block is summed up as (sum, least prefix, ups, downs); summaries of
+    neighbouring blocks combine into one of both, so each block learns what
+    comes before it from one row for each earlier block, and both results come
+    from a single ordered scan of the block.
+    """
+    block = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    through, up_to = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(Window.unboundedPreceding, -1)
+    one = F.lit(1).cast("bigint")
+    scanned = laid.withColumn("_step", step).select(
+        *laid.columns,
+        F.sum("_step").over(through).alias("_balance"),
+        F.sum(F.when(F.col("_step") > 0, one).otherwise(0)).over(through).alias("_ups"),
+        F.sum(F.when(F.col("_step") < 0, one).otherwise(0)).over(through).alias("_downs"),
+    ).withColumn("_low", F.min("_balance").over(up_to))
+    rows = scanned.groupBy(*keys, BLOCK).agg(
+        F.max(F.struct(F.col("_ups") + F.col("_downs"), F.col("_balance").alias("sum"), F.col("_ups").alias("ups"), F.col("_downs").alias("downs"))).alias("_end"),
+        F.min("_balance").alias("_least"),
+    )
+    group = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.select(*keys, BLOCK, "_least", *[F.coalesce(F.sum(f"_end.{n}").over(before), F.lit(0)).alias(f"_had_{n}") for n in ("sum", "ups", "downs")])
+    parts = parts.withColumn("_had_low", F.min(F.col("_had_sum") + F.col("_least")).over(before))
+    renamed = {key: f"_of_{i}" for i, key in enumerate([*keys, BLOCK])}
+    carried = parts.drop("_least").filter("_had_ups + _had_downs > 0").withColumnsRenamed(renamed)
+    here = F.lit(True)
+    for key, other in renamed.items():
+        here = here & F.col(key).eqNullSafe(F.col(other))
+    joined = scanned.join(F.broadcast(carried), here, "left")
+    had = {n: F.coalesce(f"_had_{n}", F.lit(0)) for n in ("sum", "ups", "downs")}
+    return joined.select(
+        *laid.columns,
+        (had["sum"] + F.col("_balance")).alias("balance"),
+        F.least("_had_low", had["sum"] + F.col("_low")).alias("low_before"),
+        (had["ups"] + F.col("_ups")).alias("ups"),
+        (had["downs"] + F.col("_downs")).alias("downs"),
+    )
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:

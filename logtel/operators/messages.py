@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtel.operators.layout import BLOCK, Running, lay_out, running
+from logtel.operators.layout import BLOCK, Running, greatest_of, lay_out, least_of, running
 
 # Messages per counting block when a read is capped.
 COUNT_BLOCK = 65536
+#: Before any sequence number.
+_FIRST = -9223372036854775808
 
 
 def partition_heads(messages: DataFrame) -> DataFrame:
@@ -82,6 +84,10 @@ def unread(
     else:
         bounds = bounds.withColumn("_start", F.lit(None).cast("bigint"))
     after = F.col("_start").isNull() | (F.col("seq") > F.col("_start"))
+    # what holds for the partitions together reaches the scan, what holds for each of them follows
+    messages = messages.filter(
+        (F.col("seq") > least_of(bounds, F.coalesce("_start", F.lit(_FIRST)))) & (F.col("seq") <= greatest_of(bounds, F.col("_stop")))
+    )
     return messages.join(bounds, "partition_id").filter(after & (F.col("seq") <= F.col("_stop"))).drop("_start", "_stop")
 
 
@@ -94,11 +100,21 @@ def bounded_read(
 ) -> DataFrame:
     """``unread`` messages, numbered in ``index`` in (partition, sequence) order.
 
-    ``max_events``, if the caller sets it, bounds the read to the first so many.
-    Blocks of sequence numbers are counted first then, so only rows of blocks
-    that can hold kept messages are ordered at all.
+    Only partitions and sequence numbers are ordered; messages meet their number
+    by these, so bodies move once, spread over all tasks. ``max_events``, if the
+    caller sets it, bounds the read to the first so many. Blocks of sequence
+    numbers are counted first then, so only rows of blocks that can hold kept
+    messages are ordered at all.
     """
-    wanted = unread(messages, heads, checkpoints, only_backlog).withColumn("_place", partition_order(F.col("partition_id")))
+    narrow = messages.select("partition_id", "seq")
+    numbered = _numbered(unread(narrow, heads, checkpoints, only_backlog), max_events)
+    own = numbered.select(F.col("partition_id").alias("_partition"), F.col("seq").alias("_seq"), "index")
+    place = (F.col("partition_id") == F.col("_partition")) & (F.col("seq") == F.col("_seq"))
+    return unread(messages, heads, checkpoints, only_backlog).join(own, place).select(*messages.columns, "index")
+
+
+def _numbered(unread_places: DataFrame, max_events: int | None) -> DataFrame:
+    wanted = unread_places.withColumn("_place", partition_order(F.col("partition_id")))
     order = ["_place", "seq"]
     number = {"index": Running("sum", F.lit(1).cast("bigint"))}
     if max_events is None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from logtel.functions.scalars import finite, ratio
 from logtel.operators.keyed import latest_per_key
-from logtel.operators.layout import BLOCK, Running, lay_out, running, values_at_ranks
+from logtel.operators.layout import brackets, lay_out, values_at_ranks
 
 OPTIONAL_MEASURES = (
     "users", "cursor_lag_sec", "query_ms", "map_ms", "write_ms", "advance_ms", "write_units", "input_rows",
@@ -84,33 +84,20 @@ def pair_stage_spans(stages: DataFrame) -> DataFrame:
     is_start = F.col("ev") == "start"
     one = F.lit(1).cast("bigint")
     events = stages.filter(is_start | F.col("dur_ms").isNotNull()).select(*keys, "ev", *order, "dur_ms")
-    laid = lay_out(events, keys, order)
-    step = F.when(is_start, one).otherwise(-one)
-    counted = running(
-        laid,
-        keys,
-        order,
-        {
-            "balance": Running("sum", step),
-            "starts": Running("sum", F.when(is_start, one).otherwise(0)),
-            "ends": Running("sum", F.when(is_start, F.lit(0)).otherwise(one)),
-        },
-    )
-    placed = running(counted, keys, order, {"low_before": Running("min", F.col("balance"), before=True)})
+    placed = brackets(lay_out(events, keys, order), keys, order, F.when(is_start, one).otherwise(-one))
     floor = F.least(F.lit(0), F.coalesce("low_before", F.lit(0)))
-    placed = placed.withColumn("is_orphan", ~is_start & (F.col("balance") < floor)).withColumn(
-        "number",
-        F.when(is_start, F.col("starts")).otherwise(F.col("ends") + F.least(F.col("balance"), floor)),
-    )
-    starts = placed.filter(is_start).select(
-        *keys, "number", F.col("at_ms").alias("start_ms"), F.col("at_ms").alias("created_ms"), "arrival"
-    )
-    ends = placed.filter(~is_start & ~F.col("is_orphan")).select(*keys, "number", "dur_ms")
-    paired = starts.join(ends, [*keys, "number"], "left").select(*keys, "start_ms", "dur_ms", "created_ms", "arrival")
-    orphans = placed.filter("is_orphan").select(
-        *keys, (F.col("at_ms") - F.col("dur_ms")).alias("start_ms"), "dur_ms", F.col("at_ms").alias("created_ms"), "arrival"
+    orphan = ~is_start & (F.col("balance") < floor)
+    # a start and the end that closes it have one number; an end without a start has a number of its own, below zero
+    number = F.when(is_start, F.col("ups")).when(orphan, -F.col("downs")).otherwise(F.col("downs") + F.least(F.col("balance"), floor))
+    creates = is_start | orphan
+    began = F.when(is_start, F.col("at_ms")).when(orphan, F.col("at_ms") - F.col("dur_ms"))
+    spans = placed.groupBy(*keys, number.alias("_number")).agg(
+        F.max(began).alias("start_ms"),
+        F.max(F.when(~is_start, F.col("dur_ms"))).alias("dur_ms"),
+        F.max(F.when(creates, F.col("at_ms"))).alias("created_ms"),
+        F.max(F.when(creates, F.col("arrival"))).alias("arrival"),
     )
-    return paired.unionByName(orphans).withColumn("completed", F.col("dur_ms").isNotNull())
+    return spans.drop("_number").withColumn("completed", F.col("dur_ms").isNotNull())
 
 
 def advance_seconds() -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from logtel.functions.scalars import finite, finite_or_zero, mib, natural_sort_key, ratio
 from logtel.operators.keyed import latest_per_key
-from logtel.operators.layout import BLOCK, Running, lay_out, running, values_at_ranks
+from logtel.operators.layout import BLOCK, Running, attach, lay_out, running, values_at_ranks, without
 
 # The eight stages of an iteration, in the order they run.
 STAGES = (
@@ -104,16 +104,14 @@ def on_time_axis(iterations: DataFrame, times: DataFrame) -> DataFrame:
     Iterations without a readable start come first and follow one another;
     only these need a pass over the run.
     """
-    sized = _with_lengths(iterations).join(times, "run_id")
+    sized = attach(_with_lengths(iterations), times, ["run_id"], ["iteration_id"])
     placed = sized.filter(F.col("started_ms").isNotNull()).withColumn(
         "_start", F.greatest(F.lit(0.0), (F.col("started_ms") - F.col("run_started_ms")).cast("double"))
     )
     unplaced = sized.filter(F.col("started_ms").isNull())
-    if not iterations.filter(F.col("started_ms").isNull()).isEmpty():
-        keys, order = ["run_id"], ["arrival", "iteration_id"]
-        chained = running(lay_out(unplaced, keys, order), keys, order, {"_before": Running("sum", F.col("_span"), before=True)})
-        chained = chained.withColumn("_start", F.coalesce("_before", F.lit(0.0))).drop("_before", BLOCK)
-        placed = placed.unionByName(chained)
+    keys, order = ["run_id"], ["arrival", "iteration_id"]
+    chained = running(lay_out(unplaced, keys, order), keys, order, {"_before": Running("sum", F.col("_span"), before=True)})
+    placed = placed.unionByName(chained.withColumn("_start", F.coalesce("_before", F.lit(0.0))).drop("_before", BLOCK))
     origin = F.col("run_started_ms").cast("double")
     start_at = F.coalesce(F.col("started_ms").cast("double"), origin + F.col("_start"))
     since = F.col("completed_ms") - origin
@@ -190,15 +188,18 @@ def memory_points(axis: DataFrame, memory: DataFrame, times: DataFrame) -> DataF
         ]
 
     origin = F.col("run_started_ms")
-    sampled = memory.join(times, "run_id").select(
+    sampled = attach(memory, times, ["run_id"], ["iteration_id"]).select(
         *row(F.coalesce(F.greatest(F.lit(0), F.col("at_ms") - origin), F.lit(0)), F.coalesce("at_ms", origin))
     )
-    fallback = axis.join(memory.select("run_id").distinct(), "run_id", "left_anti").select(
-        *row(F.col("_completed_rel"), F.coalesce(F.col("completed_ms").cast("double"), F.col("_completed_rel")))
-    )
+    fallback = without(axis, memory, ["run_id"]).select(*row(F.col("_completed_rel"), _finished()))
     return sampled.unionByName(fallback)
 
 
+def _finished() -> Column:
+    """When an iteration without memory samples counts as measured."""
+    return F.coalesce(F.col("completed_ms").cast("double"), F.col("_completed_rel"))
+
+
 def iteration_series(axis: DataFrame, memory: DataFrame, times: DataFrame) -> DataFrame:
     """All point series in long form: (run, series, iteration, x, value), NULL values left out."""
     points = iteration_points(axis)
@@ -235,35 +236,35 @@ def flush_volume(points: DataFrame, show_full: bool = True, show_partial: bool =
         | neither
     ).select("run_id", "iteration_id", "x_at_ms", "flush_documents", "full_flushes", "partial_flushes")
     most = visible.groupBy("run_id").agg(F.greatest(F.lit(1.0), F.max("flush_documents")).alias("_most"))
-    return visible.join(most, "run_id").withColumn(
+    return attach(visible, most, ["run_id"], ["iteration_id"]).withColumn(
         "height_pct", F.col("flush_documents") / F.col("_most") * 100
     ).drop("_most")
 
 
-def _range(bounds: DataFrame, minutes: float | None) -> DataFrame:
+def _range(bounds: DataFrame, minutes: float | None, *more: Column) -> DataFrame:
     end = F.col("latest_observed_ms")
     start = F.col("timeline_start_ms")
     if minutes is not None:
         start = F.greatest(start, end - F.lit(minutes * 60000.0))
-    return bounds.select("run_id", start.alias("_from"), end.alias("_to"))
+    return bounds.select("run_id", start.alias("_from"), end.alias("_to"), *more)
 
 
 def points_in_range(points: DataFrame, bounds: DataFrame, minutes: float | None) -> DataFrame:
     """Points of the last minutes before each run's latest observation, both ends included."""
     inside = (F.col("x_at_ms") >= F.col("_from")) & (F.col("x_at_ms") <= F.col("_to"))
-    return points.join(_range(bounds, minutes), "run_id").filter(inside).drop("_from", "_to")
+    return attach(points, _range(bounds, minutes), ["run_id"], ["iteration_id"]).filter(inside).drop("_from", "_to")
 
 
 def segments_in_range(segments: DataFrame, bounds: DataFrame, minutes: float | None) -> DataFrame:
     """Segments overlapping the trailing range, clipped to it; the original duration is kept."""
-    ranged = _range(bounds, minutes).join(bounds.select("run_id", F.col("run_started_ms").alias("_origin")), "run_id")
+    ranged = _range(bounds, minutes, F.col("run_started_ms").alias("_origin"))
     start = F.greatest("start_at_ms", "_from")
     end = F.least("end_at_ms", "_to")
     overlapping = (F.col("end_at_ms") >= F.col("_from")) & (F.col("start_at_ms") <= F.col("_to"))
     if minutes is None:
         return segments
     return (
-        segments.join(ranged, "run_id")
+        attach(segments, ranged, ["run_id"], ["iteration_id", "stage"])
         .filter(overlapping)
         .select(
             "run_id", "iteration_id", "client_id", "shard_id", "stage",
@@ -432,7 +433,7 @@ def pipeline_snapshots(iterations: DataFrame) -> DataFrame:
     processed = _num("messages_processed")
     checkpoint_text = F.col("advanced_to_ms") if "advanced_to_ms" in iterations.columns else F.lit(None).cast("bigint")
     zero = F.lit(0.0)
-    return iterations.join(totals, ["run_id", "shard_id"]).select(
+    return attach(iterations, totals, ["run_id", "shard_id"], ["iteration_id"]).select(
         "run_id",
         "iteration_id",
         "client_id",
@@ -492,7 +493,7 @@ def select_snapshot(snapshots: DataFrame, selected: DataFrame) -> DataFrame:
     """Per run, of the selected shard: the latest incomplete pipeline snapshot, else the latest one."""
     done = ~((F.col("snapshot_source") == "pipeline") & F.col("is_incomplete"))
     order = F.struct(done.alias("a"), (-F.col("observed_ms")).alias("b"), F.col("arrival").alias("c"))
-    chosen = snapshots.join(selected, ["run_id", "shard_id"])
+    chosen = attach(snapshots, selected, ["run_id", "shard_id"], ["iteration_id"])
     picked = chosen.groupBy("run_id").agg(F.min_by(F.struct(*[F.col(c) for c in snapshots.columns if c != "run_id"]), order).alias("_s"))
     return picked.select("run_id", "_s.*")
 
@@ -539,9 +540,12 @@ def run_bounds(
         F.max("x_ms").alias("_x_max"),
         F.min("x_at_ms").alias("_x_at_min"),
         F.max("x_at_ms").alias("_x_at_max"),
+        F.min(_finished()).alias("_finished_min"),
+        F.max(_finished()).alias("_finished_max"),
     )
-    mem = memory_points(axis, memory, times).groupBy("run_id").agg(
-        F.min("x_at_ms").alias("_mem_min"), F.max("x_at_ms").alias("_mem_max")
+    # samples without a time of their own count from the run's start; runs without samples count their iterations
+    mem = memory.groupBy("run_id").agg(
+        F.min("at_ms").cast("double").alias("_mem_first"), F.max("at_ms").cast("double").alias("_mem_last"), F.count_if(F.col("at_ms").isNull()).alias("_untimed")
     )
     shots = snapshots.groupBy("run_id").agg(
         F.min(F.coalesce("window_start_ms", "observed_ms")).alias("_shot_start"),
@@ -552,6 +556,14 @@ def run_bounds(
     declared = runs.select("run_id", finite_or_zero(F.col("duration_ms")).alias("_declared"))
     joined = times.join(parts, "run_id", "left").join(mem, "run_id", "left").join(shots, "run_id", "left").join(declared, "run_id")
     started, completed = F.col("run_started_ms").cast("double"), F.col("run_completed_ms").cast("double")
+    untimed = F.when(F.col("_untimed") > 0, started)
+    sampled = F.col("_untimed").isNotNull()
+    joined = joined.withColumns(
+        {
+            "_mem_min": F.when(sampled, F.least("_mem_first", untimed)).otherwise(F.col("_finished_min")),
+            "_mem_max": F.when(sampled, F.greatest("_mem_last", untimed)).otherwise(F.col("_finished_max")),
+        }
+    )
     first = F.least(started, "_seg_start_at", "_x_at_min", "_mem_min", F.col("_shot_start").cast("double"))
     last = F.greatest(completed, "_seg_end_at", "_x_at_max", "_mem_max", F.col("_shot_max").cast("double"))
     windowed = F.col("_domain_end") > F.col("_domain_start")

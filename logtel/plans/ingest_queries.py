@@ -11,7 +11,7 @@ from logtel.plans import tables as t
 from logtel.plans.registry import query
 from logtel.plans.sample_lifecycle import CONFIG
 from logtel.plans.views import with_views
-from logtel.session import new_path
+from logtel.session import new_path, written
 
 NOW_MS = 1706745600000
 MAX_BATCH_BYTES = 2000
@@ -30,7 +30,8 @@ def high_watermarks(spark, folder):
 )
 def incremental_pull(spark, folder):
     marks = ingest.high_watermarks(t.stored_events(spark, folder), t.users(spark, folder))
-    return ingest.incremental_pull(t.pull_rows(spark, folder), marks, NOW_MS, "P10D")
+    rows = written(t.pull_rows(spark, folder), "pull-rows")  # as columns, so that bounds reach their scan
+    return ingest.incremental_pull(rows, marks, NOW_MS, "P10D")
 
 
 @query("incremental_pull_session", with_views("pull", then="SELECT * FROM pull WHERE session_id = 's8'"))

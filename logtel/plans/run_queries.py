@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logtel.functions.scalars import natural_sort_key
 from logtel.operators import runs
+from logtel.operators.layout import counted
 from logtel.plans import tables as t
 from logtel.plans.registry import query, rounded
 from logtel.plans.views import with_views
@@ -15,8 +16,14 @@ def _times(spark, folder):
     return runs.run_times(t.runs(spark, folder), t.iterations(spark, folder))
 
 
+def _timed_axis(spark, folder):
+    """Run times, computed once for all that needs them, and the axis made with them."""
+    times = counted(_times(spark, folder))
+    return times, runs.on_time_axis(t.iterations(spark, folder), times)
+
+
 def _axis(spark, folder):
-    return runs.on_time_axis(t.iterations(spark, folder), _times(spark, folder))
+    return _timed_axis(spark, folder)[1]
 
 
 @query(
@@ -61,7 +68,8 @@ _SERIES = " UNION ALL ".join(
     with_views("points", "mem_points", then=f"SELECT * FROM ({_SERIES}) WHERE value IS NOT NULL"),
 )
 def iteration_series(spark, folder):
-    return rounded(runs.iteration_series(_axis(spark, folder), t.memory_samples(spark, folder), _times(spark, folder)))
+    times, axis = _timed_axis(spark, folder)
+    return rounded(runs.iteration_series(axis, t.memory_samples(spark, folder), times))
 
 
 @query(
@@ -98,13 +106,13 @@ _WITH_BOUNDS = with_views("points", "mem_points", "snap", "run", "times", then="
 
 
 def _bounds(spark, folder):
-    return _bounds_of(spark, folder, _axis(spark, folder))
+    return _bounds_of(spark, folder, *_timed_axis(spark, folder))
 
 
-def _bounds_of(spark, folder, axis):
+def _bounds_of(spark, folder, times, axis):
     shots = runs.pipeline_snapshots(t.iterations(spark, folder))
     return runs.run_bounds(
-        t.runs(spark, folder), _times(spark, folder), axis, t.memory_samples(spark, folder), shots
+        t.runs(spark, folder), times, axis, t.memory_samples(spark, folder), shots
     )
 
 
@@ -127,9 +135,9 @@ RANGE_MINUTES = 60 * 24 * 400
     ON p.run_id = b.run_id WHERE x_at BETWEEN greatest(lo, hi - {RANGE_MINUTES} * 60000.0::DOUBLE) AND hi""",
 )
 def points_in_range(spark, folder):
-    axis = _axis(spark, folder)
+    times, axis = _timed_axis(spark, folder)
     points = runs.iteration_points(axis)
-    return runs.points_in_range(points, _bounds_of(spark, folder, axis), RANGE_MINUTES).select(
+    return runs.points_in_range(points, _bounds_of(spark, folder, times, axis), RANGE_MINUTES).select(
         "run_id", "iteration_id", "x_at_ms", "backlog"
     )
 
@@ -144,9 +152,9 @@ def points_in_range(spark, folder):
     WHERE ea >= f AND sa <= hi""",
 )
 def segments_in_range(spark, folder):
-    axis = _axis(spark, folder)
+    times, axis = _timed_axis(spark, folder)
     segments = runs.stage_timeline(axis)
-    return rounded(runs.segments_in_range(segments, _bounds_of(spark, folder, axis), RANGE_MINUTES))
+    return rounded(runs.segments_in_range(segments, _bounds_of(spark, folder, times, axis), RANGE_MINUTES))
 
 
 _READ = "(query_build + first_row + stream_rows + map_rows)"

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from logtel.operators.ingest import event_time_ms, resolve_key, rows_to_json, write_keyed_events
+from logtel.operators.ingest import continued_batches, event_time_ms, resolve_key, rows_to_json, write_keyed_events
 from logtel.operators.messages import advance_checkpoints
-from logtel.streaming.tables import BATCH, read_batches, write_batch
+from logtel.streaming.tables import BATCH, read_batches, read_before, write_batch
 
 TAILS = (
     T.StructType()
@@ -46,19 +46,41 @@ def drained_checkpoints(spark: SparkSession, checkpoints: DataFrame, tables: str
     )
 
 
+OPEN = T.StructType().add("_key", T.StringType()).add("held", T.LongType()).add("batches", T.LongType())
+_NEVER = 9223372036854775807
+
+
 def stream_keyed_events(
-    rows: DataFrame, path: str, checkpoint: str, field: str = "sessionId", allow_unkeyed: bool = False, partitions: int = 32
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    field: str = "sessionId",
+    allow_unkeyed: bool = False,
+    partitions: int = 32,
+    max_bytes: int | None = None,
 ) -> StreamingQuery:
-    """Order, key, serialise and write rows batch by batch; a key's order holds within a batch.
+    """Order, key, serialise and write rows micro-batch by micro-batch; a key's order holds within a micro-batch.
 
-    ``rows`` needs ``_ord`` for ties. Each batch has its own folder, so a replay replaces it.
+    ``rows`` needs ``_ord`` for ties. Each micro-batch has its own folder, so a replay replaces it.
     Rows without a key are not lost: ``skipped_rows`` and ``publish_summary`` read what became of them.
+
+    With ``max_bytes`` the events of a key are also numbered into size-bounded
+    batches, ``_batch``. A key's open batch (bytes and number) is kept beside
+    each micro-batch, so that the next one, or a restart, goes on filling it;
+    events without a readable time come last in theirs.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
         kept, skipped = resolve_key(event_time_ms(batch), field, allow_unkeyed)
         write_batch(rows_to_json(skipped).select("_ord", "_body"), f"{path}-skipped", number)
-        write_keyed_events(rows_to_json(kept), f"{path}/{BATCH}={number}", partitions, mode="overwrite")
+        bodies, also = rows_to_json(kept), []
+        if max_bytes is not None:
+            opened = read_before(batch.sparkSession, f"{path}-open", OPEN, number)
+            timed = bodies.withColumn("_when", F.coalesce("_event_ms", F.lit(_NEVER)))
+            bodies, left = continued_batches(timed, max_bytes, ("_when", "_ord"), opened)
+            write_batch(left, f"{path}-open", number)
+            also = ["_batch"]
+        write_keyed_events(bodies, f"{path}/{BATCH}={number}", partitions, mode="overwrite", also=also)
 
     return (
         rows.writeStream.foreachBatch(publish)

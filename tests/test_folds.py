@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from logtel.operators import dumps, keyed, polls
-from logtel.operators.ingest import size_bounded_batches
-from logtel.operators.layout import Running, attach, lay_out, number_rows, running, values_at_ranks
+from logtel.operators.ingest import continued_batches, size_bounded_batches
+from logtel.operators.layout import Running, attach, brackets, lay_out, number_rows, running, values_at_ranks
 from logtel.operators.messages import bounded_read, partition_heads
 from logtel.operators.keyed import latest_per_key
 from logtel.sources.lines import NUMBERS_BROADCAST, reassemble_lines, split_chunks
@@ -86,6 +86,50 @@ def test_batches_equal_greedy_filling(spark):
             assert [got[o] for o, _ in mine] == greedy([s for _, s in mine], limit)
 
 
+def test_batches_of_repeated_rows_and_bodies_outside_python(spark):
+    rows = [("hot", 1, 1, "x" * 10)] * 7 + [("hot", 1, 1, "y" * 4), ("", 1, 1, "z"), (None, 1, 1, "z"), ("big", 1, 1, "b" * 99)]
+    df = spark.createDataFrame(rows, "_key string, _event_ms bigint, _ord bigint, _body string")
+    batched = size_bounded_batches(df, 25, blocks=4)
+    got = batched.groupBy("_key", "_batch").agg(F.count("_body").alias("n"), F.sum(F.length("_body")).alias("b")).collect()
+    assert len(rows) == sum(r.n for r in got) and all(r.b <= 25 for r in got if r._batch)
+    assert sorted(r._batch for r in got if r._key == "hot") == [1, 2, 3, 4]
+    assert [(r._batch, r.n) for r in got if r._key == "big"] == [(None, 1)]
+    plan = _plan(size_bounded_batches(df.filter("_key <> 'hot'"), 25))
+    assert "_body" not in "".join(x for x in plan.splitlines() if "MapInArrow" in x or "RangePartitioning" in x or "rangepartitioning" in x)
+
+
+def test_batches_go_on_over_portions(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        limit = rng.choice([40, 90])
+        rows = [(k, i, i, "x" * rng.randint(1, 120 if rng.random() < 0.1 else 15)) for i, k in enumerate(skewed(rng, 240, ["a", "", None]))]
+        cuts = sorted(rng.sample(range(240), 3))
+        opened, got = spark.createDataFrame([], "_key string, held bigint, batches bigint"), {}
+        for lo, hi in zip([0, *cuts], [*cuts, 240]):
+            part = spark.createDataFrame(rows[lo:hi], "_key string, _event_ms bigint, _ord bigint, _body string")
+            found, left = continued_batches(part, limit, ("_event_ms", "_ord"), opened, 5)
+            got |= {r._ord: r._batch for r in found.collect()}
+            opened = spark.createDataFrame(left.collect(), opened.schema)
+        for k in {r[0] for r in rows}:
+            mine = [(o, len(b)) for kk, _, o, b in rows if kk == k]
+            assert [got[o] for o, _ in mine] == greedy([s for _, s in mine], limit)
+        assert {r._key for r in opened.collect()} == {r[0] for r in rows}
+
+
+def test_brackets_carry_over_blocks(spark):
+    rng = random.Random(23)
+    rows = [(k, i, rng.choice([1, -1, -1])) for i, k in enumerate(skewed(rng, 300))] + [(None, 300, -1)]
+    laid = lay_out(spark.createDataFrame(rows, "k string, i bigint, s bigint"), ["k"], ["i"], 8)
+    got = {(r.k, r.i): (r.balance, r.low_before, r.ups, r.downs) for r in brackets(laid, ["k"], ["i"], F.col("s")).collect()}
+    assert len(got) == len(rows)
+    for k in {r[0] for r in rows}:
+        balance, low, ups, downs = 0, None, 0, 0
+        for i, s in sorted((i, s) for kk, i, s in rows if kk == k):
+            balance, ups, downs = balance + s, ups + (s > 0), downs + (s < 0)
+            assert got[(k, i)] == (balance, low, ups, downs)
+            low = balance if low is None else min(low, balance)
+
+
 def fifo(events):
     """events: (at, arrival, ev, dur) of one stage; gives (start, dur, created) in creation order."""
     spans, queue = [], []

@@ -210,10 +210,47 @@ def test_pull_bounds_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "rows")
     spark.range(0, 1000).selectExpr("cast(id % 5 as string) AS object_id", "'s' AS session_id", "id AS client_ms", "id AS ts_ms").write.parquet(path)
     marks = spark.createDataFrame([("0", 900), ("1", 950)], "object_id string, watermark_ms bigint")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     pulled = incremental_pull(spark.read.parquet(path), marks, 1000)
-    plan = pulled._jdf.queryExecution().toString()
-    assert "GreaterThan(client_ms,900)" in plan
     assert sorted({r.object_id for r in pulled.collect()}) == ["0", "1"] and pulled.count() == 19 + 10
+    plan = pulled._jdf.queryExecution().executedPlan().toString()
+    # a subquery among the pushed filters is a number by the time the scan runs
+    assert "PushedFilters: [Or(GreaterThan(client_ms,ScalarSubquery" in plan and "GreaterThan(ts_ms,ScalarSubquery" in plan
+    # a user without a watermark looks back from now; no user at all is an error
+    back = incremental_pull(spark.read.parquet(path), marks.unionByName(spark.createDataFrame([("2", None)], marks.schema)), 1000, "PT0.01S")
+    assert back.count() == 19 + 10 + 2
+    with pytest.raises(Exception, match="at least one user"):
+        incremental_pull(spark.read.parquet(path), marks.limit(0), 1000).collect()
+
+
+def test_read_bounds_reach_the_scan(spark, tmp_path):
+    from logtel.operators.messages import bounded_read, partition_heads
+
+    path = str(tmp_path / "log")
+    spark.range(0, 3000).selectExpr("id % 3 AS partition_id", "id AS seq", "cast(id AS string) AS body").write.parquet(path)
+    log = spark.read.parquet(path)
+    marks = spark.createDataFrame([(0, 2900), (1, 2950), (2, 2800)], "partition_id bigint, seq bigint")
+    heads = partition_heads(log.filter("seq < 2990"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    read = bounded_read(log, heads, marks)
+    rows = read.orderBy("index").collect()
+    want = [(p, s) for p in range(3) for s in range({0: 2901, 1: 2951, 2: 2801}[p], 2990) if s % 3 == p]
+    assert [(r["partition_id"], r["seq"], r["index"]) for r in rows] == [(*w, i + 1) for i, w in enumerate(want)]
+    read.collect()
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(seq,ScalarSubquery" in plan and "LessThanOrEqual(seq,ScalarSubquery" in plan
+
+
+def test_a_quote_left_open_is_one_error(spark, tmp_path):
+    from logtel.sources.rows import UNTERMINATED, read_checked_rows
+
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n3,"never closed\n' + "4,more\n" * 500)
+    (tmp_path / "b.csv").write_text("id,note\n" + "".join(f'{i},"a ""b"" c"\n' for i in range(10, 60)))
+    rows, errors = read_checked_rows(spark, str(tmp_path))
+    found = {r.id: r.note for r in rows.collect()}
+    assert found == {"1": "two\nlines", "2": "plain"} | {str(i): 'a "b" c' for i in range(10, 60)}
+    wrong = errors.collect()
+    assert [(r._ord, r.message, r.record) for r in wrong] == [(5, UNTERMINATED, '3,"never closed')] and wrong[0]._file.endswith("a.csv")
 
 
 def test_lost_batches_are_not_an_empty_table(spark, tmp_path):

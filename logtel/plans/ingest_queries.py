@@ -104,7 +104,7 @@ def rows_to_json(spark, folder):
     return events.select(F.col("_ord").alias("ord"), F.col("_body").alias("body"))
 
 
-_WALK = _SENT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", seq AS (SELECT session_key AS key, event_id AS ord,
+WALK = _SENT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", seq AS (SELECT session_key AS key, event_id AS ord,
       octet_length(encode(body)) AS size, row_number() OVER (PARTITION BY session_key ORDER BY event_ms NULLS LAST, event_id) AS n
       FROM body WHERE session_key IS NOT NULL),
     walk AS (SELECT key, ord, n, CASE WHEN size > {MAX_BATCH_BYTES} THEN 0 ELSE size END AS held,
@@ -121,7 +121,7 @@ def _batched(spark, folder):
     return ingest.size_bounded_batches(events.withColumn("_at", last), MAX_BATCH_BYTES, ["_at", "_ord"]), skipped
 
 
-@query("size_bounded_batches", _WALK + " SELECT key, ord, CASE WHEN NOT oversize THEN number END AS batch FROM walk")
+@query("size_bounded_batches", WALK + " SELECT key, ord, CASE WHEN NOT oversize THEN number END AS batch FROM walk")
 def size_bounded_batches(spark, folder):
     batched, _ = _batched(spark, folder)
     return batched.select(F.col("_key").alias("key"), F.col("_ord").alias("ord"), F.col("_batch").alias("batch"))
@@ -129,7 +129,7 @@ def size_bounded_batches(spark, folder):
 
 @query(
     "send_summary",
-    _WALK + """ SELECT (SELECT count(*) FROM body) AS rows_read,
+    WALK + """ SELECT (SELECT count(*) FROM body) AS rows_read,
     (SELECT CAST(sum(m) AS BIGINT) FROM (SELECT max(number) AS m FROM walk GROUP BY key)) AS batches_sent,
     (SELECT count(*) FROM body WHERE session_key IS NULL) + (SELECT count(*) FROM walk WHERE oversize) AS rows_skipped,
     (SELECT count(DISTINCT key) FROM walk) AS distinct_keys,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logtel.operators import messages, polls
+from logtel.operators.ingest import event_time_ms
 from logtel.plans import source_queries as sources
 from logtel.plans import tables as t
-from logtel.plans.ingest_queries import LIFECYCLES
+from logtel.plans.ingest_queries import LIFECYCLES, MAX_BATCH_BYTES, WALK
 from logtel.plans.registry import query
 from logtel.plans.views import with_views
 from logtel.session import new_path
@@ -79,6 +80,22 @@ def published_rows(spark, folder):
     return published.select("key", F.col("_ord").alias("ord"), F.col("_event_ms").alias("event_ms"))
 
 
+@query("stream_keyed_batches", WALK + " SELECT key, ord, CASE WHEN NOT oversize THEN number END AS batch FROM walk")
+def published_batches(spark, folder):
+    """The rows arrive in three parts by event time; a key's open batch is filled on after each restart."""
+    inbox, out, checkpoint = new_path(spark, "rows"), new_path(spark, "published"), new_path(spark, "publish-checkpoint")
+    rows = t.telemetry(spark, folder)
+    timed = event_time_ms(rows)
+    first, last = timed.agg(F.min("_event_ms")).scalar(), timed.agg(F.max("_event_ms")).scalar()
+    part = F.coalesce(F.floor((F.col("_event_ms") - first) * 3 / (last - first + 1)), F.lit(2))
+    parted = timed.select(*rows.columns, part.alias("_part"))
+    for number in range(3):
+        parted.filter(F.col("_part") == number).drop("_part").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.schema).parquet(inbox)
+        stream_keyed_events(stream, out, checkpoint, partitions=8, max_bytes=MAX_BATCH_BYTES).awaitTermination()
+    return spark.read.parquet(out).select("key", F.col("_ord").alias("ord"), F.col("_batch").alias("batch"))
+
+
 @query(
     "stream_publish_summary",
     with_views("tele", then="""SELECT count(*) AS rows_read, count(session_key) AS rows_sent, count(*) - count(session_key) AS rows_skipped,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from logtel.functions.scalars import clock_duration_ms
 from logtel.functions.templates import build_payload, constant, render_template
 from logtel.functions.variants import with_parsed
+from logtel.session import written
 
 EVENT = ("lifecycle", "session_id", "event_id")
 DEFAULT_RETENTION = "1.00:00:00"
@@ -189,7 +190,8 @@ def assemble_events(deduped: DataFrame, lifecycles: Sequence[Lifecycle], as_of_m
     from which documents are written, so its length is bounded by the
     configuration. ``part_count`` counts all, and ``assembled_parts`` has them.
     """
-    kept = deduped.filter("NOT is_duplicate").withColumn("_place", F.struct("sequence_number", "partition_id"))
+    # written, as both the event's facts and the payloads that it needs are taken from it
+    kept = written(deduped.filter("NOT is_duplicate"), "kept-envelopes").withColumn("_place", F.struct("sequence_number", "partition_id"))
     names = sorted({p for lc in lifecycles for p in lc.parts})
     piece = F.struct(
         "sequence_number", "part", "event_type", "timestamp", "partition_id", "msg_offset", "dedupe_key", "received_ms", "payload"

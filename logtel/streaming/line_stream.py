@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logtel.session import cut
 from logtel.sources.lines import finished, split_chunks, without_cr
-from logtel.streaming.tables import read_batches, read_before, write_batch
+from logtel.streaming.tables import read_batches, read_before, write_batch, write_state
 
 STATE = T.StructType().add("stream", T.StringType()).add("carry", T.StringType()).add("next_line", T.LongType())
 LINES = T.StructType().add("stream", T.StringType()).add("line", T.LongType()).add("value", T.StringType())
@@ -46,7 +46,7 @@ def stream_lines(spark: SparkSession, source: str, tables: str, files_per_batch:
     def store(batch: DataFrame, number: int) -> None:
         lines, state = advance_lines(batch, read_before(spark, f"{tables}/state", STATE, number))
         write_batch(lines, f"{tables}/lines", number)
-        write_batch(state, f"{tables}/state", number)
+        write_state(state, f"{tables}/state", number)
 
     return (
         reader.parquet(source)

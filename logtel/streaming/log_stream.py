@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logtel.operators.ingest import continued_batches, event_time_ms, resolve_key, rows_to_json, write_keyed_events
 from logtel.operators.messages import advance_checkpoints
-from logtel.streaming.tables import BATCH, read_batches, read_before, write_batch
+from logtel.streaming.tables import BATCH, read_batches, read_before, write_batch, write_state
 
 TAILS = (
     T.StructType()
@@ -78,7 +78,7 @@ def stream_keyed_events(
             opened = read_before(batch.sparkSession, f"{path}-open", OPEN, number)
             timed = bodies.withColumn("_when", F.coalesce("_event_ms", F.lit(_NEVER)))
             bodies, left = continued_batches(timed, max_bytes, ("_when", "_ord"), opened)
-            write_batch(left, f"{path}-open", number)
+            write_state(left, f"{path}-open", number)
             also = ["_batch"]
         write_keyed_events(bodies, f"{path}/{BATCH}={number}", partitions, mode="overwrite", also=also)
 

@@ -1,8 +1,14 @@
 """Streams give what the batch operators give, also in several batches with a restart between them."""
 
+import json
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from logtel.operators import assembly
 from logtel.plans.sample_lifecycle import CONFIG
 from logtel.session import new_path
+from logtel.streaming import tables
 from logtel.streaming.assembly_stream import stream_assemble
 
 LIFECYCLES = assembly.read_lifecycles(CONFIG)
@@ -55,3 +61,87 @@ def test_stream_equals_batch_with_repeats_and_restart(spark):
             assert [tuple(p) for p in row.parts] == parts[event]
             assert row.part_count == batch[event].part_count and row.missing_parts == list(batch[event].missing_parts)
         assert found["e1"].dropped == 3 and found["n1"].decision == "priority"
+
+
+def test_tables_stay_few_folders_and_take_replays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FAN", 3)
+    path, schema = str(tmp_path / "t"), T.StructType().add("v", T.LongType())
+
+    def write(batch):
+        tables.write_batch(spark.range(batch, batch + 2).select(F.col("id").alias("v")).coalesce(1), path, batch)
+
+    for batch in range(20):
+        write(batch)
+        if batch in (4, 8, 17):  # 8 and 17 are replayed after they were merged
+            write(batch)
+        rows = sorted((r.v, r["_batch_id"]) for r in tables.read_batches(spark, path, schema).collect())
+        assert rows == sorted((b + k, b) for b in range(batch + 1) for k in (0, 1))
+    folders = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert set(folders) <= {"_span=0-8", "_span=9-17", "_span=8-8", "_span=17-17", "_span=18-18", "_span=19-19"}
+    assert [r.v for r in tables.read_before(spark, path, schema, 6).orderBy("v").collect()] == [5, 6]
+
+    for batch in range(6):
+        tables.write_state(spark.range(batch, batch + 1).select(F.col("id").alias("v")), f"{path}-state", batch)
+        assert [r.v for r in tables.read_before(spark, f"{path}-state", schema, batch + 1).collect()] == [batch]
+    assert len(list((tmp_path / "t-state").iterdir())) == 2
+    assert tables.read_before(spark, f"{path}-none", schema, 0).count() == 0
+
+
+def test_poll_stream_keeps_whole_lines_over_restarts(spark, tmp_path):
+    """Files arrive one after another, with a restart each time; a run's last cycle stays, with its whole line."""
+    from logtel.sources.poll_lines import read_poll_ndjson
+    from logtel.streaming.poll_stream import poll_tables, stream_poll
+
+    def cycle(run, records, extra):
+        return json.dumps({
+            "type": "cycle", "ts": "2026-01-01T00:00:00Z", "runId": run, "source": "s", "outcome": "success", "startedAtUtc": "2026-01-01T00:00:00Z",
+            "completedAtUtc": "2026-01-01T00:00:05Z", "totalMs": 5, "records": records, "recordsPerSec": 1, "timeline": [], "extra": extra,
+        })
+
+    logs, out = tmp_path / "logs", str(tmp_path / "tables")
+    logs.mkdir()
+    for number in range(3):
+        lines = [cycle("a", number, {"at": number}), "broken", cycle(f"r{number}", 7, [number]), cycle("a", 10 + number, {"last": number})]
+        (logs / f"{number}.ndjson").write_text("\n".join(lines) + "\n")
+        stream_poll(spark, str(logs), out).awaitTermination()
+    _, cycles, warnings = poll_tables(spark, out)
+    found = {r.run_id: (r.records, json.loads(r.whole)) for r in cycles.select("run_id", "records", F.to_json("facts").alias("whole")).collect()}
+    assert {k: v[0] for k, v in found.items()} == {"a": 12.0, "r0": 7.0, "r1": 7.0, "r2": 7.0}
+    assert found["a"][1]["extra"] == {"last": 2} and found["r1"][1]["extra"] == [1]
+    assert sorted(r.line for r in warnings.collect()) == [2, 2, 2]
+    batch = read_poll_ndjson(spark, str(logs))[1]
+    assert batch.count() == 9 and batch.select(F.to_json("facts")).first()[0]
+
+
+def test_outputs_never_parse_again(spark, tmp_path):
+    """Every output of a reader is a filter over documents that were parsed once."""
+    from logtel.sources import dump_folders, poll_lines, run_artifacts
+
+    def plans(frames):
+        return [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+
+    documents = spark.createDataFrame([("/a/00-messages.json", "{}"), ("/b.json", "[")], "file string, text string")
+    lines = spark.createDataFrame([("f", 1, "{}"), ("f", 2, "[")], "file string, line bigint, value string")
+    found = plans(dump_folders.parse_dump_runs(documents).values()) + plans(run_artifacts.parse_run_artifacts(documents).values())
+    found += plans(poll_lines.parse_poll_lines(lines)) + plans(run_artifacts.parse_iteration_lines(lines))
+    assert len(found) == 9 + 5 + 3 + 2
+    assert not any("parse_json" in p for p in found)
+
+
+def test_batches_of_a_stream_go_on_after_restarts(spark):
+    """One run of the stream over everything, and one stopped after every portion, number the same batches."""
+    from logtel.operators.ingest import event_time_ms, resolve_key, rows_to_json, size_bounded_batches
+    from logtel.streaming.log_stream import stream_keyed_events
+
+    rows = [("hot" if i % 3 else f"k{i % 5}" if i % 4 else "", f"2026-01-01T00:{i:02d}:00Z", "x" * (i * 7 % 40), i) for i in range(60)]
+    schema = "sessionId string, TIMESTAMP string, note string, _ord bigint"
+    frame = spark.createDataFrame(rows, schema)
+    events = rows_to_json(resolve_key(event_time_ms(frame), "sessionId")[0])
+    want = {r._ord: r._batch for r in size_bounded_batches(events, 300).collect()}
+    for portions in ([rows], [rows[:20], rows[20:25], rows[25:]]):
+        inbox, out, checkpoint = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "cp")
+        for part in portions:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+            stream = spark.readStream.schema(frame.schema).parquet(inbox)
+            stream_keyed_events(stream, out, checkpoint, partitions=2, max_bytes=300).awaitTermination()
+        assert {r["_ord"]: r["_batch"] for r in spark.read.parquet(out).collect()} == want

@@ -261,7 +261,7 @@ def test_lost_batches_are_not_an_empty_table(spark, tmp_path):
 
     schema = T.StructType().add("a", T.LongType())
     assert read_batches(spark, str(tmp_path / "none"), schema).collect() == []
-    (tmp_path / "bad" / "_batch_id=0").mkdir(parents=True)
-    (tmp_path / "bad" / "_batch_id=0" / "part-0.parquet").write_text("not parquet")
+    (tmp_path / "bad" / "_span=0-0").mkdir(parents=True)
+    (tmp_path / "bad" / "_span=0-0" / "part-0.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         read_batches(spark, str(tmp_path / "bad"), schema).collect()

@@ -45,10 +45,24 @@ _UNKNOWN_BYTES = 1 << 60
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the tables that ``df`` reads, as far as Spark knows it while planning."""
+    """Size of the files that ``df`` reads: tables as Spark knows them while planning, checkpoints as they are stored.
+
+    What is planned on a checkpoint keeps the estimate of the plan that made
+    it, a product of sizes after joins, so the stored files are asked instead.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(s for s in sizes if s < _UNKNOWN_BYTES)
+    return sum(_leaf_bytes(df, leaves.apply(i)) for i in range(leaves.size()))
+
+
+def _leaf_bytes(df: DataFrame, leaf) -> int:
+    if leaf.getClass().getSimpleName() == "LogicalRDD":
+        stored = leaf.rdd().getCheckpointFile()
+        if not stored.isDefined():
+            return 0
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.get())
+        return place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).getContentSummary(place).getLength()
+    size = int(str(leaf.stats().sizeInBytes()))
+    return size if size < _UNKNOWN_BYTES else 0
 
 
 def block_count(df: DataFrame) -> int:
@@ -178,19 +192,17 @@ def brackets(laid: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     block = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     through, up_to = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(Window.unboundedPreceding, -1)
     one = F.lit(1).cast("bigint")
-    scanned = laid.withColumn("_step", step).select(
-        *laid.columns,
-        F.sum("_step").over(through).alias("_balance"),
-        F.sum(F.when(F.col("_step") > 0, one).otherwise(0)).over(through).alias("_ups"),
-        F.sum(F.when(F.col("_step") < 0, one).otherwise(0)).over(through).alias("_downs"),
+    steps = laid.withColumn("_step", step)
+    up, down = F.when(F.col("_step") > 0, one).otherwise(0), F.when(F.col("_step") < 0, one).otherwise(0)
+    scanned = steps.select(
+        "*", F.sum("_step").over(through).alias("_balance"), F.sum(up).over(through).alias("_ups"), F.sum(down).over(through).alias("_downs")
     ).withColumn("_low", F.min("_balance").over(up_to))
     rows = scanned.groupBy(*keys, BLOCK).agg(
-        F.max(F.struct(F.col("_ups") + F.col("_downs"), F.col("_balance").alias("sum"), F.col("_ups").alias("ups"), F.col("_downs").alias("downs"))).alias("_end"),
-        F.min("_balance").alias("_least"),
+        F.sum("_step").alias("sum"), F.sum(up).alias("ups"), F.sum(down).alias("downs"), F.min("_balance").alias("_least")
     )
     group = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
     before = group.rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.select(*keys, BLOCK, "_least", *[F.coalesce(F.sum(f"_end.{n}").over(before), F.lit(0)).alias(f"_had_{n}") for n in ("sum", "ups", "downs")])
+    parts = rows.select(*keys, BLOCK, "_least", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_had_{n}") for n in ("sum", "ups", "downs")])
     parts = parts.withColumn("_had_low", F.min(F.col("_had_sum") + F.col("_least")).over(before))
     renamed = {key: f"_of_{i}" for i, key in enumerate([*keys, BLOCK])}
     carried = parts.drop("_least").filter("_had_ups + _had_downs > 0").withColumnsRenamed(renamed)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtel.operators.layout import BLOCK, Running, greatest_of, lay_out, least_of, running
+from logtel.operators.layout import BLOCK, Running, attach, counted, greatest_of, lay_out, least_of, running
 
 # Messages per counting block when a read is capped.
 COUNT_BLOCK = 65536
@@ -77,18 +77,25 @@ def unread(
     messages: DataFrame, heads: DataFrame, checkpoints: DataFrame | None = None, only_backlog: bool = True
 ) -> DataFrame:
     """Messages up to the captured head: after the checkpoint where there is one, all of them without ``only_backlog``."""
+    return _within(messages, _read_bounds(heads, checkpoints, only_backlog))
+
+
+def _read_bounds(heads: DataFrame, checkpoints: DataFrame | None, only_backlog: bool) -> DataFrame:
+    """One row for each partition: where its read starts (null: at the beginning) and stops."""
     bounds = heads.select("partition_id", F.col("last_seq").alias("_stop"))
     if checkpoints is not None and only_backlog:
         marks = checkpoints.select("partition_id", F.col("seq").alias("_start"))
-        bounds = bounds.join(marks, "partition_id", "left")
-    else:
-        bounds = bounds.withColumn("_start", F.lit(None).cast("bigint"))
+        return counted(bounds.join(marks, "partition_id", "left"))
+    return counted(bounds.withColumn("_start", F.lit(None).cast("bigint")))
+
+
+def _within(messages: DataFrame, bounds: DataFrame) -> DataFrame:
     after = F.col("_start").isNull() | (F.col("seq") > F.col("_start"))
     # what holds for the partitions together reaches the scan, what holds for each of them follows
-    messages = messages.filter(
+    some = messages.filter(
         (F.col("seq") > least_of(bounds, F.coalesce("_start", F.lit(_FIRST)))) & (F.col("seq") <= greatest_of(bounds, F.col("_stop")))
     )
-    return messages.join(bounds, "partition_id").filter(after & (F.col("seq") <= F.col("_stop"))).drop("_start", "_stop")
+    return attach(some, bounds, ["partition_id"], ["seq"]).filter(after & (F.col("seq") <= F.col("_stop"))).drop("_start", "_stop")
 
 
 def bounded_read(
@@ -106,11 +113,11 @@ def bounded_read(
     numbers are counted first then, so only rows of blocks that can hold kept
     messages are ordered at all.
     """
-    narrow = messages.select("partition_id", "seq")
-    numbered = _numbered(unread(narrow, heads, checkpoints, only_backlog), max_events)
+    bounds = _read_bounds(heads, checkpoints, only_backlog)
+    numbered = _numbered(_within(messages.select("partition_id", "seq"), bounds), max_events)
     own = numbered.select(F.col("partition_id").alias("_partition"), F.col("seq").alias("_seq"), "index")
     place = (F.col("partition_id") == F.col("_partition")) & (F.col("seq") == F.col("_seq"))
-    return unread(messages, heads, checkpoints, only_backlog).join(own, place).select(*messages.columns, "index")
+    return _within(messages, bounds).join(own, place).select(*messages.columns, "index")
 
 
 def _numbered(unread_places: DataFrame, max_events: int | None) -> DataFrame:

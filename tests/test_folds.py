@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from logtel.operators import dumps, keyed, polls
 from logtel.operators.ingest import continued_batches, size_bounded_batches
-from logtel.operators.layout import Running, attach, brackets, lay_out, number_rows, running, values_at_ranks
+from logtel.operators.layout import Running, attach, block_count, brackets, input_bytes, lay_out, number_rows, running, values_at_ranks
 from logtel.operators.messages import bounded_read, partition_heads
 from logtel.operators.keyed import latest_per_key
+from logtel.session import cut
 from logtel.sources.lines import NUMBERS_BROADCAST, reassemble_lines, split_chunks
 from logtel.streaming.line_stream import STATE, advance_lines
 
@@ -308,3 +309,12 @@ def test_latest_row_of_hot_keys_ties_and_nulls(spark, monkeypatch):
             best = max((r[1] for r in mine if r[1] is not None), default=None)
             assert got[key] in [r[1:] for r in mine if r[1] == best]
     assert latest_per_key(df.limit(0), ["k"], "o").count() == 0
+
+
+def test_blocks_follow_what_is_stored(spark):
+    """Estimates of joins between checkpoints are products of sizes; blocks follow the files instead."""
+    wide = spark.range(2000).select("id", F.concat(F.lit("run-"), F.col("id") % 3).alias("run"))
+    once = cut(wide.join(wide.select("id", F.col("run").alias("again")), "id"))
+    both = once.join(once.select("id"), "id").join(once.select(F.col("id").alias("other")), F.col("id") == F.col("other"))
+    assert block_count(both) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < input_bytes(once) < input_bytes(both) < 1 << 20

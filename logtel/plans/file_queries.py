@@ -36,9 +36,9 @@ def write_documents(documents: DataFrame, folder: str) -> int:
     return documents.select("file", "text").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0]
 
 
-def _number(name: str) -> Column:
-    """The number that follows ``name`` in a file's path."""
-    return F.regexp_extract("file", rf"{name}(\d+)", 1).cast("bigint")
+def _number(name: str, then: str = "/[^/]*$") -> Column:
+    """The number that follows ``name``, and stands before ``then``, in a file's path."""
+    return F.regexp_extract("file", rf"{name}(\d+){then}", 1).cast("bigint")
 
 
 PART = 3 * sources.LINES_PER_FILE
@@ -111,9 +111,9 @@ def read_artifact_files(spark, folder):
     counted = read["iterations"].groupBy("file", "run_id").agg(F.count(F.lit(1)).alias("iterations"), F.sum("rows_fetched").alias("rows_fetched"))
     samples = read["memory_samples"].groupBy("file").agg(F.count(F.lit(1)).alias("samples"))
     good = read["runs"].select("file", "run_id").join(counted, ["file", "run_id"]).join(samples, "file").select(
-        _number("/c").alias("c"), none.cast("string").alias("message"), "iterations", "samples", "rows_fetched"
+        _number("/c", "/run[.]json$").alias("c"), none.cast("string").alias("message"), "iterations", "samples", "rows_fetched"
     )
-    bad = read["errors"].select(_number("/c").alias("c"), "message", *[none.cast(kind).alias(n) for n, kind in (("iterations", "bigint"), ("samples", "bigint"), ("rows_fetched", "double"))])
+    bad = read["errors"].select(_number("/c", "/run[.]json$").alias("c"), "message", *[none.cast(kind).alias(n) for n, kind in (("iterations", "bigint"), ("samples", "bigint"), ("rows_fetched", "double"))])
     return good.unionByName(bad)
 
 

@@ -14,6 +14,8 @@ USUAL = [
     "stage_timeline", "run_bounds", "iteration_series", "dial_ranges", "percent_delta", "select_snapshot",
     "purge_keys", "upsert_by_key", "changed_files", "assemble_events", "write_previews", "read_row_export",
     "number_lines", "reassemble_lines", "read_checkpoints", "dump_run_errors", "drain_to_head", "stream_lines",
+    "read_poll_files", "read_artifact_files", "read_iteration_files", "read_checkpoint_files", "read_dump_files", "stream_keyed_batches",
+    "latest_per_key", "span_lanes", "segments_in_range", "message_metadata",
 ]
 
 

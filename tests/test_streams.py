@@ -1,5 +1,6 @@
 """Streams give what the batch operators give, also in several batches with a restart between them."""
 
+import dataclasses
 import json
 
 from pyspark.sql import functions as F
@@ -36,14 +37,53 @@ ROWS = [
 ]
 
 
-def flushed(spark, portions):
+def stream_rows(spark, portions, lifecycles=LIFECYCLES):
     inbox, out, checkpoint = new_path(spark, "inbox"), new_path(spark, "out"), new_path(spark, "state")
     for rows in portions:  # the query stops after each portion and goes on from its checkpoint
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(inbox)
-        stream = stream_assemble(spark.readStream.schema(SCHEMA).parquet(inbox), LIFECYCLES)
+        stream = stream_assemble(spark.readStream.schema(SCHEMA).parquet(inbox), lifecycles)
         sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
         sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return {r.event_id: r for r in spark.read.schema(stream.schema).parquet(out).collect()}
+    return spark.read.schema(stream.schema).parquet(out).collect()
+
+
+def flushed(spark, portions):
+    return {r.event_id: r for r in stream_rows(spark, portions)}
+
+
+def test_late_parts_update_a_partial_flush_as_often_as_allowed(spark):
+    """An event is flushed in part at its deadline; late parts update that flush, at most ``max_updates`` times."""
+    wait, hour = LIFECYCLES[0].flush.partial_after_ms, 3_600_000
+    after = wait + 2 * hour
+
+    def clock(seq, at):  # another event that moves the watermark
+        return envelope("conversation", f"clock{seq}", "opening", f"clock{seq}", seq, at)
+
+    def late(part, seq):
+        return envelope("conversation", "e1", part, f"late{seq}", seq, after + seq)
+
+    portions = [
+        [envelope("conversation", "e1", "opening", "a", 1, 1000)],
+        [clock(2, after)],
+        [late("answer", 3)],
+        [late("answer", 4)],
+        [late("question", 5)],
+        [late("answer", 6)],
+    ]
+    want = {
+        # as often as parts come, until the event is complete; what comes after that is dropped
+        None: [("partial", False, 1), ("partial", True, 2), ("partial", True, 3), ("full", True, 4)],
+        1: [("partial", False, 1), ("partial", True, 2)],
+    }
+    for most, flushes in want.items():
+        flush = dataclasses.replace(LIFECYCLES[0].flush, max_updates=most)
+        found = stream_rows(spark, portions, [dataclasses.replace(LIFECYCLES[0], flush=flush), *LIFECYCLES[1:]])
+        mine = sorted((r.at_ms, r.decision, r.is_update, r.part_count) for r in found if r.event_id == "e1")
+        assert [m[1:] for m in mine] == flushes
+    # without updates a late part is dropped, whatever it is
+    flush = dataclasses.replace(LIFECYCLES[0].flush, update_after_partial=False)
+    found = stream_rows(spark, portions, [dataclasses.replace(LIFECYCLES[0], flush=flush), *LIFECYCLES[1:]])
+    assert [(r.decision, r.part_count) for r in found if r.event_id == "e1"] == [("partial", 1)]
 
 
 def test_stream_equals_batch_with_repeats_and_restart(spark):

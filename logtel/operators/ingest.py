@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtel.functions.scalars import datetime_ms_text, epoch_ms_text, is_text, iso_duration_ms
-from logtel.operators.layout import BLOCK, attach, lay_out, least_of
+from logtel.operators.layout import BLOCK, attach, counted, lay_out, least_of
 from logtel.session import cut, ship_package
 
 # Columns that hold the event time, in order of preference.
@@ -56,18 +56,18 @@ def incremental_pull(
             pulled = pulled.join(marks.select("object_id"), "object_id", "left_semi")
     else:
         since = now_ms - iso_duration_ms(lookback)
-        # no row outside these bounds can be fresh for any user; they are found when the query runs and reach the scan
+        # watermarks are computed once; no row outside their bounds can be fresh for any user, and the bounds reach the scan
+        marks = counted(marks)
+        if not marks.counted_rows:
+            raise ValueError("at least one user or a session is required")
         never = F.lit(_NEVER)
         latest = marks.agg(F.coalesce(F.max(F.when(F.col("watermark_ms").isNull(), F.lit(since))), never)).scalar()
         rows = rows.filter((F.col("client_ms") > least_of(marks, F.coalesce("watermark_ms", never))) | (F.col("ts_ms") > latest))
         fresh = F.when(F.col("watermark_ms").isNotNull(), F.col("client_ms") > F.col("watermark_ms")).otherwise(
             F.col("ts_ms") > F.lit(since)
         )
-        pulled = rows.join(marks, "object_id").filter(fresh).select(*rows.columns)
-        # neither a user nor a session is an error, found when the query runs
-        nobody = F.raise_error(F.lit("at least one user or a session is required"))
-        none = marks.agg(F.count(F.lit(1)).alias("_users")).filter("_users = 0")
-        pulled = pulled.unionByName(none.select(*[nobody.cast(f.dataType).alias(f.name) for f in rows.schema]))
+        ties = [c for c in ("_file", "_ord", "event_id") if c in rows.columns]
+        pulled = attach(rows, marks, ["object_id"], ties or ["client_ms", "ts_ms"]).filter(fresh).select(*rows.columns)
     ties = [c for c in ("_file", "_ord", "event_id") if c in rows.columns]
     return pulled.orderBy(F.col("client_ms").asc_nulls_first(), *ties)
 

@@ -219,8 +219,8 @@ def test_pull_bounds_reach_the_scan(spark, tmp_path):
     # a user without a watermark looks back from now; no user at all is an error
     back = incremental_pull(spark.read.parquet(path), marks.unionByName(spark.createDataFrame([("2", None)], marks.schema)), 1000, "PT0.01S")
     assert back.count() == 19 + 10 + 2
-    with pytest.raises(Exception, match="at least one user"):
-        incremental_pull(spark.read.parquet(path), marks.limit(0), 1000).collect()
+    with pytest.raises(ValueError, match="at least one user"):
+        incremental_pull(spark.read.parquet(path), marks.limit(0), 1000)
 
 
 def test_read_bounds_reach_the_scan(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logtel.functions import variants as v
 from logtel.operators import polls, runs
 from logtel.operators.messages import utc_text
 from logtel.plans import tables as t
@@ -81,7 +82,7 @@ def reassemble_lines(spark, folder):
 
 def poll_text(spark, folder):
     """One log line per event: cycles, stage events, and broken or unknown ones among them."""
-    c = t.cycles(spark, folder)
+    c = t.cycles(spark, folder, t.load_spread)
     at = lambda name: utc_text(F.col(name))
     entries = F.transform(
         "timeline", lambda s: F.struct(s["stage"].alias("stage"), s["start_ms"].alias("startMs"), s["dur_ms"].alias("durMs"))
@@ -102,7 +103,8 @@ def poll_text(spark, folder):
     )
     value = F.when(F.col("outcome") == "success", F.to_json(cycle)).otherwise(F.to_json(stage))
     broken = F.when(F.col("arrival") % 37 == 0, F.concat(F.lit("{"), value)).otherwise(value)
-    return cut(c.select(F.lit("log").alias("file"), (F.col("arrival") + 1).alias("line"), broken.alias("value"), "arrival"))
+    made = v.with_value(c.withColumn("_line", F.col("arrival") + 1), broken, "value")
+    return made.select(F.lit("log").alias("file"), F.col("_line").alias("line"), "value", "arrival")
 
 
 def _parsed(spark, folder):
@@ -190,7 +192,7 @@ def _json(struct):
 
 def artifact_documents(spark, folder):
     """One document per order: runs of one iteration and one memory sample, summaries, and broken ones."""
-    its = t.iterations(spark, folder)
+    its = t.iterations(spark, folder, t.load_spread)
     k = F.col("arrival")
     timings = F.struct(*[F.col(n).alias(key) for key, n in run_artifacts.TIMINGS.items()])
     figures = [F.lit(1.0).alias(key) for key in (*run_artifacts.SUMMARY_NUMBERS, *run_artifacts.SUMMARY_TAIL)]
@@ -211,7 +213,7 @@ def artifact_documents(spark, folder):
         F.array().cast("array<struct<runId:string>>").alias("runs"), summary.alias("averages"),
     )
     text = F.when(k % 29 == 0, "{broken").when(k % 10 == 0, _json(as_summary)).otherwise(_json(as_run))
-    return cut(its.select(F.concat(F.lit("/art/"), _text(k), F.lit(".json")).alias("file"), text.alias("text")))
+    return v.with_value(its, text, "text").select(F.concat(F.lit("/art/"), _text(k), F.lit(".json")).alias("file"), "text")
 
 
 _ART_ERROR = """CASE WHEN k % 29 = 0 THEN 'invalid JSON.' WHEN k % 31 = 0 THEN 'schemaVersion is not 1, the only one this reader knows.'
@@ -258,11 +260,11 @@ def artifact_runs(spark, folder):
 
 def iteration_lines(spark, folder):
     """Live iteration logs, one per customer; some lines broken."""
-    its = t.iterations(spark, folder)
+    its = t.iterations(spark, folder, t.load_spread)
     customers = t.load(spark, folder, "orders").select(F.col("o_orderkey").alias("arrival"), "o_custkey")
     value = F.when(F.col("arrival") % 11 == 0, "nope").otherwise(_json(_iteration_json()))
     file = F.concat(F.lit("/live/c"), _text("o_custkey"), F.lit("/run/iterations/x.jsonl"))
-    return cut(its.join(customers, "arrival").select(file.alias("file"), F.col("arrival").alias("line"), value.alias("value")))
+    return v.with_value(its.join(customers, "arrival"), value, "value").select(file.alias("file"), F.col("arrival").alias("line"), "value")
 
 
 @query(

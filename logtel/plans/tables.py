@@ -20,6 +20,20 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for what makes much text or work of each narrow row.
+
+    A small table, or one whose files cannot be split, would be read, and all
+    that is made of it computed, by a few tasks. Larger ones do not move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def load_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(load(spark, folder, name))
+
+
 def epoch_ms(name: str) -> Column:
     """Whole epoch ms of a zone-less timestamp, rounded down, in any session zone."""
     micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name})")
@@ -179,7 +193,7 @@ def dump_flush(spark: SparkSession, folder: str) -> DataFrame:
 # --- poll telemetry -------------------------------------------------------------------------
 
 
-def cycles(spark: SparkSession, folder: str) -> DataFrame:
+def cycles(spark: SparkSession, folder: str, load=load) -> DataFrame:
     """One finished poll cycle per event, three sources."""
     e = F.col("event_id")
     records = _double(e % 41)
@@ -264,7 +278,7 @@ def stage_events(spark: SparkSession, folder: str) -> DataFrame:
 # --- benchmark runs -------------------------------------------------------------------------
 
 
-def iterations(spark: SparkSession, folder: str) -> DataFrame:
+def iterations(spark: SparkSession, folder: str, load=load) -> DataFrame:
     """One iteration per order: five runs of twelve shards, some times unreadable, two thirds with a snapshot."""
     k = F.col("o_orderkey")
     ms = F.col("ms")

@@ -1,4 +1,7 @@
-"""Validation of JSON values as error columns: NULL when the value is good, else what is wrong and where."""
+"""Validation of JSON values as error columns: NULL when the value is good, else what is wrong and where.
+
+``root`` is an object that ``variants.shaped`` took apart: a struct whose members are VARIANT or shaped in turn.
+"""
 
 from __future__ import annotations
 
@@ -18,48 +21,47 @@ def _unless(good: Column, where: Column, complaint: str) -> Column:
     return F.when(~F.coalesce(good, F.lit(False)), F.concat(where, F.lit(f" {complaint}")))
 
 
+def _allowing(good: Column, kind: Column, nullable: bool, optional: bool) -> Column:
+    if nullable:
+        good = good | F.coalesce(kind == "VOID", F.lit(False))
+    if optional:
+        good = good | kind.isNull()
+    return good
+
+
 def at(where: Column, key: str) -> Column:
     return F.concat(where, F.lit(f".{key}"))
 
 
 def text(root: Column, key: str, where: Column, nullable: bool = False, optional: bool = False) -> Column:
     """Non-blank text; ``nullable`` also takes JSON null, ``optional`` also an absent member."""
-    kind = v.kind(root, f"$.{key}")
-    good = F.coalesce(is_text(v.text(root, f"$.{key}")), F.lit(False))
-    if nullable:
-        good = good | F.coalesce(kind == "VOID", F.lit(False))
-    if optional:
-        good = good | kind.isNull()
+    good = _allowing(is_text(v.text(root[key])), v.kind(root[key]), nullable, optional)
     return _unless(good, at(where, key), "must be a non-empty string.")
 
 
 def number(root: Column, key: str, where: Column, nullable: bool = False, optional: bool = False) -> Column:
-    kind = v.kind(root, f"$.{key}")
-    good = v.number(root, f"$.{key}").isNotNull()
-    if nullable:
-        good = good | F.coalesce(kind == "VOID", F.lit(False))
-    if optional:
-        good = good | kind.isNull()
+    good = _allowing(v.is_number(root[key]), v.kind(root[key]), nullable, optional)
     return _unless(good, at(where, key), "must be a finite number.")
 
 
 def moment(root: Column, key: str, where: Column) -> Column:
     """Text that reads as an ISO date-time."""
-    readable = iso_ms(v.text(root, f"$.{key}")).isNotNull()
+    readable = iso_ms(v.text(root[key])).isNotNull()
     return F.coalesce(text(root, key, where), _unless(readable, at(where, key), "must be a valid ISO timestamp."))
 
 
 def one_of(root: Column, key: str, where: Column, allowed: Sequence[str]) -> Column:
-    good = v.text(root, f"$.{key}").isin(*allowed)
+    good = v.text(root[key]).isin(*allowed)
     return _unless(good, at(where, key), f"must be one of: {', '.join(allowed)}.")
 
 
-def an_object(root: Column, where: Column, path: str = "$") -> Column:
-    return _unless(v.is_object(root, path), where, "must be an object.")
+def an_object(part: Column, where: Column) -> Column:
+    """``part`` as ``shaped`` gives it: NULL unless it was an object."""
+    return _unless(part.isNotNull(), where, "must be an object.")
 
 
-def an_array(root: Column, where: Column, path: str = "$") -> Column:
-    return _unless(v.is_array(root, path), where, "must be an array.")
+def an_array(part: Column, where: Column) -> Column:
+    return _unless(part.isNotNull(), where, "must be an array.")
 
 
 def each(items: Column, check, where: Column) -> Column:
@@ -68,38 +70,10 @@ def each(items: Column, check, where: Column) -> Column:
     return F.get(F.filter(found, lambda e: e.isNotNull()), 0)
 
 
-def _first_bad(root: Column, keys: Sequence[str], where: Column, good, complaint: str) -> Column:
-    """Complaint about the first of ``keys`` that fails ``good(value, kind)``; one compact expression for all."""
-    names = F.array(*[F.lit(k) for k in keys])
-
-    def fails(key: Column) -> Column:
-        value = F.try_variant_get(root, F.concat(F.lit("$."), key), "variant")
-        return ~F.coalesce(good(value, F.schema_of_variant(value)), F.lit(False))
-
-    bad = F.get(F.filter(names, fails), 0)
-    return F.concat(where, F.lit("."), bad, F.lit(f" {complaint}"))
-
-
-def _allowing(good: Column, kind: Column, nullable: bool, optional: bool) -> Column:
-    if nullable:
-        good = good | F.coalesce(kind == "VOID", F.lit(False))
-    if optional:
-        good = good | kind.isNull()
-    return good
-
-
 def numbers(root: Column, keys: Sequence[str], where: Column, nullable: bool = False, optional: bool = False) -> Column:
-    def good(value: Column, kind: Column) -> Column:
-        numeric = F.coalesce(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
-        magnitude = F.abs(F.try_variant_get(value, "$", "double"))
-        return _allowing(numeric & F.coalesce(magnitude < float("inf"), F.lit(False)), kind, nullable, optional)
-
-    return _first_bad(root, keys, where, good, "must be a finite number.")
+    """Complaint about the first of ``keys`` that is no number."""
+    return F.coalesce(*[number(root, key, where, nullable, optional) for key in keys])
 
 
 def texts(root: Column, keys: Sequence[str], where: Column, nullable: bool = False, optional: bool = False) -> Column:
-    def good(value: Column, kind: Column) -> Column:
-        filled = is_text(F.when(kind == "STRING", F.try_variant_get(value, "$", "string")))
-        return _allowing(filled, kind, nullable, optional)
-
-    return _first_bad(root, keys, where, good, "must be a non-empty string.")
+    return F.coalesce(*[text(root, key, where, nullable, optional) for key in keys])

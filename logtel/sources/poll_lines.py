@@ -32,10 +32,17 @@ OPTIONAL_NUMBERS = {
     "cosmosWriteCancelled": "store_cancelled",
 }
 OPTIONAL_TEXTS = {"failingStage": "failing_stage", "error": "error"}
+# What is read of a line, of either type.
+_ENTRY = v.shape(**v.leaves("stage", "startMs", "durMs"))
+_LINE = v.shape(
+    **v.leaves("type", "ts", "runId", "stage", "ev", "atMs", "durMs", "source", "outcome", "startedAtUtc", "completedAtUtc"),
+    **v.leaves("totalMs", "records", "recordsPerSec", "inputRows", "windowStartUtc", "windowEndUtc", *OPTIONAL_NUMBERS, *OPTIONAL_TEXTS),
+    timeline=f"array<{_ENTRY}>",
+)
 
 
 def _stage_error(root: Column, where: Column) -> Column:
-    closing = F.coalesce(v.text(root, "$.ev") == "end", F.lit(False))
+    closing = F.coalesce(v.text(root["ev"]) == "end", F.lit(False))
     return F.coalesce(
         checks.moment(root, "ts", where),
         checks.text(root, "runId", where),
@@ -67,8 +74,8 @@ def _cycle_error(root: Column, where: Column) -> Column:
         checks.moment(root, "startedAtUtc", where),
         checks.moment(root, "completedAtUtc", where),
         checks.numbers(root, ("totalMs", "records", "recordsPerSec"), where),
-        checks.an_array(root, timeline, "$.timeline"),
-        checks.each(v.items(root, "$.timeline"), _entry_error, timeline),
+        checks.an_array(root["timeline"], timeline),
+        checks.each(root["timeline"], _entry_error, timeline),
         checks.numbers(root, tuple(OPTIONAL_NUMBERS), where, nullable=True, optional=True),
         checks.texts(root, tuple(OPTIONAL_TEXTS), where, nullable=True, optional=True),
     )
@@ -79,20 +86,21 @@ def tagged_lines(lines: DataFrame) -> DataFrame:
 
     The line is parsed here and nowhere else; the results are filters over this table.
     """
-    root, where = F.col("facts"), F.concat(F.lit("line "), F.col("line").cast("string"))
-    kind = v.text(root, "$.type")
+    facts, root, where = F.col("facts"), F.col("_shaped"), F.concat(F.lit("line "), F.col("line").cast("string"))
+    kind = v.text(root["type"])
     label = F.coalesce(F.concat(F.lit('"'), kind, F.lit('"')), F.lit("missing"))
     problem = (
-        F.when(root.isNull(), F.concat(where, F.lit(": invalid JSON.")))
-        .when(~v.is_object(root), F.lit("event must be an object."))
+        F.when(facts.isNull(), F.concat(where, F.lit(": invalid JSON.")))
+        .when(root.isNull(), F.lit("event must be an object."))
         .when(kind == "stage", _stage_error(root, where))
         .when(kind == "cycle", _cycle_error(root, where))
         .otherwise(F.concat(where, F.lit(": unknown event type "), label, F.lit(".")))
     )
     used = lines.filter(is_text(F.col("value"))).select("file", "line", F.col("value").alias("raw"))
-    tagged = v.with_parsed(used, "raw", "facts").select("file", "line", "raw", "facts", kind.alias("type"), problem.alias("problem"))
+    parsed = v.with_value(v.with_parsed(used, "raw", "facts"), v.shaped(facts, _LINE), "_shaped")
+    tagged = parsed.select("file", "line", "raw", "facts", kind.alias("type"), problem.alias("problem"))
     bad = F.col("problem").isNotNull()
-    return tagged.select("file", "line", F.when(bad, F.col("raw")).alias("raw"), F.when(~bad, root).alias("facts"), "type", "problem")
+    return tagged.select("file", "line", F.when(bad, F.col("raw")).alias("raw"), F.when(~bad, facts).alias("facts"), "type", "problem")
 
 
 def parse_poll_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -101,41 +109,44 @@ def parse_poll_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def of_tagged_lines(tagged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    root = F.col("facts")
+    root = F.col("_shaped")
     parsed = tagged.withColumn("arrival", F.struct("file", "line"))
-    good = parsed.filter(F.col("problem").isNull())
-    stages = good.filter("type = 'stage'").select(
-        v.text(root, "$.runId").alias("run_id"),
-        v.text(root, "$.stage").alias("stage"),
-        v.text(root, "$.ev").alias("ev"),
-        v.number(root, "$.atMs").alias("at_ms"),
-        v.number(root, "$.durMs").alias("dur_ms"),
-        iso_ms(v.text(root, "$.ts")).alias("ts_ms"),
+
+    def good(kind: str) -> DataFrame:
+        return v.with_value(parsed.filter(F.col("problem").isNull() & (F.col("type") == kind)), v.shaped(F.col("facts"), _LINE), "_shaped")
+
+    stages = good("stage").select(
+        v.text(root["runId"]).alias("run_id"),
+        v.text(root["stage"]).alias("stage"),
+        v.text(root["ev"]).alias("ev"),
+        v.number(root["atMs"]).alias("at_ms"),
+        v.number(root["durMs"]).alias("dur_ms"),
+        iso_ms(v.text(root["ts"])).alias("ts_ms"),
         "arrival",
     )
     spans = F.transform(
-        v.items(root, "$.timeline"),
+        root["timeline"],
         lambda e: F.struct(
-            v.text(e, "$.stage").alias("stage"),
-            v.number(e, "$.startMs").alias("start_ms"),
-            v.number(e, "$.durMs").alias("dur_ms"),
+            v.text(e["stage"]).alias("stage"),
+            v.number(e["startMs"]).alias("start_ms"),
+            v.number(e["durMs"]).alias("dur_ms"),
         ),
     )
-    cycles = good.filter("type = 'cycle'").select(
-        v.text(root, "$.runId").alias("run_id"),
-        v.text(root, "$.source").alias("source"),
-        v.text(root, "$.outcome").alias("outcome"),
-        iso_ms(v.text(root, "$.startedAtUtc")).alias("started_ms"),
-        iso_ms(v.text(root, "$.completedAtUtc")).alias("completed_ms"),
-        v.number(root, "$.totalMs").alias("total_ms"),
-        v.number(root, "$.records").alias("records"),
-        v.number(root, "$.recordsPerSec").alias("records_per_sec"),
+    cycles = good("cycle").select(
+        v.text(root["runId"]).alias("run_id"),
+        v.text(root["source"]).alias("source"),
+        v.text(root["outcome"]).alias("outcome"),
+        iso_ms(v.text(root["startedAtUtc"])).alias("started_ms"),
+        iso_ms(v.text(root["completedAtUtc"])).alias("completed_ms"),
+        v.number(root["totalMs"]).alias("total_ms"),
+        v.number(root["records"]).alias("records"),
+        v.number(root["recordsPerSec"]).alias("records_per_sec"),
         spans.alias("timeline"),
-        *[v.number(root, f"$.{key}").alias(name) for key, name in OPTIONAL_NUMBERS.items()],
-        *[v.text(root, f"$.{key}").alias(name) for key, name in OPTIONAL_TEXTS.items()],
-        v.number(root, "$.inputRows").alias("input_rows"),
-        iso_ms(v.text(root, "$.windowStartUtc")).alias("window_start_ms"),
-        iso_ms(v.text(root, "$.windowEndUtc")).alias("window_end_ms"),
+        *[v.number(root[key]).alias(name) for key, name in OPTIONAL_NUMBERS.items()],
+        *[v.text(root[key]).alias(name) for key, name in OPTIONAL_TEXTS.items()],
+        v.number(root["inputRows"]).alias("input_rows"),
+        iso_ms(v.text(root["windowStartUtc"])).alias("window_start_ms"),
+        iso_ms(v.text(root["windowEndUtc"])).alias("window_end_ms"),
         "facts",
         "arrival",
     )

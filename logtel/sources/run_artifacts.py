@@ -75,8 +75,40 @@ MANIFEST_NAME = "kusto-benchmark-run.json"
 SYNTHESIZED_SOURCE = "Kusto"
 
 
+# What is read of each kind of object.
+_SUMMARY = v.shape(**v.leaves(*SUMMARY_NUMBERS, *SUMMARY_TAIL), averageTimingsMs=v.shape(**v.leaves(*TIMINGS)))
+_ITERATION = v.shape(
+    **v.leaves("iterationId", "clientId", "shardId", "windowStartUtc", "windowEndUtc", "startedAtUtc", "completedAtUtc", "pipeline"),
+    timingsMs=v.shape(**v.leaves(*TIMINGS), kustoRead=v.shape(**v.leaves(*READ_TIMINGS))),
+    counts=v.shape(**v.leaves(*COUNTS)),
+    memory=v.shape(**v.leaves(*MEMORY)),
+    checkpoint=v.shape(**v.leaves("previous", "upper", "advancedTo", "blockedDurationMs")),
+)
+_MESSAGE = v.shape(**v.leaves("ordinal", "rowId", "sessionId", "enqueuedTimeUtc", "status", "skipReason"))
+_EVENT = v.shape(**v.leaves("atUtc", "kind", "label", "messageCount", "watermarkUtc"))
+_PIPELINE = v.shape(
+    **v.leaves("snapshotAtUtc", "shardId", "windowStartUtc", "windowEndUtc", "currentTimeUtc", "watermarkUtc"),
+    **v.leaves("candidateWatermarkUtc", "checkpointAdvancedToUtc"),
+    **v.leaves("totalShardMessages", "currentWindowMessages", "backlogMessages", "blockedMessages"),
+    statusCounts=v.shape(**v.leaves(*STATUSES)),
+    messages=f"array<{_MESSAGE}>",
+    events=f"array<{_EVENT}>",
+)
+_SAMPLE = v.shape(**v.leaves("timestampUtc", "iterationId", *MEMORY))
+_LISTED_RUN = v.shape(**v.leaves("runId", "startedAtUtc", "completedAtUtc", "clientId", "iterationCount"), summary=_SUMMARY)
+_ARTIFACT = v.shape(
+    **v.leaves("schemaVersion", "label", "generatedAtUtc", "runCount"),
+    run=v.shape(**v.leaves(*RUN_TEXTS, "clientCount", "partitionScope", "configuration")),
+    iterations=f"array<{_ITERATION}>",
+    memorySamples=f"array<{_SAMPLE}>",
+    runs=f"array<{_LISTED_RUN}>",
+    summary=_SUMMARY,
+    averages=_SUMMARY,
+)
+
+
 def _numbers(root: Column, member: str, keys: Sequence[str], where: Column) -> list[Column]:
-    inner, place = v.member(root, f"$.{member}"), checks.at(where, member)
+    inner, place = root[member], checks.at(where, member)
     return [checks.an_object(inner, place), checks.numbers(inner, keys, place)]
 
 
@@ -104,9 +136,9 @@ def _event_error(event: Column, where: Column) -> Column:
 
 
 def _pipeline_error(root: Column, where: Column) -> Column:
-    inner, place = v.member(root, "$.pipeline"), checks.at(where, "pipeline")
+    place = checks.at(where, "pipeline")
     nullable = ("watermarkUtc", "candidateWatermarkUtc", "checkpointAdvancedToUtc")
-    found = F.coalesce(
+    found = lambda inner: F.coalesce(
         checks.an_object(inner, place),
         checks.texts(inner, ("snapshotAtUtc", "shardId"), place),
         checks.texts(inner, ("windowStartUtc", "windowEndUtc"), place, nullable=True),
@@ -116,17 +148,17 @@ def _pipeline_error(root: Column, where: Column) -> Column:
             inner, ("totalShardMessages", "currentWindowMessages", "backlogMessages", "blockedMessages"), place
         ),
         *_numbers(inner, "statusCounts", tuple(STATUSES), place),
-        checks.an_array(inner, checks.at(place, "messages"), "$.messages"),
-        checks.each(v.items(inner, "$.messages"), _message_error, checks.at(place, "messages")),
-        checks.an_array(inner, checks.at(place, "events"), "$.events"),
-        checks.each(v.items(inner, "$.events"), _event_error, checks.at(place, "events")),
+        checks.an_array(inner["messages"], checks.at(place, "messages")),
+        checks.each(inner["messages"], _message_error, checks.at(place, "messages")),
+        checks.an_array(inner["events"], checks.at(place, "events")),
+        checks.each(inner["events"], _event_error, checks.at(place, "events")),
     )
-    return F.when(v.kind(root, "$.pipeline").isNotNull(), found)
+    return F.when(root["pipeline"].isNotNull(), v.bound(v.shaped(root["pipeline"], _PIPELINE), found))
 
 
 def iteration_error(root: Column, where: Column) -> Column:
-    """First thing wrong with one iteration object, NULL when it is good."""
-    checkpoint = v.member(root, "$.checkpoint")
+    """First thing wrong with one iteration, as ``_ITERATION`` shapes it; NULL when it is good."""
+    checkpoint = root["checkpoint"]
     return F.coalesce(
         checks.an_object(root, where),
         checks.texts(root, ("iterationId", "clientId", "shardId"), where),
@@ -143,34 +175,34 @@ def iteration_error(root: Column, where: Column) -> Column:
 
 def _pipeline(root: Column) -> Column:
     def moment(key: str, name: str) -> Column:
-        return iso_ms(v.text(root, f"$.pipeline.{key}")).alias(name)
+        return iso_ms(v.text(root[key])).alias(name)
 
     def amount(key: str, name: str) -> Column:
-        return v.number(root, f"$.pipeline.{key}").alias(name)
+        return v.number(root[key]).alias(name)
 
     messages = F.transform(
-        v.items(root, "$.pipeline.messages"),
+        root["messages"],
         lambda m: F.struct(
-            v.number(m, "$.ordinal").alias("ordinal"),
-            v.text(m, "$.rowId").alias("row_id"),
-            v.text(m, "$.sessionId").alias("session_id"),
-            iso_ms(v.text(m, "$.enqueuedTimeUtc")).alias("enqueued_ms"),
-            v.text(m, "$.status").alias("status"),
-            v.text(m, "$.skipReason").alias("skip_reason"),
+            v.number(m["ordinal"]).alias("ordinal"),
+            v.text(m["rowId"]).alias("row_id"),
+            v.text(m["sessionId"]).alias("session_id"),
+            iso_ms(v.text(m["enqueuedTimeUtc"])).alias("enqueued_ms"),
+            v.text(m["status"]).alias("status"),
+            v.text(m["skipReason"]).alias("skip_reason"),
         ),
     )
     events = F.transform(
-        v.items(root, "$.pipeline.events"),
+        root["events"],
         lambda e: F.struct(
-            iso_ms(v.text(e, "$.atUtc")).alias("at_ms"),
-            v.text(e, "$.kind").alias("kind"),
-            v.text(e, "$.label").alias("label"),
-            v.number(e, "$.messageCount").alias("message_count"),
-            iso_ms(v.text(e, "$.watermarkUtc")).alias("watermark_ms"),
+            iso_ms(v.text(e["atUtc"])).alias("at_ms"),
+            v.text(e["kind"]).alias("kind"),
+            v.text(e["label"]).alias("label"),
+            v.number(e["messageCount"]).alias("message_count"),
+            iso_ms(v.text(e["watermarkUtc"])).alias("watermark_ms"),
         ),
     )
     return F.when(
-        v.is_object(root, "$.pipeline"),
+        root.isNotNull(),
         F.struct(
             moment("snapshotAtUtc", "observed_ms"),
             moment("currentTimeUtc", "current_ms"),
@@ -178,13 +210,13 @@ def _pipeline(root: Column) -> Column:
             moment("windowEndUtc", "window_end_ms"),
             moment("watermarkUtc", "watermark_ms"),
             moment("candidateWatermarkUtc", "candidate_watermark_ms"),
-            v.text(root, "$.pipeline.checkpointAdvancedToUtc").isNotNull().alias("has_checkpoint"),
+            v.text(root["checkpointAdvancedToUtc"]).isNotNull().alias("has_checkpoint"),
             moment("checkpointAdvancedToUtc", "checkpoint_ms"),
             amount("totalShardMessages", "total_shard_messages"),
             amount("currentWindowMessages", "window_messages"),
             amount("backlogMessages", "backlog_messages"),
             amount("blockedMessages", "blocked_messages"),
-            *[amount(f"statusCounts.{key}", name) for key, name in STATUSES.items()],
+            *[v.number(root["statusCounts"][key]).alias(name) for key, name in STATUSES.items()],
             messages.alias("messages"),
             events.alias("events"),
         ),
@@ -192,19 +224,19 @@ def _pipeline(root: Column) -> Column:
 
 
 def iteration_columns(root: Column) -> list[Column]:
-    """The columns of one (valid) iteration object."""
+    """The columns of one (valid) iteration, as ``_ITERATION`` shapes it."""
 
     def texts(**names: str) -> list[Column]:
-        return [v.text(root, f"$.{key}").alias(name) for name, key in names.items()]
+        return [v.text(root[key]).alias(name) for name, key in names.items()]
 
-    def numbers(member: str, names: dict[str, str]) -> list[Column]:
-        return [v.number(root, f"$.{member}.{key}").alias(name) for key, name in names.items()]
+    def numbers(inner: Column, names: dict[str, str]) -> list[Column]:
+        return [v.number(inner[key]).alias(name) for key, name in names.items()]
 
     def moment(key: str) -> Column:
-        return iso_ms(v.text(root, f"$.{key}"))
+        return iso_ms(v.text(root[key]))
 
     def mark(key: str) -> Column:
-        return coerce_comparable(v.member(root, f"$.checkpoint.{key}"))
+        return coerce_comparable(root["checkpoint"][key])
 
     return [
         *texts(iteration_id="iterationId", client_id="clientId", shard_id="shardId"),
@@ -213,21 +245,21 @@ def iteration_columns(root: Column) -> list[Column]:
         moment("completedAtUtc").alias("completed_ms"),
         moment("windowStartUtc").alias("window_start_ms"),
         moment("windowEndUtc").alias("window_end_ms"),
-        *numbers("timingsMs", TIMINGS),
-        *numbers("timingsMs.kustoRead", READ_TIMINGS),
-        *numbers("counts", COUNTS),
-        *numbers("memory", MEMORY),
+        *numbers(root["timingsMs"], TIMINGS),
+        *numbers(root["timingsMs"]["kustoRead"], READ_TIMINGS),
+        *numbers(root["counts"], COUNTS),
+        *numbers(root["memory"], MEMORY),
         mark("previous").alias("previous"),
         mark("upper").alias("upper"),
         mark("advancedTo").alias("advanced_to"),
-        iso_ms(v.text(root, "$.checkpoint.advancedTo")).alias("advanced_to_ms"),
-        v.number(root, "$.checkpoint.blockedDurationMs").alias("blocked_ms"),
-        _pipeline(root).alias("pipeline"),
+        iso_ms(v.text(root["checkpoint"]["advancedTo"])).alias("advanced_to_ms"),
+        v.number(root["checkpoint"]["blockedDurationMs"]).alias("blocked_ms"),
+        v.bound(v.shaped(root["pipeline"], _PIPELINE), _pipeline).alias("pipeline"),
     ]
 
 
 def _summary_error(root: Column, member: str, where: Column) -> Column:
-    inner, place = v.member(root, f"$.{member}"), checks.at(where, member)
+    inner, place = root[member], checks.at(where, member)
     return F.coalesce(
         checks.an_object(inner, place),
         checks.numbers(inner, tuple(SUMMARY_NUMBERS), place),
@@ -238,8 +270,8 @@ def _summary_error(root: Column, member: str, where: Column) -> Column:
 
 def _summary_columns(root: Column, member: str) -> list[Column]:
     return [
-        *[v.number(root, f"$.{member}.{key}").alias(name) for key, name in (SUMMARY_NUMBERS | SUMMARY_TAIL).items()],
-        v.number(root, f"$.{member}.averageTimingsMs.total").alias("avg_total_ms"),
+        *[v.number(root[member][key]).alias(name) for key, name in (SUMMARY_NUMBERS | SUMMARY_TAIL).items()],
+        v.number(root[member]["averageTimingsMs"]["total"]).alias("avg_total_ms"),
     ]
 
 
@@ -250,34 +282,35 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
     out of every other result.
     """
     documents.sparkSession.conf.set(DUPLICATE_KEYS, "true")
-    root, where = F.col("root"), F.lit("artifact")
+    root, doc, where = F.col("root"), F.col("doc"), F.lit("artifact")
     docs = v.with_parsed(documents.select("file", "text"), "text", "root").drop("text")
-    is_run = v.is_object(root, "$.run")
-    is_summary = v.is_object(root, "$.averages") & v.is_array(root, "$.runs")
+    docs = v.with_value(docs, v.shaped(root, _ARTIFACT), "doc")
+    is_run = doc["run"].isNotNull()
+    is_summary = doc["averages"].isNotNull() & doc["runs"].isNotNull()
     version = F.when(
-        ~F.coalesce(v.number(root, "$.schemaVersion") == 1, F.lit(False)),
+        ~F.coalesce(v.number(doc["schemaVersion"]) == 1, F.lit(False)),
         F.lit("schemaVersion is not 1, the only one this reader knows."),
     )
-    run, run_at = v.member(root, "$.run"), checks.at(where, "run")
+    run, run_at = doc["run"], checks.at(where, "run")
     run_head = F.coalesce(
         version,
         checks.texts(run, RUN_TEXTS, run_at),
         checks.number(run, "clientCount", run_at),
         checks.text(run, "partitionScope", run_at),
-        checks.an_object(root, checks.at(run_at, "configuration"), "$.run.configuration"),
-        checks.an_array(root, checks.at(where, "iterations"), "$.iterations"),
+        checks.an_object(v.shaped(run["configuration"], "struct<>"), checks.at(run_at, "configuration")),
+        checks.an_array(doc["iterations"], checks.at(where, "iterations")),
     )
     summary_head = F.coalesce(
         version,
-        checks.text(root, "label", where),
-        checks.text(root, "generatedAtUtc", where),
-        checks.number(root, "runCount", where),
+        checks.text(doc, "label", where),
+        checks.text(doc, "generatedAtUtc", where),
+        checks.number(doc, "runCount", where),
     )
     other = F.lit("Neither a run nor a summary of runs.")
     kind = F.when(is_run, "run").when(is_summary, "summary")
     head = (
         F.when(root.isNull(), F.lit("invalid JSON."))
-        .when(~v.is_object(root), F.lit("artifact must be an object."))
+        .when(doc.isNull(), F.lit("artifact must be an object."))
         .when(is_run, run_head)
         .when(is_summary, summary_head)
         .otherwise(other)
@@ -300,38 +333,41 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
         )
 
     def each(member: str, check) -> Column:
-        return checks.each(v.items(root, f"$.{member}"), check, checks.at(where, member))
+        return checks.each(doc[member], check, checks.at(where, member))
 
-    no_samples = checks.an_array(root, F.lit("artifact.memorySamples"), "$.memorySamples")
-    run_body = F.coalesce(each("iterations", iteration_error), no_samples, each("memorySamples", sample_error), _summary_error(root, "summary", where))
-    summary_body = F.coalesce(each("runs", listed_run_error), _summary_error(root, "averages", where))
+    no_samples = checks.an_array(doc["memorySamples"], F.lit("artifact.memorySamples"))
+    run_body = F.coalesce(each("iterations", iteration_error), no_samples, each("memorySamples", sample_error), _summary_error(doc, "summary", where))
+    summary_body = F.coalesce(each("runs", listed_run_error), _summary_error(doc, "averages", where))
     message = F.coalesce(head, F.when(kind == "run", run_body).when(kind == "summary", summary_body))
     # each document is parsed and checked once; the tables are filters over this one
     tagged = docs.select("file", kind.alias("kind"), message.alias("message"), "root")
     tagged = written(tagged.withColumn("root", F.when(F.col("message").isNull(), root)), "artifacts")
     good = tagged.filter("message IS NULL")
-    run_docs, summary_docs = good.filter("kind = 'run'"), good.filter("kind = 'summary'")
 
-    run_id = v.text(root, "$.run.runId").alias("run_id")
+    def of_kind(name: str) -> DataFrame:
+        return v.with_value(good.filter(F.col("kind") == name), v.shaped(root, _ARTIFACT), "doc")
+
+    run_docs, summary_docs = of_kind("run"), of_kind("summary")
+    run_id = v.text(doc["run"]["runId"]).alias("run_id")
 
     def exploded(member: str) -> DataFrame:
-        return run_docs.select("file", run_id, F.posexplode(v.items(root, f"$.{member}")).alias("position", "item"))
+        return run_docs.select("file", run_id, F.posexplode(doc[member]).alias("position", "item"))
 
     item = F.col("item")
     runs = run_docs.select(
         "file",
         run_id,
-        v.text(root, "$.run.label").alias("label"),
-        v.text(root, "$.run.source").alias("source"),
-        v.text(root, "$.run.startedAtUtc").alias("started_utc"),
-        v.text(root, "$.run.completedAtUtc").alias("completed_utc"),
-        iso_ms(v.text(root, "$.run.startedAtUtc")).alias("started_ms"),
-        iso_ms(v.text(root, "$.run.completedAtUtc")).alias("completed_ms"),
-        v.text(root, "$.run.clientId").alias("client_id"),
-        v.number(root, "$.run.clientCount").alias("client_count"),
-        v.text(root, "$.run.partitionScope").alias("partition_scope"),
-        v.member(root, "$.run.configuration").alias("configuration"),
-        *_summary_columns(root, "summary"),
+        v.text(doc["run"]["label"]).alias("label"),
+        v.text(doc["run"]["source"]).alias("source"),
+        v.text(doc["run"]["startedAtUtc"]).alias("started_utc"),
+        v.text(doc["run"]["completedAtUtc"]).alias("completed_utc"),
+        iso_ms(v.text(doc["run"]["startedAtUtc"])).alias("started_ms"),
+        iso_ms(v.text(doc["run"]["completedAtUtc"])).alias("completed_ms"),
+        v.text(doc["run"]["clientId"]).alias("client_id"),
+        v.number(doc["run"]["clientCount"]).alias("client_count"),
+        v.text(doc["run"]["partitionScope"]).alias("partition_scope"),
+        doc["run"]["configuration"].alias("configuration"),
+        *_summary_columns(doc, "summary"),
     )
     arrival = F.col("position").cast("bigint").alias("arrival")
     return {
@@ -340,15 +376,15 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
         "memory_samples": exploded("memorySamples").select(
             "file",
             "run_id",
-            v.text(item, "$.iterationId").alias("iteration_id"),
-            iso_ms(v.text(item, "$.timestampUtc")).alias("at_ms"),
-            *[v.number(item, f"$.{key}").alias(name) for key, name in MEMORY.items()],
+            v.text(item["iterationId"]).alias("iteration_id"),
+            iso_ms(v.text(item["timestampUtc"])).alias("at_ms"),
+            *[v.number(item[key]).alias(name) for key, name in MEMORY.items()],
         ),
         "summaries": summary_docs.select(
             "file",
-            v.text(root, "$.label").alias("label"),
-            v.number(root, "$.runCount").alias("run_count"),
-            *_summary_columns(root, "averages"),
+            v.text(doc["label"]).alias("label"),
+            v.number(doc["runCount"]).alias("run_count"),
+            *_summary_columns(doc, "averages"),
         ),
         "errors": tagged.filter("message IS NOT NULL").select("file", "message"),
     }
@@ -367,13 +403,14 @@ def parse_iteration_lines(lines: DataFrame, latest_only: bool = False) -> tuple[
     if latest_only:
         used = used.groupBy("file").agg(F.max("line").alias("line"), F.max_by("value", "line").alias("value"))
         where, broken = F.lit("line"), F.lit("invalid JSON.")
-    root = F.col("root")
+    root, item = F.col("root"), F.col("item")
     parsed = v.with_parsed(used.select("file", "line", "value"), "value", "root").drop("value")
-    message = F.when(root.isNull(), broken).otherwise(iteration_error(root, where))
-    tagged = written(parsed.withColumn("message", message), "iteration-lines")
-    good = tagged.filter(F.col("message").isNull())
+    message = F.when(root.isNull(), broken).otherwise(iteration_error(item, where))
+    checked = v.with_value(parsed, v.shaped(root, _ITERATION), "item").withColumn("message", message).drop("item")
+    tagged = written(checked, "iteration-lines")
+    good = v.with_value(tagged.filter(F.col("message").isNull()), v.shaped(root, _ITERATION), "item")
     return (
-        good.select("file", F.col("line").alias("arrival"), *iteration_columns(root)),
+        good.select("file", F.col("line").alias("arrival"), *iteration_columns(item)),
         tagged.filter(F.col("message").isNotNull()).select("file", "line", "message"),
     )
 

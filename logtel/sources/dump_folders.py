@@ -167,5 +167,5 @@ def parse_dump_runs(documents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def read_dump_runs(spark: SparkSession, path: str | Sequence[str]) -> dict[str, DataFrame]:
-    return parse_dump_runs(read_documents(spark, path, "*.[jJ][sS][oO][nN]"))
+def read_dump_runs(spark: SparkSession, path: str | Sequence[str], packed: bool = False) -> dict[str, DataFrame]:
+    return parse_dump_runs(read_documents(spark, path, "*.[jJ][sS][oO][nN]", packed))

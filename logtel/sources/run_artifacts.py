@@ -13,7 +13,7 @@ from logtel.operators.runs import summarize_iterations
 from logtel.session import written
 from logtel.sources import checks
 from logtel.sources.files import DUPLICATE_KEYS, read_documents
-from logtel.sources.lines import read_numbered_lines
+from logtel.sources.lines import lines_of_documents, read_numbered_lines
 
 # Member names of the artifact format and the columns they become.
 TIMINGS = {
@@ -390,8 +390,8 @@ def parse_run_artifacts(documents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def read_run_artifacts(spark: SparkSession, path: str | Sequence[str]) -> dict[str, DataFrame]:
-    return parse_run_artifacts(read_documents(spark, path))
+def read_run_artifacts(spark: SparkSession, path: str | Sequence[str], packed: bool = False) -> dict[str, DataFrame]:
+    return parse_run_artifacts(read_documents(spark, path, packed=packed))
 
 
 def parse_iteration_lines(lines: DataFrame, latest_only: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -415,8 +415,11 @@ def parse_iteration_lines(lines: DataFrame, latest_only: bool = False) -> tuple[
     )
 
 
-def read_iterations_jsonl(spark: SparkSession, path: str | Sequence[str], latest_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    return parse_iteration_lines(read_numbered_lines(spark, path), latest_only)
+def read_iterations_jsonl(
+    spark: SparkSession, path: str | Sequence[str], latest_only: bool = False, packed: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    lines = lines_of_documents(read_documents(spark, path, "*", packed)) if packed else read_numbered_lines(spark, path)
+    return parse_iteration_lines(lines, latest_only)
 
 
 # --- run folders ----------------------------------------------------------------------------

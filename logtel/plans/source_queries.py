@@ -84,9 +84,7 @@ def poll_text(spark, folder):
     """One log line per event: cycles, stage events, and broken or unknown ones among them."""
     c = t.cycles(spark, folder, t.load_spread)
     at = lambda name: utc_text(F.col(name))
-    entries = F.transform(
-        "timeline", lambda s: F.struct(s["stage"].alias("stage"), s["start_ms"].alias("startMs"), s["dur_ms"].alias("durMs"))
-    )
+    entries = F.col("timeline").cast("array<struct<stage:string,startMs:double,durMs:double>>")  # by place
     optional = [F.col(name).alias(key) for key, name in poll_lines.OPTIONAL_NUMBERS.items()]
     cycle = F.struct(
         F.lit("cycle").alias("type"), at("completed_ms").alias("ts"), F.concat(F.lit("r"), _text(F.floor(F.col("arrival") / 3))).alias("runId"),
@@ -260,11 +258,10 @@ def artifact_runs(spark, folder):
 
 def iteration_lines(spark, folder):
     """Live iteration logs, one per customer; some lines broken."""
-    its = t.iterations(spark, folder, t.load_spread)
-    customers = t.load(spark, folder, "orders").select(F.col("o_orderkey").alias("arrival"), "o_custkey")
+    its = t.iterations(spark, folder, t.load_spread, also=["o_custkey"])
     value = F.when(F.col("arrival") % 11 == 0, "nope").otherwise(_json(_iteration_json()))
     file = F.concat(F.lit("/live/c"), _text("o_custkey"), F.lit("/run/iterations/x.jsonl"))
-    return v.with_value(its.join(customers, "arrival"), value, "value").select(file.alias("file"), F.col("arrival").alias("line"), "value")
+    return v.with_value(its, value, "value").select(file.alias("file"), F.col("arrival").alias("line"), "value")
 
 
 @query(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from logtel.operators.layout import input_bytes
+
 DAY_MS = 86400000
 
 
@@ -20,14 +24,19 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+#: Stored bytes of a narrow table that one task makes text or work of.
+SPREAD_BYTES = 2 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many tasks as there are cores, for what makes much text or work of each narrow row.
+    """``df`` dealt evenly over two tasks a core and more, for what makes much text or work of each narrow row.
 
-    A small table, or one whose files cannot be split, would be read, and all
-    that is made of it computed, by a few tasks. Larger ones do not move.
+    A file is split where its row groups lie, so a table in a few large groups
+    is read, and all that is made of it computed, by as few tasks, however many
+    splits are counted. Dealing the narrow rows costs little beside that work.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(max(2 * cores, -(-input_bytes(df) // SPREAD_BYTES)))
 
 
 def load_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -278,8 +287,8 @@ def stage_events(spark: SparkSession, folder: str) -> DataFrame:
 # --- benchmark runs -------------------------------------------------------------------------
 
 
-def iterations(spark: SparkSession, folder: str, load=load) -> DataFrame:
-    """One iteration per order: five runs of twelve shards, some times unreadable, two thirds with a snapshot."""
+def iterations(spark: SparkSession, folder: str, load=load, also: Sequence[str] = ()) -> DataFrame:
+    """One iteration per order: five runs of twelve shards, some times unreadable, two thirds with a snapshot; ``also`` are columns of the order."""
     k = F.col("o_orderkey")
     ms = F.col("ms")
 
@@ -345,6 +354,7 @@ def iterations(spark: SparkSession, folder: str, load=load) -> DataFrame:
         every(17, "o_orderkey", _double(ms + (k % 5) * 1000 - 1000)).alias("advanced_to"),
         mod(37, "blocked_ms"),
         every(3, "o_orderkey", pipeline).alias("pipeline"),
+        *also,
     )
 
 

@@ -25,6 +25,8 @@ ISO_TEXT = (
 ISO_STRICT_TEXT = (
     r"^[0-9]{4}(-[0-9]{2}(-[0-9]{2}(T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?)?)?$"
 )
+# Fixed value: a date-time that needs no completing.
+ISO_WHOLE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z\z"
 DEFAULT_LOOKBACK_MS = 2 * 3600 * 1000
 
 
@@ -55,7 +57,8 @@ def _iso_instant(text: Column) -> Column:
 
 def iso_ms(c: Column) -> Column:
     """Epoch ms of an ISO date or date-time, cut to whole milliseconds; anything else is NULL."""
-    return F.unix_millis(_iso_instant(F.regexp_extract(c, ISO_STRICT_TEXT, 0)))
+    completed = _iso_instant(F.regexp_extract(c, ISO_STRICT_TEXT, 0))
+    return F.unix_millis(F.when(c.rlike(ISO_WHOLE_TEXT), F.try_to_timestamp(c)).otherwise(completed))
 
 
 def datetime_ms_text(c: Column) -> Column:

@@ -64,6 +64,27 @@ def _entry_error(entry: Column, where: Column) -> Column:
     )
 
 
+# The numbers of a cycle and its timeline, for a quick look.
+_NEEDED = ("totalMs", "records", "recordsPerSec")
+_QUICK = ", ".join(
+    ["timeline array<struct<stage:string,startMs:double,durMs:double>>", *[f"{name} double" for name in (*_NEEDED, *OPTIONAL_NUMBERS)]]
+)
+
+
+def _sure_cycle(root: Column, read: Column, where: Column) -> Column:
+    """True only for a good cycle: its texts are checked as ever, its numbers and timeline as ``read`` with a schema."""
+    entries = read["timeline"]
+    texts = F.coalesce(
+        *[checks.moment(root, key, where) for key in ("ts", "startedAtUtc", "completedAtUtc")],
+        *[checks.text(root, key, where) for key in ("runId", "source")],
+        checks.one_of(root, "outcome", where, OUTCOMES),
+        checks.texts(root, tuple(OPTIONAL_TEXTS), where, nullable=True, optional=True),
+    )
+    numbers = checks.sure(read, [read[key] for key in _NEEDED], [read[key] for key in OPTIONAL_NUMBERS])
+    timeline = checks.sure_words(entries["stage"]) & checks.sure_numbers(entries["startMs"]) & checks.sure_numbers(entries["durMs"])
+    return numbers & timeline & texts.isNull()
+
+
 def _cycle_error(root: Column, where: Column) -> Column:
     timeline = checks.at(where, "timeline")
     return F.coalesce(
@@ -73,7 +94,7 @@ def _cycle_error(root: Column, where: Column) -> Column:
         checks.one_of(root, "outcome", where, OUTCOMES),
         checks.moment(root, "startedAtUtc", where),
         checks.moment(root, "completedAtUtc", where),
-        checks.numbers(root, ("totalMs", "records", "recordsPerSec"), where),
+        checks.numbers(root, _NEEDED, where),
         checks.an_array(root["timeline"], timeline),
         checks.each(root["timeline"], _entry_error, timeline),
         checks.numbers(root, tuple(OPTIONAL_NUMBERS), where, nullable=True, optional=True),
@@ -93,11 +114,12 @@ def tagged_lines(lines: DataFrame) -> DataFrame:
         F.when(facts.isNull(), F.concat(where, F.lit(": invalid JSON.")))
         .when(root.isNull(), F.lit("event must be an object."))
         .when(kind == "stage", _stage_error(root, where))
-        .when(kind == "cycle", _cycle_error(root, where))
+        .when(kind == "cycle", F.when(~_sure_cycle(root, F.col("_quick"), where), _cycle_error(root, where)))
         .otherwise(F.concat(where, F.lit(": unknown event type "), label, F.lit(".")))
     )
     used = lines.filter(is_text(F.col("value"))).select("file", "line", F.col("value").alias("raw"))
     parsed = v.with_value(v.with_parsed(used, "raw", "facts"), v.shaped(facts, _LINE), "_shaped")
+    parsed = v.with_value(parsed, F.when(kind == "cycle", checks.quick(F.col("raw"), _QUICK)), "_quick")
     tagged = parsed.select("file", "line", "raw", "facts", kind.alias("type"), problem.alias("problem"))
     bad = F.col("problem").isNotNull()
     return tagged.select("file", "line", F.when(bad, F.col("raw")).alias("raw"), F.when(~bad, facts).alias("facts"), "type", "problem")

@@ -57,7 +57,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> D
     else:
         heavy = newest.filter(F.col("_rows") > HEAVY_SHARE * seen[1])
         light = rows.join(F.broadcast(heavy), of_key(~F.col("_order").eqNullSafe(F.col("_greatest"))), "left_anti")
-        found = light.join(newest, of_key(F.col("_order").eqNullSafe(F.col("_greatest"))), "left_semi")
+        # hashing the narrow side spares a sort of the wide rows
+        found = light.join(newest.hint("shuffle_hash"), of_key(F.col("_order").eqNullSafe(F.col("_greatest"))), "left_semi")
     # rows that are alike in key and order: one by hash first, where the rows are
     alike = Window.partitionBy(*keys).orderBy("_hash")
     ranked = found.withColumn("_hash", _spread(df)).withColumn("_place", F.row_number().over(alike))

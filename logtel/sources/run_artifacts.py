@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logtel.functions import variants as v
 from logtel.functions.scalars import coerce_comparable, is_text, iso_ms
+from logtel.operators.keyed import latest_per_key
 from logtel.operators.runs import summarize_iterations
 from logtel.session import written
 from logtel.sources import checks
@@ -401,7 +402,7 @@ def parse_iteration_lines(lines: DataFrame, latest_only: bool = False) -> tuple[
     where = F.concat(F.lit("line "), F.col("line").cast("string"))
     broken = F.concat(where, F.lit(": invalid JSON."))
     if latest_only:
-        used = used.groupBy("file").agg(F.max("line").alias("line"), F.max_by("value", "line").alias("value"))
+        used = latest_per_key(used.select("file", "line", "value"), ["file"], "line")  # texts are neither sorted nor aggregated
         where, broken = F.lit("line"), F.lit("invalid JSON.")
     root, item = F.col("root"), F.col("item")
     parsed = v.with_parsed(used.select("file", "line", "value"), "value", "root").drop("value")

@@ -11,7 +11,7 @@ from logtel.plans import tables as t
 from logtel.plans.ingest_queries import LIFECYCLES, MAX_BATCH_BYTES, WALK
 from logtel.plans.registry import query
 from logtel.plans.views import with_views
-from logtel.session import new_path
+from logtel.session import new_path, written
 from logtel.streaming.assembly_stream import stream_assemble
 from logtel.streaming.line_stream import reassembled, stream_lines
 from logtel.streaming.log_stream import drain_to_head, drained_checkpoints, publish_summary, skipped_rows, stream_keyed_events
@@ -85,7 +85,7 @@ def published_batches(spark, folder):
     """The rows arrive in three parts by event time; a key's open batch is filled on after each restart."""
     inbox, out, checkpoint = new_path(spark, "rows"), new_path(spark, "published"), new_path(spark, "publish-checkpoint")
     rows = t.telemetry(spark, folder)
-    timed = event_time_ms(rows)
+    timed = written(event_time_ms(rows), "timed-rows")
     first, last = timed.agg(F.min("_event_ms")).scalar(), timed.agg(F.max("_event_ms")).scalar()
     part = F.coalesce(F.floor((F.col("_event_ms") - first) * 3 / (last - first + 1)), F.lit(2))
     parted = timed.select(*rows.columns, part.alias("_part"))

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logtel.operators.ingest import continued_batches, event_time_ms, resolve_key, rows_to_json, write_keyed_events
 from logtel.operators.messages import advance_checkpoints
+from logtel.session import written
 from logtel.streaming.tables import BATCH, read_batches, read_before, write_batch, write_state
 
 TAILS = (
@@ -71,9 +72,12 @@ def stream_keyed_events(
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        kept, skipped = resolve_key(event_time_ms(batch), field, allow_unkeyed)
-        write_batch(rows_to_json(skipped).select("_ord", "_body"), f"{path}-skipped", number)
-        bodies, also = rows_to_json(kept), []
+        keyed, _ = resolve_key(event_time_ms(batch), field, allow_unkeyed=True)
+        # times are read and rows made into JSON once, whatever orders and writes them afterwards
+        told = written(rows_to_json(keyed).select("_ord", "_event_ms", "_key", "_body"), "publishing")
+        lost = F.lit(False) if allow_unkeyed else F.col("_key").isNull()
+        write_batch(told.filter(lost).select("_ord", "_body"), f"{path}-skipped", number)
+        bodies, also = told.filter(~lost), []
         if max_bytes is not None:
             opened = read_before(batch.sparkSession, f"{path}-open", OPEN, number)
             timed = bodies.withColumn("_when", F.coalesce("_event_ms", F.lit(_NEVER)))

@@ -92,3 +92,21 @@ def test_quick_look_settles_good_cycles(spark):
 ])
 def test_whole_and_short_times(spark, text, ms):
     assert spark.createDataFrame([(text,)], "t string").select(iso_ms(F.col("t")).alias("ms")).first()["ms"] == ms
+
+
+def test_published_rows_are_computed_once(spark, tmp_path):
+    from logtel.streaming.log_stream import stream_keyed_events
+
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"s{i % 3}", str(1700000000000 + i), i) for i in range(60)], "sessionId string, clientTime string, _ord bigint")
+    rows.write.parquet(inbox)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def mark(text):
+        seen.add(1)
+        return text
+
+    stream = spark.readStream.schema(rows.schema).parquet(inbox).withColumn("sessionId", mark("sessionId"))
+    stream_keyed_events(stream, out, str(tmp_path / "checkpoint"), partitions=2, max_bytes=300).awaitTermination()
+    assert seen.value == 60 and spark.read.parquet(out).filter("_batch IS NOT NULL").count() == 60

@@ -3,14 +3,15 @@
 import dataclasses
 import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtel.operators import assembly
 from logtel.plans.sample_lifecycle import CONFIG
 from logtel.session import new_path
-from logtel.streaming import tables
-from logtel.streaming.assembly_stream import stream_assemble
+from logtel.streaming import assembly_stream, tables
+from logtel.streaming.assembly_stream import Assembler, stream_assemble
 
 LIFECYCLES = assembly.read_lifecycles(CONFIG)
 SCHEMA = "payload string, partition_id string, sequence_number bigint, msg_offset string, received_ms bigint"
@@ -86,6 +87,119 @@ def test_late_parts_update_a_partial_flush_as_often_as_allowed(spark):
     assert [(r.decision, r.part_count) for r in found if r.event_id == "e1"] == [("partial", 1)]
 
 
+class _Store:
+    """A state store in memory that counts the exchanges a processor makes with it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps, self.value = [], [], {}, None
+
+    def getMapState(self, name, *_):
+        return _Map(self, self.maps.setdefault(name, {}))
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.append(at)
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+class _Map:
+    def __init__(self, store, held):
+        self.store, self.held = store, held
+
+    def containsKey(self, key):
+        self.store.calls.append("contains")
+        return key in self.held
+
+    def updateValue(self, key, value):
+        self.store.calls.append("put")
+        self.held[key] = value
+
+    def iterator(self):
+        self.store.calls.append("iterate")
+        return iter(list(self.held.items()))
+
+    def clear(self):
+        self.store.calls.append("clear")
+        self.held.clear()
+
+
+def test_an_event_costs_few_exchanges_with_the_state_store():
+    """Complete at once: its facts and one timer. Else its parts, once each, one timer at a time; nothing is left in the end."""
+    lifecycle, key = LIFECYCLES[0], (0, "s", "e")
+    wait, end = lifecycle.flush.partial_after_ms, lifecycle.retention_ms
+
+    def row(part, seq, dedupe=None):
+        return Row(part=part, dedupe=dedupe or f"d{seq}", sequence_number=seq, payload="{}", priority=False, received_ms=seq, first_ms=seq, copies=1)
+
+    class At:  # timer information and timer values
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    def started():
+        store, processor = _Store(), Assembler(LIFECYCLES)
+        processor.init(store)
+        return store, processor
+
+    store, processor = started()
+    rows = [row("question", 3), row("answer", 2), row("opening", 1), row("answer", 4, "d2"), row("answer", 5)]
+    (flush,) = processor.handleInputRows(key, iter(rows), None)
+    assert (flush.decision, flush.part_count, flush.dropped) == ("full", 4, 1)
+    assert [p["sequence_number"] for p in flush.parts] == [1, 2, 3, 5]
+    assert sorted(store.calls) == ["get", "timer", "update"] and store.timers == [1 + end]
+    assert list(processor.handleExpiredTimer(key, At(store.timers[0] + 1), At(store.timers[0]))) == []
+    assert store.value is None and not any(store.maps.values())
+
+    store, processor = started()
+    assert list(processor.handleInputRows(key, iter([row("opening", 1), row("opening", 2), row("answer", 3)]), None)) == []
+    assert store.calls.count("put") == 5 and "contains" not in store.calls and store.timers == [1 + wait]
+    (flush,) = processor.handleExpiredTimer(key, At(wait + 2), At(1 + wait))
+    assert (flush.decision, flush.part_count, flush.dropped, flush.at_ms) == ("partial", 2, 1, 1 + wait) and store.timers[1:] == [1 + end]
+    # a key that a dropped part used up is known in later batches too; the event's parts go when it takes no more
+    assert [f.dropped for f in processor.handleInputRows(key, iter([row("answer", 4, "d2"), row("question", 5)]), None)] == [2]
+    assert store.value[3] == "full" and not any(store.maps.values())
+    assert list(processor.handleInputRows(key, iter([row("answer", 6)]), None)) == [] and store.value[5] == 3
+    assert list(processor.handleExpiredTimer(key, At(end + 2), At(1 + end))) == []
+    assert store.value is None and len(store.timers) == 2
+
+    store, processor = started()  # both deadlines have passed
+    assert list(processor.handleInputRows(key, iter([row("opening", 1)]), None)) == []
+    assert [f.decision for f in processor.handleExpiredTimer(key, At(end + 2), At(1 + wait))] == ["partial"]
+    assert store.value is None and len(store.timers) == 1 and not any(store.maps.values())
+
+
+def test_many_keys_of_one_event_go_to_the_store(monkeypatch):
+    monkeypatch.setattr(assembly_stream, "_SEEN_HELD", 2)
+    store, processor = _Store(), Assembler(LIFECYCLES)
+    processor.init(store)
+    rows = [
+        Row(part="opening" if n < 5 else "question", dedupe=f"d{n % 4}", sequence_number=n, payload="{}", priority=False, received_ms=n, first_ms=n, copies=1)
+        for n in range(1, 8)
+    ]
+    assert list(processor.handleInputRows((0, "s", "e"), iter(rows[:6]), None)) == []
+    assert set(store.maps["seen"]) == {(f"d{n}",) for n in range(4)} and store.value[5] == 5
+    rows = [rows[6], rows[6].__class__(**(rows[6].asDict() | {"dedupe": "new"}))]
+    assert [f.dropped for f in processor.handleInputRows((0, "s", "e"), iter(rows), None)] == [6]
+    assert not any(store.maps.values())
+
+
 def test_stream_equals_batch_with_repeats_and_restart(spark):
     envelopes = spark.createDataFrame(ROWS, SCHEMA)
     deduped = assembly.dedupe_envelopes(assembly.project_envelopes(envelopes, LIFECYCLES), LIFECYCLES)

@@ -57,12 +57,17 @@ def number_lines(spark, folder):
 CHUNK_CHARS = 97
 
 
-def chunks(spark, folder):
-    """Document texts cut every so many characters, wherever that falls, stored as a log of chunks in many files."""
+def cut_texts(spark, folder):
+    """Document texts cut every so many characters, wherever that falls."""
     docs = t.load(spark, folder, "documents")
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), 0)
     placed = docs.filter("length(text) > 0").select(_text("doc_id").alias("stream"), F.posexplode(pieces).alias("i", "text"))
-    return written(placed.select("stream", F.col("i").cast("bigint").alias("chunk"), "text").repartition("stream", "chunk"), "chunks")
+    return placed.select("stream", F.col("i").cast("bigint").alias("chunk"), "text")
+
+
+def chunks(spark, folder):
+    """Document texts stored as a log of chunks in many files."""
+    return written(cut_texts(spark, folder).repartition("stream", "chunk"), "chunks")
 
 
 _DOC_LINES = """SELECT stream, line, md5(value) AS digest FROM (SELECT CAST(doc_id AS VARCHAR) AS stream,

@@ -41,9 +41,9 @@ def stream_poll_metrics(spark, folder):
 def stream_document_lines(spark, folder):
     """The chunks arrive in two parts; the stream is stopped between them and restarted."""
     inbox, tables = new_path(spark, "chunks"), new_path(spark, "line-tables")
-    chunks = sources.chunks(spark, folder)
+    chunks = sources.cut_texts(spark, folder)
     for part in (chunks.filter("chunk < 3"), chunks.filter("chunk >= 3")):
-        part.write.mode("append").parquet(inbox)
+        part.repartition("stream", "chunk").write.mode("append").parquet(inbox)
         stream_lines(spark, inbox, tables).awaitTermination()
     return reassembled(spark, tables).select("stream", "line", F.md5("value").alias("digest"))
 

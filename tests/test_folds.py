@@ -252,6 +252,34 @@ def test_lines_inside_a_chunk_are_not_exchanged(spark):
     assert pieces.whole.count() == 200
 
 
+def test_short_chunks_move_once_into_pages(spark):
+    """Where cuts go through most lines and the numbers are many, no text is joined, and pages give the same lines and ends."""
+    rng = random.Random(23)
+    text = "".join(rng.choice(["a", "bcd ", "é", "\n", "\r\n"]) for _ in range(900))
+    pieces = [text[i : i + 3] for i in range(0, len(text), 3)]
+    rows = [("long", n - 1, piece) for n, piece in enumerate(pieces)]  # from -1 on, as a carried line is
+    rows += [(None, 1000 * n, piece) for n, piece in enumerate(pieces[:40])]  # numbers with gaps, no name
+    rows += [("one", 5, "no end"), ("ends", 0, "\n"), ("ends", 1, "\n"), ("ends", 64, ""), ("none", 0, None), ("big", 1 << 62, "x\ny"), ("big", (1 << 62) + 1, "z\n")]
+    df = spark.createDataFrame(rows, "stream string, chunk bigint, text string").repartition(5)
+    before = spark.createDataFrame([("long", 7), (None, 2), ("idle", 3)], "stream string, n bigint")
+    found = []
+    for broadcast in (NUMBERS_BROADCAST, 0):
+        pieces = split_chunks(df, before, broadcast)
+        seams = {(r.stream, r.line): (r.value, r.ended) for r in pieces.seams.collect()}
+        whole = {(r.stream, r.line): r.value for r in pieces.whole.collect()}
+        assert not whole.keys() & seams.keys()
+        lines = {k: v for k, (v, ended) in seams.items() if ended} | whole
+        left = {k[0]: v for k, (v, ended) in seams.items() if v and not ended}
+        found.append((lines, left, {r.stream: r.n or 0 for r in pieces.ends.collect()}))
+    assert found[0] == found[1]
+    lines, left, ends = found[1]
+    parts = text.split("\n")
+    assert [lines[("long", 8 + i)] for i in range(len(parts) - 1)] == parts[:-1] and left.get("long", "") == parts[-1]
+    assert ends["long"] == 7 + text.count("\n") and ends["idle"] == 3 and left["one"] == "no end" and lines[("big", 2)] == "yz"
+    paged = split_chunks(df, before, 0)
+    assert "Join" not in _plan(paged.whole) and "Exchange" not in _plan(paged.whole) and "Join" not in _plan(paged.seams)
+
+
 def test_chunks_of_a_growing_log_in_any_split(spark):
     rng = random.Random(17)
     texts = {"hot": "".join(rng.choice(["ab", "\n", "\r\n", "ü "]) for _ in range(120)), "one": "no end", None: "x\ny\n", "late": "\n\n"}

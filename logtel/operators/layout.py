@@ -161,6 +161,16 @@ def attach(facts: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Se
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """``df``, of any size, for a join that moves both sides by key and never broadcasts it.
+
+    Spark estimates what is selected by the declared width of all that it is
+    selected from, so a narrow table out of a wide shape (``variants.shaped``)
+    counts as a few KB whatever it holds, and the driver would collect it.
+    """
+    return df.hint("merge")
+
+
 def without(facts: DataFrame, keys_of: DataFrame, keys: Sequence[str], most: int = BROADCAST_ROWS) -> DataFrame:
     """``facts`` whose key is not in ``keys_of``; the keys are counted before they are broadcast."""
     listed = counted(keys_of.select(*keys).distinct())

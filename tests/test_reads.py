@@ -75,3 +75,8 @@ def test_number_of_files_does_not_follow_the_number_of_keys(spark, monkeypatch,
     monkeypatch.setattr(files, "pack_documents", lambda documents, path: packs.append(path) or pack(documents, path))
     QUERIES[name](spark, FOLDER)
     assert len(packs) == 1 and len(spark.read.parquet(packs[0]).inputFiles()) <= 8 < spark.read.parquet(packs[0]).count()
+
+
+def test_last_lines_of_many_files_are_not_broadcast(spark):
+    plan = QUERIES["read_iteration_files"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logtel.functions import variants as v
 from logtel.operators import polls, runs
+from logtel.operators.layout import exchanged
 from logtel.operators.messages import utc_text
 from logtel.plans import tables as t
 from logtel.plans.registry import query
@@ -404,7 +405,7 @@ def dump_run_messages(spark, folder):
 )
 def dump_run_occurrences(spark, folder):
     read = dump_folders.parse_dump_runs(dump_documents(spark, folder))
-    return read["occurrences"].join(read["sources"], ["run_id", "occurrence_id"]).select(
+    return read["occurrences"].join(exchanged(read["sources"]), ["run_id", "occurrence_id"]).select(
         "run_id", "occurrence_id", "kind", "doc_id", "dwell_ms", "seq"
     )
 
@@ -427,6 +428,6 @@ def dump_run_errors(spark, folder):
 def dump_run_meta(spark, folder):
     read = dump_folders.parse_dump_runs(dump_documents(spark, folder))
     marked = read["marked_done"].select("run_id", F.col("seq").alias("marked"))
-    return read["meta"].join(read["flush"], "run_id").join(marked, "run_id").select(
+    return read["meta"].join(exchanged(read["flush"]), "run_id").join(exchanged(marked), "run_id").select(
         "run_id", "partition_id", "enhanced", "starting_checkpoint", "checkpoint_seq", "marked"
     )

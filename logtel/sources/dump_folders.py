@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logtel.functions import variants as v
 from logtel.functions.payloads import doc_fields, message_label, view_ref
 from logtel.functions.scalars import iso_ms, source_seq
-from logtel.operators.layout import without
+from logtel.operators.layout import exchanged, without
 from logtel.session import written
 from logtel.sources.files import DUPLICATE_KEYS, read_documents
 
@@ -134,7 +134,7 @@ def parse_dump_runs(documents: DataFrame) -> dict[str, DataFrame]:
         whole("$.sequenceRange.min").alias("range_min"),
         whole("$.sequenceRange.max").alias("range_max"),
     )
-    meta = runs.join(recorded, "run_id", "left").join(first, "run_id", "left").select(
+    meta = runs.join(exchanged(recorded), "run_id", "left").join(exchanged(first), "run_id", "left").select(
         "run_id",
         F.coalesce("_partition", "_first", F.lit("unknown")).alias("partition_id"),
         F.coalesce("_known", F.lit(False)).alias("enhanced"),

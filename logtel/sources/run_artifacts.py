@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logtel.functions import variants as v
 from logtel.functions.scalars import coerce_comparable, is_text, iso_ms
+from logtel.operators.layout import exchanged
 from logtel.operators.runs import summarize_iterations
 from logtel.session import written
 from logtel.sources import checks
@@ -499,11 +500,11 @@ def resolve_run_folders(runs: DataFrame, latest: DataFrame) -> tuple[DataFrame,
         "run_dir",
         *[F.col(c).cast("double").alias(f"_live_{c}") for c in ("iteration_count", "rows_fetched", "events_finalized", "duration_ms", "events_per_sec")],
     )
-    summed = resolved.join(counted, "run_dir", "left")
+    summed = resolved.join(exchanged(counted), "run_dir", "left")
     figures = [
         F.when(F.col("_recounts"), F.col(f"_live_{c}")).otherwise(F.col(f"_own_{c}")).alias(c)
         for c in ("iteration_count", "rows_fetched", "events_finalized", "duration_ms", "events_per_sec")
     ]
     runs_out = summed.select(*resolved.columns[:10], *figures)
-    adopted = live.join(resolved.filter("_takes_live").select("run_dir", "run_id"), "run_dir")
+    adopted = live.join(exchanged(resolved.filter("_takes_live").select("run_dir", "run_id")), "run_dir")
     return runs_out, adopted

@@ -80,3 +80,11 @@ def test_number_of_files_does_not_follow_the_number_of_keys(spark, monkeypatch,
 def test_last_lines_of_many_files_are_not_broadcast(spark):
     plan = QUERIES["read_iteration_files"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["read_artifact_files", "read_checkpoint_files", "read_dump_files", "resolve_run_folders", "dump_run_meta", "dump_run_occurrences"])
+def test_what_is_read_of_many_files_is_not_broadcast(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    # only the runs to leave out, which are counted before, may be broadcast
+    assert joins and all("SortMergeJoin" in j or "BroadcastHashJoin" in j and "LeftAnti" in j for j in joins)
